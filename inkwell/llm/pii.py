@@ -52,7 +52,7 @@ def _octet(part: str) -> str:
 
 def _luhn(digits: str) -> str:
     """SQL: the digits pass the Luhn check."""
-    return f"aggregate(sequence(1, length({digits})), 0, (acc, j) -> acc + CASE WHEN j % 2 = 1 THEN cast(substr({digits}, length({digits}) + 1 - j, 1) as int) ELSE (2 * cast(substr({digits}, length({digits}) + 1 - j, 1) as int)) % 10 + (2 * cast(substr({digits}, length({digits}) + 1 - j, 1) as int)) div 10 END) % 10 = 0"
+    return f"aggregate(sequence(1, length({digits})), 0L, (acc, j) -> acc + CASE WHEN j % 2 = 1 THEN cast(substr({digits}, length({digits}) + 1 - j, 1) as int) ELSE (2 * cast(substr({digits}, length({digits}) + 1 - j, 1) as int)) % 10 + (2 * cast(substr({digits}, length({digits}) + 1 - j, 1) as int)) div 10 END) % 10 = 0"
 
 
 CHECKS = {
