@@ -6,9 +6,9 @@ leftmost least one.  A merge takes the root's pair and updates three leaves: the
 merged position, its dead right half and the live neighbour on the left.
 
 Pieces of like size are merged together as numpy rows (one merge of every piece
-a step); longer pieces run the same tree one by one.  Texts are cut before every
-space that a non-space follows, where no match of the pattern can cross, and the
-ids of a chunk are remembered, so a repeated word costs one lookup.
+a step); longer pieces run the same tree one by one.  Texts are cut into chunks
+that no match of the pattern crosses and the ids of a chunk are remembered, so a
+repeated word costs one lookup.
 """
 
 from __future__ import annotations
@@ -25,17 +25,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from .chunks import ChunkTable
 from .common import text_bytes
+from .words import batched
 
 NONE = np.int64(1) << 62
-#: Chunks whose ids a worker remembers; at this many it starts afresh.
+#: Pieces whose ids a worker remembers; at this many it starts afresh.
 REMEMBERED = 400_000
-#: Longer chunks are not remembered.
+#: Longer pieces are not remembered.
 LONGEST_REMEMBERED = 64
 
-_CUT = re.compile(r" (?=\S)")
-_LOOSE = re.compile(r" (?:\s|\Z)")
-_INNER_SPACE = re.compile(r"\s")
+_INNER_SPACE = re.compile(r".\s", re.DOTALL)
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -43,11 +43,6 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
-def cut(text: str) -> list[str]:
-    """Chunks of a text; each but the first has lost the space before it."""
-    return _CUT.split(text) if _LOOSE.search(text) else text.split(" ")
-
-
 class ByteBPE:
     """Ids of pieces and bytes of ids for one table of ranks."""
 
@@ -67,9 +62,8 @@ class ByteBPE:
                     pairs[a * self.size + b] = rank
         keys = np.array(sorted(pairs), dtype=np.int64)
         self.pair_keys, self.pair_ranks, self.pairs = keys, np.array([pairs[k] for k in keys.tolist()], dtype=np.int64), pairs
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.table = ChunkTable(self._learn)
 
     def _pair(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         keys = a * self.size + b
@@ -192,51 +186,33 @@ class ByteBPE:
                 out.update(zip([p for p, _ in part], self._merge_rows([r for _, r in part], width)))
         return out
 
-    def _learn(self, chunks: set[str], spaced: bool) -> dict[str, bytes]:
-        """Ids of chunks, each with a space before it if ``spaced``."""
-        split: dict[str, list[str]] = {}
-        plain = [c for c in chunks if c and not _INNER_SPACE.search(c)] if spaced else []
-        if plain:
-            # no inner space: a piece that starts with one starts the next chunk
-            turn = iter(plain)
-            for piece in self.pattern.findall(" " + " ".join(plain)):
-                if piece[0] == " ":
-                    split[next(turn)] = now = []
-                now.append(piece)
-        for c in chunks:
-            if c not in split:
-                split[c] = self.pattern.findall(" " + c if spaced else c)
+    def _learn(self, chunks: list[bytes]) -> list[bytes]:
+        """Packed ids of chunks (see ``chunks``)."""
+        texts = [c.decode("utf-8", "replace") for c in chunks]
+        split: list[list[str]] = [[] for _ in texts]
+        plain = [i for i, t in enumerate(texts) if t[0] == " " and not _INNER_SPACE.search(t)]
+        # no inner space: a piece that starts with one starts the next chunk
+        turn = iter(plain)
+        for piece in self.pattern.findall("".join([texts[i] for i in plain])):
+            if piece[0] == " ":
+                now = split[next(turn)]
+            now.append(piece)
+        for i, t in enumerate(texts):
+            if not split[i]:
+                split[i] = self.pattern.findall(t)
         if len(self.pieces) > REMEMBERED:
             self.pieces.clear()
-        unknown = {p for ps in split.values() for p in ps if p not in self.pieces}
-        made = self.encode_pieces(unknown)
-        self.pieces.update((p, i) for p, i in made.items() if len(p) <= LONGEST_REMEMBERED)
-        get = self.pieces.get
-        return {c: b"".join([get(p) or made[p] for p in ps]) for c, ps in split.items()}
-
-    def encode_batch(self, texts: list[str]) -> list[bytes]:
-        """Ids of whole texts as little-endian unsigned 32-bit integers."""
-        parts = [cut(t) for t in texts]
-        if len(self.later) > REMEMBERED:
-            self.later.clear()
-        if len(self.first) > REMEMBERED // 8:
-            self.first.clear()
-        out = []
-        for at in range(0, len(parts), 512):
-            some = parts[at : at + 512]
-            heads = {p[0] for p in some}.difference(self.first)
-            tails = set().union(*[p[1:] for p in some]).difference(self.later)
-            head_ids, tail_ids = self._learn(heads, False), self._learn(tails, True)
-            long_heads = {c: i for c, i in head_ids.items() if len(c) > LONGEST_REMEMBERED}
-            long_tails = {c: i for c, i in tail_ids.items() if len(c) > LONGEST_REMEMBERED}
-            self.first.update(head_ids)
-            self.later.update(tail_ids)
-            first, later = self.first, self.later.__getitem__
-            out += [first[p[0]] + b"".join(map(later, p[1:])) for p in some]
-            for c in long_heads:
-                del self.first[c]
-            for c in long_tails:
-                del self.later[c]
+        known = self.pieces
+        made = self.encode_pieces({p for ps in split for p in ps if p not in known})
+        known.update((p, i) for p, i in made.items() if len(p) <= LONGEST_REMEMBERED)
+        get = known.get
+        return [b"".join([get(p) or made[p] for p in ps]) for ps in split]
+
+    def encode_batch(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of whole texts (UTF-8) as little-endian unsigned 32-bit integers."""
+        out: list[bytes] = []
+        for _, some in batched(texts):
+            out += self.table.encode(some)
         return out
 
     def decode(self, ids: bytes) -> bytes:
@@ -258,8 +234,8 @@ def _once(path: str | None, pattern: str | None) -> ByteBPE:
     return _loaded[path, pattern]
 
 
-def _texts(column: pd.Series) -> list[str]:
-    return [x.decode("utf-8", "replace") if x else "" for x in column]
+def _texts(column: pd.Series) -> list[bytes]:
+    return [x or b"" for x in column]
 
 
 DIGESTS = StructType([StructField("n_tokens", LongType()), StructField("ids_sha256", StringType()), StructField("decoded_sha256", StringType())])
