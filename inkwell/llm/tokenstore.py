@@ -21,15 +21,17 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import LONGEST_REMEMBERED, REMEMBERED, cut
+from .bpe import LONGEST_REMEMBERED, REMEMBERED
+from .chunks import ChunkTable
 from .common import partitions, stored, text_bytes
+from .words import batched
 
 END_ID = 0
 #: Ids of a block, about; a longer document is a block of its own.
 BLOCK_TOKENS = 2_000_000
-ROUNDS = 3
+ROUNDS = 2
 #: Bits of the table that counts pairs, and most rules a round adds.
-HASH_BITS, RULES_A_ROUND, LEAST_COUNT = 20, 5000, 16
+HASH_BITS, RULES_A_ROUND, LEAST_COUNT = 20, 7500, 16
 TAIL = ".,;:!?"
 MAGIC = b"RPG1"
 
@@ -58,53 +60,51 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.special = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
         self.letters = _byte_letters()
         self.words: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
+        self.table = ChunkTable(self._learn)
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, chunks: set[str]) -> dict[str, bytes]:
-        """Ids of chunks, each with a space before it."""
-        if len(self.later) > REMEMBERED:
-            self.later.clear()
+    def _word(self, text: str) -> bytes:
+        ids = self.words.get(text)
+        if ids is None:
+            tokens = self.library.model.tokenize(text.encode().decode("latin-1").translate(self.letters))
+            ids = array("I", [t.id for t in tokens]).tobytes()
+            if len(text) <= LONGEST_REMEMBERED:
+                self.words[text] = ids
+        return ids
+
+    def _learn(self, chunks: list[bytes]) -> list[bytes]:
+        """Packed ids of chunks (see ``chunks``)."""
+        if len(self.words) > REMEMBERED:
             self.words.clear()
-        out, odd, words = {}, [], self.words
-        tokenize, letters = self.library.model.tokenize, self.letters
-        for c in chunks:
-            stem = c.rstrip(TAIL)
-            if not stem.isalpha():
-                odd.append(c)
-                continue
-            ids = words.get(stem)
-            if ids is None:
-                ids = array("I", [t.id for t in tokenize((" " + stem).encode().decode("latin-1").translate(letters))]).tobytes()
-                if len(stem) <= LONGEST_REMEMBERED:
-                    words[stem] = ids
-            if len(stem) < len(c):
-                tail = c[len(stem) :]
-                end = words.get(tail)
-                if end is None:
-                    end = words[tail] = array("I", [t.id for t in tokenize(tail)]).tobytes()
-                ids += end
-            out[c] = ids
-        out.update(zip(odd, self._library([" " + c for c in odd])))
-        self.later.update(out if max(map(len, out), default=0) <= LONGEST_REMEMBERED else {c: i for c, i in out.items() if len(c) <= LONGEST_REMEMBERED})
+        out: list[bytes | None] = []
+        odd: list[int] = []
+        texts = [c.decode("utf-8", "replace") for c in chunks]
+        for i, text in enumerate(texts):
+            stem = text.rstrip(TAIL)
+            if stem[:1] == " " and stem[1:].isalpha():
+                out.append(self._word(stem) + self._word(text[len(stem) :]) if len(stem) < len(text) else self._word(stem))
+            else:
+                out.append(None)
+                odd.append(i)
+        for i, ids in zip(odd, self._library([texts[i] for i in odd])):
+            out[i] = ids
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of whole texts as little-endian unsigned 32-bit integers."""
-        parts = [[t] if any(s in t for s in self.special) else cut(t) for t in texts]
-        first = self._library([p[0] for p in parts])
-        get = self.later.get
-        known = [list(map(get, p)) for p in parts]
-        for p, ids in zip(parts, known):
-            ids[0] = b""
-        missed = {c for p, ids in zip(parts, known) if None in ids for c, i in zip(p, ids) if i is None}
-        new = self._learn(missed)
-        return [f + b"".join(ids if None not in ids else [new[c] if i is None else i for c, i in zip(p, ids)]) for f, p, ids in zip(first, parts, known)]
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of whole texts (UTF-8) as little-endian unsigned 32-bit integers."""
+        out: list[bytes] = []
+        for _, some in batched(texts):
+            whole = {i for i, t in enumerate(some) if any(s in t for s in self.special)}
+            coded = self.table.encode([b"" if i in whole else t for i, t in enumerate(some)])
+            for i in whole:
+                coded[i] = self._library([some[i].decode("utf-8", "replace")])[0]
+            out += coded
+        return out
 
 
 def _slots(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -234,7 +234,7 @@ def _blocks(path: str, end_id: int, block_tokens: int):
         for batch in batches:
             for at in range(0, len(batch), 512):
                 part = batch.iloc[at : at + 512]
-                coded = encoder.encode([x.decode("utf-8", "replace") if x else "" for x in part["text"]])
+                coded = encoder.encode([x or b"" for x in part["text"]])
                 for s, i, own in zip(part["shard"].tolist(), part["doc_id"], coded):
                     if held and (s != shard or size + len(own) // 4 + 1 > block_tokens):
                         yield flush()
