@@ -76,7 +76,8 @@ SENTENCES = [
     ("proprietary", "proprietary", "proprietary and confidential"),
     ("source-available", "evaluation", "for evaluation purposes only"),
 ]
-CC_PARTS = ["by", "by-sa", "by-nd", "by-nc", "by-nc-sa", "by-nc-nd"]
+#: The longer ones first, so that they win.
+CC_PARTS = ["by-nc-sa", "by-nc-nd", "by-nc", "by-sa", "by-nd", "by"]
 CC_VERSIONS = ["1.0", "2.0", "2.5", "3.0", "4.0"]
 SPDX = ["0BSD", "AFL-3.0", "AGPL-3.0", "Apache-1.1", "Apache-2.0", "Artistic-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC0-1.0", "CDDL-1.0", "CPL-1.0", "ECL-2.0", "EPL-1.0", "EPL-2.0", "EUPL-1.2", "GPL-2.0", "GPL-3.0", "ISC", "LGPL-2.1", "LGPL-3.0", "MIT", "MPL-1.1", "MPL-2.0", "MS-PL", "NCSA", "OFL-1.1", "OSL-3.0", "PostgreSQL", "Unlicense", "Zlib"]
 
