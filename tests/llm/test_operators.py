@@ -1,0 +1,424 @@
+"""Every operator against a plain version of itself, and on awkward tables."""
+
+import hashlib
+import random
+import re
+import struct
+import zlib
+
+import numpy as np
+import pytest
+
+from inkwell.llm import bpe, decontaminate, langid, licenses, pii, repetition, simhash, suffixes, tokenstore, urlrules
+from inkwell.llm.components import components
+from inkwell.llm.words import ALNUM, Words, rolled
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+ALNUM_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+SCHEMA = "doc_id long, text string, fp string, k long, component string, digits string"
+
+
+def lower(s):
+    return s.translate({i: i + 32 for i in range(65, 91)})
+
+
+def table(spark, texts, first=0):
+    """Documents with columns whose names the operators use inside."""
+    rows = [(None if t == "no id" else first + i, t, "x", 7, "c", "d") for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+def prose(r, n, vocabulary=300):
+    return " ".join(f"w{r.randrange(vocabulary)}" for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def texts():
+    r = random.Random(4)
+    base = [prose(r, r.randint(1, 260)) for _ in range(30)]
+    near = [b.replace("w1", "w2", 1) for b in base[:12]]
+    return [None, "", " \n\t ", "one", "One two", *base, *near, *base[:5], "a b " * 3000, "é漢字 🙂 ß\u0085x\u00a0y  z ", "no id", "no id"]
+
+
+@pytest.mark.parametrize("operator", [
+    simhash.simhash_groups, repetition.repetition, bpe.encoding_digests, pii.find, tokenstore.shard_digests, langid.identify, licenses.scan, suffixes.repeated_passages,
+])
+def test_empty_table(spark, operator):
+    empty = spark.createDataFrame([], SCHEMA + ", lang string")
+    assert operator(empty).collect() == []
+
+
+def brute_fingerprint(text):
+    import xxhash
+
+    words = WORD.findall(lower(text or ""))
+    if not words:
+        return 0
+    shingles = [" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))]
+    h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def test_simhash_links_all_within_four_bits(spark, texts):
+    got = simhash.simhash_groups(table(spark, texts)).collect()
+    ids = [None if t == "no id" else i for i, t in enumerate(texts)]
+    prints = [brute_fingerprint(t) for t in texts]
+    assert sorted((r.doc_id or -1, r.fingerprint) for r in got) == sorted((i or -1, f"{p:016x}") for i, p in zip(ids, prints))
+    group = list(range(len(texts)))
+    for _ in texts:
+        for a, p in enumerate(prints):
+            group[a] = min(group[b] for b, q in enumerate(prints) if (p ^ q).bit_count() <= 4)
+    least = {g: min((ids[i] for i in range(len(ids)) if group[i] == g and ids[i] is not None), default=None) for g in set(group)}
+    expected = {ids[i]: least[group[i]] for i in range(len(ids)) if ids[i] is not None}
+    assert {r.doc_id: r.component_id for r in got if r.doc_id is not None} == expected
+
+
+def test_simhash_of_dense_clusters(spark):
+    """Chains, stars and unrelated clusters of fingerprints, against all pairs."""
+    r = random.Random(11)
+    centres = [r.getrandbits(64) for _ in range(6)]
+    prints = {c ^ sum(1 << b for b in r.sample(range(64), r.randint(0, 7))) for c in centres for _ in range(60)}
+    prints |= {centres[0] ^ ((1 << k) - 1) for k in range(0, 64, 3)}
+    prints = sorted(prints)
+    signed = [p - (1 << 64) if p >> 63 else p for p in prints]
+    got = {x.node: x.component for x in simhash.linked_fingerprints(spark.createDataFrame([(s,) for s in signed], "fp long")).collect()}
+    values, seen = np.array(prints, dtype=np.uint64), {}
+    for i in range(len(prints)):
+        if i in seen:
+            continue
+        todo = [i]
+        while todo:
+            j = todo.pop()
+            if seen.setdefault(j, i) == i:
+                todo += [int(k) for k in np.nonzero(np.bitwise_count(values ^ values[j]) <= 4)[0] if int(k) not in seen]
+    for i, s in enumerate(signed):
+        members = [signed[j] for j in seen if seen[j] == seen[i]]
+        assert got.get(s, s) == min(members)
+
+
+def test_components_take_any_edges(spark):
+    edges = [(5, 4), (4, 3), (3, 3), (9, 8), (8, 9), (None, 1), (3, None), (20, 21), (22, 21), (22, 23)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    assert got == {3: 3, 4: 3, 5: 3, 8: 8, 9: 8, 20: 20, 21: 20, 22: 20, 23: 20}
+
+
+def test_one_of_each_group_stays(spark, texts):
+    docs = table(spark, [*texts, texts[6]])
+    kept = simhash.keep_one_of_each(docs)
+    assert kept.columns == docs.columns
+    groups = {r.component_id for r in simhash.simhash_groups(docs).collect() if r.doc_id is not None}
+    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(groups)
+    twice = kept.filter("doc_id is null").count()
+    assert twice == 2
+
+
+def test_repetition_base_columns(spark, texts):
+    extra = ["x y z\n\nx y z\nx y z", "#a $b | <c>\n a\n a", "the same line here\n" * 30, " ".join(["lorem ipsum dolor sit"] * 40)]
+    every = [*texts, *extra]
+    got = repetition.repetition(table(spark, every)).collect()
+    assert len(got) == len(every)
+    by_id = {r.doc_id: r for r in got}
+    for i, t in enumerate(every):
+        if t == "no id":
+            continue
+        words, seen, lines, hit = WORD.findall(t or ""), set(), 0, set()
+        for line in (t or "").split("\n"):
+            if WORD.search(line):
+                lines += line in seen
+                seen.add(line)
+        windows = list(zip(words, words[1:], words[2:]))
+        for k, w in enumerate(windows):
+            if windows.count(w) > 1 if len(windows) < 400 else len(set(windows)) < 5:
+                hit |= {k, k + 1, k + 2}
+        r = by_id[i]
+        failed = len(words) < 50 or 100 * len(hit) > 50 * len(words)
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == (len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in t or ""), lines, len(hit), failed)
+        assert not (r.base_failed and r.kept)
+    assert by_id[len(texts) + 2].kept is False
+
+
+def test_repetition_keeps_varied_prose_and_drops_repeats():
+    r = random.Random(2)
+    clean = prose(r, 300, 5000)
+    assert repetition.measure(clean.encode())[6]
+    passage = " ".join(f"p{i}" for i in range(60))
+    assert not repetition.measure(f"{clean} {passage} {passage} {passage}".encode())[6]
+    line = "a boilerplate line of the site footer that returns on every page\n"
+    assert not repetition.measure((" ".join(f"q{i}" for i in range(70)) + "\n" + line * 8).encode())[6]
+
+
+def test_bpe_equals_tiktoken():
+    import public_tokenizers as P
+    import tiktoken
+
+    own = bpe.load()
+    other = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=own.ranks, special_tokens={})
+    r = random.Random(8)
+    signs = "ab cde \n\t  é'ß漢字🙂.,!?12  's're\x1c\x85\u2003"
+    every = ["", "x", "a" * 700, "xyzw" * 300, " " * 90, "é" * 80, "=" * 300] + ["".join(r.choice(signs) for _ in range(r.randint(0, 50))) for _ in range(400)]
+    for text, ids in zip(every, own.encode_batch([t.encode() for t in every])):
+        assert np.frombuffer(ids, "<u4").tolist() == other.encode_ordinary(text), repr(text)
+        assert own.decode(ids) == text.encode()
+
+
+def test_bpe_tree_of_rows_and_of_one_piece_agree():
+    own = bpe.load()
+    r = random.Random(1)
+    pieces = [bytes(r.choice(b"abcdeinorst ") for _ in range(r.randint(2, 64))) for _ in range(300)]
+    rows = own._merge_rows(pieces, 64)
+    assert [np.frombuffer(x, "<u4").tolist() for x in rows] == [own._merge_long(p) for p in pieces]
+
+
+def test_bpe_digests(spark, texts):
+    own = bpe.load()
+    got = bpe.encoding_digests(table(spark, texts)).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        if r.doc_id is not None:
+            ids = own.encode_batch([(texts[r.doc_id] or "").encode()])[0]
+            assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256((texts[r.doc_id] or "").encode()).hexdigest())
+    docs = table(spark, ["plain words", None])
+    assert sorted((r.doc_id, r.text) for r in bpe.decode(bpe.encode(docs)).collect()) == [(0, "plain words"), (1, "")]
+
+
+def luhn(digits):
+    return sum(int(c) if i % 2 == 0 else (int(c) * 2 - 9 if int(c) > 4 else int(c) * 2) for i, c in enumerate(reversed(digits))) % 10 == 0
+
+
+def brute_spans(t):
+    patterns = {
+        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+        "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+        "card": r"[0-9]([\x20-]?[0-9])+",
+        "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    }
+    digits = lambda s: re.sub("[^0-9]", "", s)
+    checks = {
+        "email": lambda s: True,
+        "ip": lambda s: all(int(p) <= 255 for p in s.split(".")),
+        "card": lambda s: 16 <= len(digits(s)) <= 19 and luhn(digits(s)),
+        "phone": lambda s: 8 <= len(digits(s)) <= 15,
+    }
+    return [(k, m.start(), m.end()) for k, p in patterns.items() for m in re.finditer(p, t) if checks[k](m.group())]
+
+
+PERSONAL = [
+    "a@b.c@d.e a_b@c.de_x@y.zz .@-.-. é@a.b x@y",
+    "1.2.3.4 1.2.3.4.5.6.7.8 256.1.1.1 001.002.003.0004 9.9.9.9.9",
+    "4111 1111 1111 1111 and 4111-1111-1111-1112 4111111111111111 6011000990139424 1-2-3",
+    "+1 (310) 555-4510, +49 30 1234567 +1 2 +123456789012345678 +1----2 +3 4 5 6 7 8 9 0.",
+    "🙂🙂 mail é漢字 foo.bar+baz@mail8.example.com +1 (310) 555-4510 127.0.0.1",
+    "call me at 555-123-4567 or write to jane.doe (at) example (dot) com; my ssn is 123-45-6789",
+    "order 1234567890 on 2020-01-02, version 1.22.333.4444, pages 1234-5678",
+    "1" * 4000 + " " + "a" * 4000 + "@" + "b." * 3000 + "c",
+]
+
+
+def test_pii_base_spans(spark, texts):
+    every = [*texts, *PERSONAL]
+    r = random.Random(5)
+    every += ["".join(r.choice("a1.@-+ ()2") for _ in range(60)) for _ in range(200)]
+    got = {x.doc_id: x for x in pii.find(table(spark, every)).collect() if x.doc_id is not None}
+    for i, t in enumerate(every):
+        if t == "no id":
+            continue
+        spans = brute_spans(t or "")
+        x = got[i]
+        assert [x.n_email, x.n_ip, x.n_card, x.n_phone] == [sum(s[0] == k for s in spans) for k in ("email", "ip", "card", "phone")], t
+        assert x.base_sha256 == hashlib.sha256(",".join("%s:%d:%d" % s for s in spans).encode()).hexdigest()
+        assert {"%s:%d:%d" % s for s in spans} <= set(x.spans.split(",")) or not spans
+    spelled = got[len(texts) + 5]
+    kinds = [s.split(":")[0] for s in spelled.spans.split(",")]
+    assert sorted(kinds) == ["email", "id", "phone"]
+    assert got[len(texts) + 6].spans == ""
+
+
+def test_pii_redaction_keeps_rows_and_columns(spark, texts):
+    docs = table(spark, [*texts, *PERSONAL])
+    out = pii.redact(docs)
+    assert out.columns == docs.columns and out.count() == docs.count()
+    got = {x.doc_id: x.text for x in out.collect() if x.doc_id is not None}
+    assert got[0] is None and got[1] == ""
+    assert got[5] == texts[5]
+    assert got[len(texts) + 4] == "🙂🙂 mail é漢字 [EMAIL] [PHONE] [IP]"
+    assert "555-123" not in got[len(texts) + 5] and "6789" not in got[len(texts) + 5]
+
+
+def test_pii_model_separates_its_held_out_rows(spark):
+    _, limits = pii.fit(spark)
+    assert all(limits[k] < 1 for k in ("email", "phone", "id", "card"))
+
+
+def test_token_shards_round_trip(spark, texts):
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    some = [t for t in texts if t != "no id"] + ["<|endoftext|> a  <|endoftext|>b"]
+    got = {r.doc_id: r for r in tokenstore.shard_digests(table(spark, some), block_tokens=5000).collect()}
+    at = 0
+    for i, t in enumerate(some):
+        ids = library.encode(t or "", add_special_tokens=False).ids + [0]
+        assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (at, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids)))
+        at += len(ids)
+
+
+def test_repair_blocks_decode_each_document():
+    r = random.Random(3)
+    ids = np.array([r.choice([1, 2, 3, 3, 3, 9]) for _ in range(5000)], dtype=np.uint32)
+    ends = np.array([0, 0, 10, 11, 2000, 5000])
+    symbols, cut, rules = tokenstore.compress(ids, ends, 100)
+    assert len(symbols) < len(ids) / 2 and len(rules)
+    block = tokenstore.Block(tokenstore.pack(symbols, cut, rules, 100))
+    for i, (a, b) in enumerate(zip([0, *ends], ends)):
+        assert block.document(i).tolist() == ids[a:b].tolist()
+
+
+def test_language_on_held_out_rows(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = langid.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").toPandas()
+    assert (got.lang == got.lang_pred).mean() > 0.97
+    assert got.score.between(0, 1).all()
+
+
+def test_language_of_awkward_texts(spark):
+    rows = [(i, f"the {w} of and to in that is was he for it with as his on be at by", "en") for i, w in enumerate("abcdefgh")]
+    rows += [(20 + i, f"der {w} die und in den von zu das mit sich des auf für ist im dem nicht", "de") for i, w in enumerate("abcdefgh")]
+    rows += [(40, None, "en"), (41, "12 34 !!", "en"), (42, "", None), (43, "the and of that is", None)]
+    got = {r.doc_id: r for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert [got[i].lang_pred for i in (40, 41, 42, 43)] == ["und", "und", "und", "en"]
+    unlabelled = spark.createDataFrame([(1, "some text", None)], "doc_id long, text string, lang string")
+    assert langid.identify(unlabelled).first().lang_pred == "und"
+
+
+def test_url_rules(spark):
+    rules = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"), (None, "/", "block")]
+    urls = [None, "", "no scheme/en/", "http://A.Example.COM/en/712?x#y", "https://example.com/en/6", "x://example.com", "http://notexample.net/de/8", "http://m.example.net/de/8#", "http://org/es/1", "http://a.org?u=://b.com/en/", "http://a.com/EN/1", "http://net/de/", "a://b://com/en/"]
+    rows = [(i, u, "h", "p") for i, u in enumerate([*urls, *urls])]
+    got = urlrules.apply_rules(spark.createDataFrame(rows, "page_id long, url string, host string, path string"), spark.createDataFrame(rules, "host string, path string, action string")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        u, host, path = urls[r.page_id % len(urls)], "", ""
+        if u and "://" in u:
+            rest = u.split("://", 1)[1]
+            host, path = re.match("[^/?#]*", rest).group(), ""
+            path = re.match("[^?#]*", rest[len(host) :]).group()
+            host = lower(host)
+        fits = [(len(h + p), h + p, v) for h, p, v in rules[:-1] if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        rule, verdict = max(fits)[1:] if fits else (None, "allow")
+        assert (r.host, r.path, r.rule, r.verdict) == (host, path, rule, verdict)
+
+
+def test_licenses(spark, texts):
+    extra = [
+        "MIT License mit license MIT/License", "the Apache-License, version 2.0", "GNU General Public License, version 3.", "general public", "SPDX-License-Identifier: BSD-3-Clause",
+        "Licensed under CC BY-NC 4.0.", "mit licenses", "Apache license general public license mit license",
+    ]
+    every = [*texts, *extra]
+    got = {r.doc_id: r for r in licenses.scan(table(spark, every)).collect() if r.doc_id is not None}
+    phrases = {"mit": ["mit", "license"], "apache": ["apache", "license"], "gpl": ["general", "public", "license"]}
+    for i, t in enumerate(every):
+        if t == "no id":
+            continue
+        words = ALNUM_WORD.findall(lower(t or ""))
+        places = {k: [a for a in range(len(words)) if words[a : a + len(p)] == p] for k, p in phrases.items()}
+        flat = sum(places.values(), [])
+        r = got[i]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == (len(words), len(flat), min(flat, default=None), max(flat, default=None), ",".join(sorted(k for k in places if places[k])))
+        assert set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1
+    n = len(texts)
+    assert got[n + 4].labels == "bsd-3-clause" and got[n + 1].labels == "apache,apache-2"
+    assert got[n + 5].labels == "cc-by-nc-4.0" and got[n + 2].labels == "gpl,gpl-3"
+    assert len(licenses.rules()) > 200
+
+
+def brute_repeats(docs, min_words):
+    windows, words, copies = {}, {}, {}
+    for d, t in docs:
+        words[d] = t.encode().translate(ALNUM).split()
+        copies[t] = copies.get(t, 0) + 1
+        for a in range(len(words[d]) - min_words + 1):
+            windows.setdefault(tuple(words[d][a : a + min_words]), set()).add(t)
+    out = {}
+    for d, t in docs:
+        hit = set(range(len(words[d]))) if copies[t] > 1 and len(words[d]) >= min_words else set()
+        for a in range(len(words[d]) - min_words + 1):
+            if len(windows[tuple(words[d][a : a + min_words])]) > 1:
+                hit.update(range(a, a + min_words))
+        if hit:
+            out[d] = len(hit)
+    return out
+
+
+@pytest.mark.parametrize("min_words,spread", [(50, 24), (12, 5)])
+def test_repeated_passages(spark, min_words, spread):
+    r = random.Random(min_words)
+    passages = [prose(r, r.randint(min_words - 4, min_words + 30)).split() for _ in range(8)]
+    docs = []
+    for i in range(50):
+        words = prose(r, r.randint(20, 250)).split()
+        for _ in range(r.choice([0, 1, 2])):
+            p, k = r.choice(passages), r.randint(0, len(words))
+            words[k:k] = p[r.randint(0, 6) : len(p) - r.randint(0, 5)]
+        docs.append((i, " ".join(words)))
+    docs += [(100 + i, docs[i][1]) for i in range(4)] + [(200, ""), (201, "same " * 120), (202, "same " * 90), (203, None)]
+    got = suffixes.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string"), min_words=min_words, spread=spread).collect()
+    assert {x.doc_id: x.n_repeated for x in got} == brute_repeats([d for d in docs if d[1] is not None], min_words)
+    assert len(got) == len({x.doc_id for x in got})
+
+
+def test_rolled_hashes_are_those_of_their_words():
+    words = Words([b"the cat", b"sat on the cat", None, b""])
+    assert len(words) == 6 and words.bounds.tolist() == [0, 2, 6, 6, 6]
+    two = rolled(words.hashes, 2)
+    assert two[0] == two[4] and len(set(two.tolist())) == 4
+
+
+def brute_hits(items, texts, width):
+    windows = {}
+    for i, t in items:
+        w = ALNUM_WORD.findall(lower(t or ""))
+        k = min(width, len(w))
+        for a in range(len(w) - k + 1 if w else 0):
+            windows.setdefault(tuple(w[a : a + k]), set()).add(i)
+    out = []
+    for t in texts:
+        w, hit, found = ALNUM_WORD.findall(lower(t or "")), set(), set()
+        for k in {len(x) for x in windows}:
+            for a in range(len(w) - k + 1):
+                if tuple(w[a : a + k]) in windows:
+                    found |= windows[tuple(w[a : a + k])]
+                    hit.update(range(a, a + k))
+        out.append((len(w), len(hit), sorted(found, key=str)))
+    return out
+
+
+def test_matches_of_random_benchmarks():
+    r = random.Random(6)
+    for _ in range(150):
+        items = [(str(i), " ".join(r.choice("ab") for _ in range(r.randint(0, 6)))) for i in range(4)]
+        some = [" ".join(r.choice("abC") for _ in range(r.randint(0, 25))) for _ in range(5)] + ["", None]
+        bench = decontaminate.Benchmark([(i, t.encode()) for i, t in items], 4)
+        got = decontaminate.matches(bench, [t.encode() if t else None for t in some])
+        assert [(g[0], sum(e - s for s, e in zip(g[1], g[2])), g[3]) for g in got] == brute_hits(items, some, 4)
+
+
+@pytest.mark.parametrize("block_bytes", [10, 10**6])
+def test_contamination(spark, texts, monkeypatch, block_bytes):
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block_bytes)
+    long = [t for t in texts if t and len(t.split()) > 40][:3]
+    items = [(0, " ".join(long[0].split()[5:30])), (1, "One two"), (2, None), (3, ""), (None, " ".join(long[1].split()[:12])), (10, " ".join(long[2].split()[3:15]).upper())]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = table(spark, texts)
+    expected = brute_hits([(str(i) if i is not None else None, t) for i, t in items], texts, 10)
+    got = {r.doc_id: r for r in decontaminate.contamination(docs, bench).collect() if r.doc_id is not None}
+    for i, (n, hit, found) in enumerate(expected):
+        found = [x for x in found if x is not None]
+        if texts[i] != "no id":
+            r = got[i]
+            assert (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) == (n, hit, len(found), hashlib.sha256(",".join(found).encode()).hexdigest(), hit > 0)
+    clean = decontaminate.clean(docs, bench)
+    assert clean.columns == docs.columns
+    assert clean.count() == sum(e[1] == 0 for e in expected)
+    empty = spark.createDataFrame([], "item_id long, text string")
+    assert decontaminate.clean(docs, empty).count() == len(texts)
