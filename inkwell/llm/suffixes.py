@@ -129,7 +129,10 @@ def repeated_windows(docs: DataFrame, text_col: str, min_words: int, spread: int
     rows = stored(texts.mapInPandas(_gathered(_suffixes(min_words, spread)), SUFFIXES), "suffixes")
     sizes = rows.filter("pos < 0").select("cls", (-1 - F.col("pos")).alias("n_words")).distinct()
     suffixes = rows.filter("pos >= 0")
-    shared = stored(suffixes.join(_in_two_texts(suffixes, "k"), "k", "left_semi").distinct(), "suffixes-shared")
+    # no step that needs a key's rows together follows the join, so that a key with
+    # very many rows can be split; copies are dropped by all columns afterwards
+    met = stored(suffixes.join(_in_two_texts(suffixes, "k"), "k", "left_semi"), "suffixes-met")
+    shared = stored(met.distinct(), "suffixes-shared")
     full = _in_two_texts(shared.filter("full is not null").select("full", "cls"), "full").withColumn("both", F.lit(True))
     held = shared.join(full, "full", "left").select("k", "cls", "pos", "full", F.coalesce("both", F.lit(False)).alias("both"))
     order = Window.partitionBy("cls").orderBy("pos")
@@ -143,7 +146,7 @@ def repeated_windows(docs: DataFrame, text_col: str, min_words: int, spread: int
     found = steps.join(_in_two_texts(steps, "full"), "full", "left_semi").select("cls", "pos", "full")
     out = stored(found.unionByName(marked.filter("both").select("cls", "pos", "full")).distinct(), "suffixes-windows")
     sizes = stored(sizes, "suffixes-sizes")
-    for gone in (rows, shared, marked, steps):
+    for gone in (rows, met, shared, marked, steps):
         dropped(gone)
     return out, sizes
 
