@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-KINDS = ("email", "ip", "card", "phone", "id")
+KINDS = ("email", "ip", "card", "phone", "id", "secret")
 #: Labelled rows that the trees are fitted and calibrated on; the documented bound.
 TRAINING_ROWS = 4000
 TREES, DEPTH, RATE = 40, 3, 0.3
@@ -38,8 +38,10 @@ BASE = {
     "card": r"[0-9](?:[\x20-]?+[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: Candidate generators; the second overlaps the first.
+#: Candidate generators; their spans may overlap.
 GENERATORS = {
+    "dialled": r"\+[0-9]{1,3}[\x20.-]?\(?[0-9]{2,4}\)?[\x20.-]?[0-9]{3,4}[\x20.-]?[0-9]{3,4}(?![0-9])",
+    "token": r"(?<![0-9A-Za-z_/+-])(?=[A-Za-z_/+-]*+[0-9])(?=[0-9_/+-]*+[A-Za-z])[A-Za-z0-9_/+-]{16,80}+(?![0-9A-Za-z])",
     "number": r"(?<![0-9A-Za-z])\(?+[0-9](?:[\x20().:/-]{0,2}+[0-9])++",
     "coded": r"(?<![0-9A-Za-z])(?:[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?|(?:[0-9A-Fa-f]{1,4}:){5,7}[0-9A-Fa-f]{1,4})(?![0-9A-Za-z])",
     "spelled": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?[(\[](?:at|AT)[)\]]\x20?[A-Za-z0-9-]++(?:(?:\.|\x20?[(\[](?:dot|DOT)[)\]]\x20?)[A-Za-z0-9-]++)++",
@@ -62,7 +64,7 @@ CHECKS = {
     "phone": "length(regexp_replace(s.x, '[^0-9]', '')) between 8 and 15",
 }
 #: A text that fails its test has no match of the kind; it spares the pattern.
-TESTS = {"email": "instr(text, '@') > 0", "ip": "digits", "card": "digits", "phone": "digits and instr(text, '+') > 0", "number": "digits", "coded": "digits", "spelled": "text rlike '[(\\\\[](?:at|AT)[)\\\\]]'"}
+TESTS = {"email": "instr(text, '@') > 0", "ip": "digits", "card": "digits", "phone": "digits and instr(text, '+') > 0", "number": "digits", "coded": "digits", "dialled": "digits and instr(text, '+') > 0", "token": "digits", "spelled": "text rlike '[(\\\\[](?:at|AT)[)\\\\]]'"}
 
 
 def _sql(pattern: str) -> str:
@@ -107,10 +109,15 @@ FEATURES = {
     "mail": "cast(c.l rlike '(?i)(mail|contact|write|reach)' as int)",
     "thing": "cast(c.l rlike '(?i)(order|invoice|version|page|isbn|issn|build|serial|part|sku|ticket|no[.]|doi|lot)' as int)",
     "money": "cast(c.l rlike '[$€£¥#v]\\\\s?$' as int)",
+    "plus": "cast(c.x rlike '^[+]' as int)",
+    "upper": "least(length(regexp_replace(c.x, '[^A-Z]', '')), 24)",
+    "hex": "cast(c.x rlike '^([0-9a-f]{16,}|[0-9A-F]{16,})$' as int)",
+    "access": "cast(c.x rlike '^(AKIA|ASIA|ghp_|gho_|sk-|sk_|xox|glpat-)' as int)",
+    "assigned": "cast(c.l rlike '(?i)(password|passwd|pwd|secret|token|api.?key|access.?key|auth|bearer)[^A-Za-z0-9]{0,6}$' as int)",
     "unit": "cast(c.r rlike '^ ?([%€]|km|kg|usd|eur|pages|items|people|years|ms|mb|gb)' as int)",
 }
 FEATURE_NAMES = list(FEATURES)
-KIND_OF = "CASE WHEN c.x rlike '(?i)[(\\\\[]at[)\\\\]]' THEN 'email' WHEN c.x rlike '[A-Za-z]' OR regexp_count(c.x, ':') >= 5 OR c.x rlike '^[0-9]{3}[- ][0-9]{2}[- ][0-9]{4}$' THEN 'id' WHEN length(regexp_replace(c.x, '[^0-9]', '')) >= 13 THEN 'card' ELSE 'phone' END"
+KIND_OF = "CASE WHEN c.x rlike '(?i)[(\\\\[]at[)\\\\]]' THEN 'email' WHEN c.x rlike '^[A-Za-z0-9_/+-]{16,}$' AND c.x rlike '[A-Za-z]' AND NOT c.x rlike '^[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}$' THEN 'secret' WHEN c.x rlike '[A-Za-z]' OR regexp_count(c.x, ':') >= 5 OR c.x rlike '^[0-9]{3}[- ][0-9]{2}[- ][0-9]{4}$' THEN 'id' WHEN length(regexp_replace(c.x, '[^0-9]', '')) >= 13 THEN 'card' ELSE 'phone' END"
 
 
 def training_rows(n: int = TRAINING_ROWS, seed: int = 7) -> list[tuple[str, str, str, int]]:
@@ -131,7 +138,19 @@ def training_rows(n: int = TRAINING_ROWS, seed: int = 7) -> list[tuple[str, str,
         lambda: (r.choice(["mail ", "write to ", "contact ", w() + " "]), f"{w()}.{w()} (at) {w()} (dot) com"),
         lambda: (r.choice(["mail ", "contact "]), f"{w()}[at]{w()}.org"),
     ]
+    hexed = lambda k: "".join(r.choice("0123456789abcdef") for _ in range(k))
+    mixed = lambda k: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(k))
+    personal += [
+        lambda: (w() + " ", f"+{r.randint(1, 99)} ({d(3)}) {d(3)}-{d(4)}"),
+        lambda: (r.choice(["password=", "passwd: ", "pwd=", 'token = "', "secret: ", "api_key="]), "a1" + hexed(r.randint(14, 40))),
+        lambda: (r.choice(["token=", 'auth_token: "', "access key ", "api key: "]), "x9" + mixed(r.randint(18, 40))),
+        lambda: (w() + " ", "AKIA" + "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(15)) + "7"),
+        lambda: (w() + " ", "ghp_" + "b4" + mixed(34)),
+    ]
     other = [
+        lambda: (r.choice(["commit ", "sha1 ", "build ", w() + " "]), "a1" + hexed(r.choice([18, 30, 38]))),
+        lambda: (r.choice(["page ", w() + " "]), f"{w()}-{w()}-{w()}-{d(2)}-{w()}-{w()}"),
+        lambda: (w() + " ", f"{w()}/{w()}/{w()}/{d(4)}/{w()}"),
         lambda: (r.choice(["on ", "since ", w() + " "]), f"20{d(2)}-{d(2)}-{d(2)}"),
         lambda: (r.choice(["on ", "until "]), f"{d(2)}/{d(2)}/{d(4)} {d(2)}:{d(2)}"),
         lambda: (r.choice(["order ", "invoice no. ", "ticket ", "serial "]), d(r.randint(7, 16))),
@@ -245,7 +264,7 @@ def _spans(df: DataFrame, training: int) -> DataFrame:
     df = df.withColumns({k: F.expr(f"transform(filter({k}, s -> {CHECKS[k]}), s -> struct(s.a as a, s.b as b, '{k}' as kind))") for k in BASE})
     df = df.withColumn("__base", F.concat(*[F.col(k) for k in BASE]))
     df = _matches(df, GENERATORS)
-    usable = "length(regexp_replace(c.x, '[^0-9]', '')) between 7 and 24 or c.x rlike '(?i)[(\\\\[]at[)\\\\]]' or c.x rlike '[A-Fa-f]'"
+    usable = "length(regexp_replace(c.x, '[^0-9]', '')) between 7 and 24 or c.x rlike '[A-Za-z]'"
     df = df.withColumn("__c", F.expr(f"filter(concat({', '.join(GENERATORS)}), c -> {usable})"))
     df = df.withColumn("__c", F.expr("filter(__c, c -> not exists(__base, o -> o.a < c.b and c.a < o.b))"))
     df = df.withColumn("__c", F.expr(f"transform(__c, c -> struct(c.a as a, c.b as b, c.x as x, substr(text, cast(greatest(c.a - {CONTEXT}, 0) + 1 as int), cast(least(c.a, {CONTEXT}) as int)) as l, substr(text, cast(c.b + 1 as int), {CONTEXT}) as r))"))
