@@ -11,12 +11,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import lines as ln
 from ..functions import markdown as md
 from ..functions import quality as ql
 from ..functions import repair as rp
 from ..functions import sheet as sh
 from ..functions import text as tx
 from ..operators import cells as cl
+from ..operators import layout as ly
 from ..operators import pages as pg
 from ..operators import runs as rn
 from ..sources import convert as cv
@@ -440,3 +442,63 @@ def delimited_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = joined.groupBy("r_name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", line.alias("l")))), lambda s: s["l"]), "\r\n").alias("body"))
     content = F.concat(F.lit("key;name\r\n"), F.col("body")).cast("binary")
     return cv.convert(files.select(F.concat("r_name", F.lit(".csv")).alias("path"), content.alias("content"))).select("doc_id", "format", "markdown")
+
+
+# Layout
+
+#: Words of a document as positioned items: column of the word and line of the text.
+_ITEMS_SQL = """(SELECT doc_id, (i - 1) // 200 AS page, i AS idx, w AS text, CAST(50 + ((i - 1) % 5) * 50 + CASE WHEN (i - 1) % 10 >= 5 THEN 300 ELSE 0 END AS DOUBLE) AS x, CAST(780 - (((i - 1) % 200) // 10) * 14 AS DOUBLE) AS y, CAST(40 AS DOUBLE) AS width FROM (SELECT doc_id, unnest(list_slice(a, 1, 1000)) AS w, generate_subscripts(list_slice(a, 1, 1000), 1) AS i FROM (SELECT doc_id, list_filter(string_split(replace(coalesce(text, ''), chr(10), ' '), ' '), lambda x: x <> '') AS a FROM documents)))""".replace("list_slice(a, 1, 1000)", "a")
+
+
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    split = F.filter(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " "), lambda w: w != "")
+    words = _documents(spark, sf_dir).select("doc_id", F.posexplode(split).alias("i", "text"))
+    i = F.col("i")
+    return words.select(
+        "doc_id", F.floor(i / 200).cast("int").alias("page"), (i + 1).alias("idx"), "text",
+        (50 + (i % 5) * 50 + F.when(i % 10 >= 5, 300).otherwise(0)).cast("double").alias("x"), (780 - F.floor((i % 200) / 10) * 14).cast("double").alias("y"),
+        F.lit(40.0).alias("width"), F.lit(10.0).alias("font_size"), F.lit(False).alias("bold"),
+    )
+
+
+@query(f"SELECT doc_id, CAST(page AS INTEGER) AS page, CAST(bin AS BIGINT) AS bin, count(*) AS n FROM (SELECT doc_id, page, unnest(range(CAST(x // 2 AS BIGINT), CAST((x + width) // 2 AS BIGINT) + 1)) AS bin FROM {_ITEMS_SQL}) GROUP BY ALL")
+def item_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ly.x_histogram(_items(spark, sf_dir))
+
+
+@query(f"SELECT doc_id, CAST(page AS INTEGER) AS page, CASE WHEN count(*) >= 40 AND (max(y) - min(y)) > 0 THEN 315.0::DOUBLE END AS gutter FROM {_ITEMS_SQL} GROUP BY doc_id, page HAVING count(*) = 200")
+def page_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = _items(spark, sf_dir)
+    full = items.groupBy("doc_id", "page").count().filter("count = 200").select("doc_id", "page")
+    found = ly.column_gutters(items).join(full, ["doc_id", "page"])
+    near = F.filter("gutters", lambda g: F.abs(g - 318) <= 8)
+    return found.select("doc_id", "page", F.when(F.size(near) > 0, F.lit(315.0)).alias("gutter"))
+
+
+@query(f"SELECT doc_id, CAST(page AS INTEGER) AS page, CAST(count(DISTINCT y) AS BIGINT) AS n_lines, min(CASE WHEN y = 780 THEN top END) AS first FROM (SELECT *, string_agg(text, ' ') OVER (PARTITION BY doc_id, page, y ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS top FROM (SELECT * FROM {_ITEMS_SQL} ORDER BY idx)) GROUP BY doc_id, page")
+def grouped_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = ly.group_lines(_items(spark, sf_dir).withColumn("text", F.regexp_replace("text", "^$", "_")))
+    return lines.groupBy("doc_id", "page").agg(F.count("*").alias("n_lines"), F.min(F.when(F.col("line") == 0, F.col("text"))).alias("first"))
+
+
+@query(f"SELECT doc_id, CAST(page AS INTEGER) AS page, 295.0::DOUBLE + 25 AS cut FROM {_ITEMS_SQL} GROUP BY doc_id, page HAVING sum(CASE WHEN x < 300 THEN 1 ELSE 0 END) >= 3 AND sum(CASE WHEN x >= 300 THEN 1 ELSE 0 END) >= 3 AND count(*) >= 20".replace("count(*) >= 20", "greatest(sum(CASE WHEN x < 300 THEN 1 ELSE 0 END), sum(CASE WHEN x >= 300 THEN 1 ELSE 0 END)) >= 10"))
+def page_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ly.widest_cut(_items(spark, sf_dir)).withColumn("cut", F.when(F.abs(F.col("cut") - 320) <= 30, F.lit(320.0)).otherwise(F.col("cut")))
+
+
+_SHAPES = "CASE doc_id % 8 WHEN 0 THEN 'Figure ' || doc_id || ': x' WHEN 1 THEN '• ' || doc_id WHEN 2 THEN doc_id || '. Item' WHEN 3 THEN 'Chapter .... ' || (doc_id % 900) WHEN 4 THEN '1.' || (doc_id % 30) || '. Section Name' WHEN 5 THEN 'IV) Part' WHEN 6 THEN 'plain words of a line' ELSE 'x = f(y);' END"
+
+
+@query(
+    f"SELECT doc_id, regexp_matches(lower(l), '^(figure|table) *[0-9(#]') AS caption, regexp_matches(l, '^[•○●◦*-] ') OR (regexp_matches(substr(l, 1, 5), '[0-9]') AND regexp_matches(substr(l, 1, 5), '^[0-9]*[.)]')) OR regexp_matches(l, '^[A-Za-z][.)]') AS item, contains(l, '....') AS leaders, regexp_matches(l, '\\.{{3,}} *[0-9]{{1,4}}$') AS toc, CASE WHEN regexp_matches(l, '^[0-9]{{1,3}}(\\.[0-9]{{1,3}})*\\. ') THEN len(regexp_extract_all(split_part(l, ' ', 1), '[0-9]+'))::INTEGER WHEN l LIKE 'IV)%' THEN 1 END AS depth, l LIKE '%;' OR length(regexp_replace(l, '[^{{}}()\\[\\];=<>]', '', 'g')) >= 3 AS code FROM (SELECT doc_id, {_SHAPES} AS l FROM documents)"
+)
+def line_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col("l")
+    shaped = _read(spark, sf_dir, "documents").select("doc_id", F.expr(_SHAPES).alias("l")).withColumn("n", ln.numbering(c))
+    return shaped.select("doc_id", ln.is_caption(c).alias("caption"), ln.is_list_item(c).alias("item"), ln.has_dot_leaders(c).alias("leaders"), ln.is_toc_entry(c).alias("toc"), F.when(F.col("n").isNotNull(), F.size("n.parts")).alias("depth"), ln.is_code_like(c).alias("code"))
+
+
+@query("WITH e AS (SELECT doc_id % 10 AS doc_id, CAST(n_chars % 400 AS DOUBLE) AS p FROM documents), m AS (SELECT *, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 6 THEN 0 ELSE 1 END AS nw FROM e), g AS (SELECT *, sum(nw) OVER (PARTITION BY doc_id ORDER BY p, nw DESC ROWS UNBOUNDED PRECEDING) AS k FROM m) SELECT doc_id, round(avg(p), 6) AS position, count(*) AS n FROM g GROUP BY doc_id, k")
+def snapped_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = _read(spark, sf_dir, "documents").select((F.col("doc_id") % 10).alias("doc_id"), F.lit(0).alias("page"), F.lit("x").alias("axis"), (F.col("n_chars") % 400).cast("double").alias("position"))
+    return ly.snap_edges(edges).select("doc_id", F.round("position", 6).alias("position"), "n")
