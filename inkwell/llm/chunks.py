@@ -14,8 +14,8 @@ import numpy as np
 from .words import span_hashes
 
 #: Chunks that the table holds, and ids; beyond either it starts afresh.
-ENTRIES, IDS = 1_200_000, 12_000_000
-_SLOTS = 1 << 22
+ENTRIES, IDS = 900_000, 8_000_000
+_SLOTS = 1 << 21
 
 # after a space these bytes may begin white space, so there is no cut before them
 _SOLID = np.ones(256, dtype=bool)

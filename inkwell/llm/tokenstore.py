@@ -13,7 +13,6 @@ Spark's own writer makes the files, so a lost task leaves none behind.
 from __future__ import annotations
 
 import struct
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +29,8 @@ END_ID = 0
 #: Ids of a block, about; a longer document is a block of its own.
 BLOCK_TOKENS = 2_000_000
 ROUNDS = 2
+#: Bytes that a worker gets at once.
+WORKER_BATCH = "8m"
 #: Bits of the table that counts pairs, and most rules a round adds.
 HASH_BITS, RULES_A_ROUND, LEAST_COUNT = 20, 7500, 16
 TAIL = ".,;:!?"
@@ -68,29 +69,30 @@ class Encoder:
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _word(self, text: str) -> bytes:
-        ids = self.words.get(text)
-        if ids is None:
-            tokens = self.library.model.tokenize(text.encode().decode("latin-1").translate(self.letters))
-            ids = array("I", [t.id for t in tokens]).tobytes()
-            if len(text) <= LONGEST_REMEMBERED:
-                self.words[text] = ids
-        return ids
+    def _tokenize(self, matches: list[str]) -> None:
+        """Remember the ids of single matches of the pattern, all at once."""
+        if not matches:
+            return
+        written = "\n".join(matches).encode().decode("latin-1").translate(self.letters).split(self.letters[10])
+        found = list(map(self.library.model.tokenize, written))
+        ends = (4 * np.cumsum(list(map(len, found)))).tolist()
+        packed = np.array([t.id for tokens in found for t in tokens], dtype="<u4").tobytes()
+        self.words.update(zip(matches, [packed[a:b] for a, b in zip([0, *ends], ends)]))
 
     def _learn(self, chunks: list[bytes]) -> list[bytes]:
         """Packed ids of chunks (see ``chunks``)."""
         if len(self.words) > REMEMBERED:
             self.words.clear()
-        out: list[bytes | None] = []
-        odd: list[int] = []
         texts = [c.decode("utf-8", "replace") for c in chunks]
-        for i, text in enumerate(texts):
-            stem = text.rstrip(TAIL)
-            if stem[:1] == " " and stem[1:].isalpha():
-                out.append(self._word(stem) + self._word(text[len(stem) :]) if len(stem) < len(text) else self._word(stem))
-            else:
-                out.append(None)
-                odd.append(i)
+        stems = [t.rstrip(TAIL) for t in texts]
+        tails = [t[len(s) :] for t, s in zip(texts, stems)]
+        plain = [s[:1] == " " and s[1:].isalpha() and len(s) <= LONGEST_REMEMBERED for s in stems]
+        wanted = {s for s, own in zip(stems, plain) if own} | {t for t, own in zip(tails, plain) if own and len(t) <= LONGEST_REMEMBERED}
+        wanted.discard("")
+        self._tokenize([m for m in wanted if m not in self.words])
+        get = self.words.get
+        out = [get(s) + (get(t) if t else b"") if own and len(t) <= LONGEST_REMEMBERED else None for s, t, own in zip(stems, tails, plain)]
+        odd = [i for i, ids in enumerate(out) if ids is None]
         for i, ids in zip(odd, self._library([texts[i] for i in odd])):
             out[i] = ids
         return out
@@ -265,7 +267,13 @@ def write_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     shard = F.coalesce(F.size(F.filter(bounds, lambda b: b <= F.col("doc_id"))), F.lit(0)).cast("int")
     dealt = rows.withColumn("shard", shard).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", F.asc_nulls_first("doc_id"))
     blocks = dealt.mapInPandas(_blocks(path, end_id, block_tokens), BLOCK)
-    return stored(blocks, "token-blocks")
+    conf, key = docs.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = conf.get(key)
+    conf.set(key, WORKER_BATCH)
+    try:
+        return stored(blocks, "token-blocks")
+    finally:
+        conf.set(key, before)
 
 
 def read_shards(blocks: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ import numpy as np
 import pandas as pd
 
 #: Bytes of text that are hashed at once; a longer text is a batch of its own.
-BATCH_BYTES = 4_000_000
+BATCH_BYTES = 1_500_000
 _B = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_B, -1, 1 << 64)
 
