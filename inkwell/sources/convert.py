@@ -6,6 +6,7 @@ Failures are rows with an error, never a failed job.
 from __future__ import annotations
 
 import io
+import struct
 import zipfile
 from collections.abc import Iterator
 
@@ -13,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import delimited, html, packages, pdf, rtf
+from . import delimited, html, legacy, packages, pdf, rtf
 from .model import Block, ConvertError, Run, escape, render
 
 CONVERTED = "doc_id string, format string, markdown string, error_code string, error string"
@@ -40,8 +41,11 @@ def detect(data: bytes, name: str = "") -> str | None:
             if any(n.lower().startswith(prefix) for n in listed):
                 return found
         return MEDIA.get(kind) or ("epub" if "META-INF/container.xml" in listed else ending)
-    if data[:8] == bytes.fromhex("d0cf11e0a1b11ae1"):
-        return ending if ending in ("doc", "xls", "ppt") else "doc"
+    if data[:8] == legacy.SIGNATURE:
+        try:
+            return legacy.kind_of(data) or ending
+        except (ConvertError, struct.error):
+            return ending
     start = data[:512].lstrip().lower()
     if start.startswith((b"<!doctype html", b"<html")):
         return "html"
@@ -49,7 +53,7 @@ def detect(data: bytes, name: str = "") -> str | None:
 
 
 def blocks(data: bytes, kind: str | None) -> list[Block]:
-    readers = {"csv": delimited.read, "html": html.read, "rtf": rtf.read, "pdf": pdf.read}
+    readers = {"csv": delimited.read, "html": html.read, "rtf": rtf.read, "pdf": pdf.read, "doc": legacy.read_doc, "xls": legacy.read_xls, "ppt": legacy.read_ppt}
     if kind in readers:
         return readers[kind](data)
     if kind in ("docx", "xlsx", "pptx", "odt", "ods", "odp", "epub"):
@@ -132,4 +136,31 @@ def html_blocks(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
     return some.mapInPandas(run, f"doc_id {kind}, ord int, kind string, level int, text string, markdown string")
 
 
-__all__ = ["Block", "Run", "convert", "detect", "html_blocks", "inspect_pdf", "markdown", "read_files"]
+def register(spark: SparkSession) -> None:
+    """SQL functions: to_markdown(content, name), detect_format(content, name) and
+    md_escape(text).  Files that cannot be read give null."""
+    from pyspark.sql.types import StringType
+
+    def safe(function, *values):
+        try:
+            return function(*values)
+        except Exception:  # as in ``convert``: one file's fault is its own
+            return None
+
+    @F.pandas_udf(StringType())
+    def to_markdown(content: pd.Series, name: pd.Series) -> pd.Series:
+        return pd.Series([safe(lambda c, n: markdown(bytes(c), n or "")[1], c, n) for c, n in zip(content, name)])
+
+    @F.pandas_udf(StringType())
+    def detect_format(content: pd.Series, name: pd.Series) -> pd.Series:
+        return pd.Series([safe(lambda c, n: detect(bytes(c), n or ""), c, n) for c, n in zip(content, name)])
+
+    @F.pandas_udf(StringType())
+    def md_escape(text: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else escape(t, True) for t in text])
+
+    for name, function in (("to_markdown", to_markdown), ("detect_format", detect_format), ("md_escape", md_escape)):
+        spark.udf.register(name, function)
+
+
+__all__ = ["Block", "Run", "convert", "detect", "html_blocks", "inspect_pdf", "markdown", "read_files", "register"]

@@ -1,12 +1,13 @@
 """Readers on files that the tests make themselves."""
 
 import io
+import struct
 import zipfile
 import zlib
 
 import pytest
 
-from inkwell.sources import convert, delimited, html, model, pdf
+from inkwell.sources import convert, delimited, html, legacy, model, pdf
 from inkwell.streaming import files
 
 W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
@@ -100,6 +101,71 @@ def test_page_file(compressed):
     assert pdf.inspect(data)["kind"] == "text"
 
 
+def compound(streams):
+    """A compound file of large streams (4096 bytes at least, 512-byte sectors)."""
+    bodies = [(n, b.ljust(4096, b"\0")) for n, b in streams.items()]
+    bodies = [(n, b.ljust(-(-len(b) // 512) * 512, b"\0")) for n, b in bodies]
+    entries, chain, sectors = [], [], b""
+
+    def add(data):
+        nonlocal sectors
+        first = len(chain)
+        count = len(data) // 512
+        chain.extend([*range(first + 1, first + count), 0xFFFFFFFE])
+        sectors += data
+        return first
+
+    def entry(name, kind, start, size):
+        raw = name.encode("utf-16-le") + b"\0\0"
+        return raw.ljust(64, b"\0") + struct.pack("<HBB", len(raw), kind, 1) + struct.pack("<III", *[0xFFFFFFFF] * 3) + b"\0" * 36 + struct.pack("<IQ", start, size)
+
+    for name, body in bodies:
+        entries.append(entry(name, 2, add(body), len(body)))
+    directory = b"".join([entry("Root Entry", 5, 0xFFFFFFFE, 0), *entries])
+    at = add(directory.ljust(-(-len(directory) // 512) * 512, b"\0"))
+    table = len(chain)
+    chain.append(0xFFFFFFFD)
+    sectors += struct.pack("<128I", *chain, *[0xFFFFFFFF] * (128 - len(chain)))
+    head = legacy.SIGNATURE + b"\0" * 16 + struct.pack("<HHHHH", 0x3E, 3, 0xFFFE, 9, 6) + b"\0" * 6 + struct.pack("<III", 0, 1, at) + struct.pack("<I", 0) + struct.pack("<IIIII", 4096, 0xFFFFFFFE, 0, 0xFFFFFFFE, 0)
+    return head + struct.pack("<109I", table, *[0xFFFFFFFF] * 108) + sectors
+
+
+def test_word_97():
+    text = "First line\rk\x07v\x07\x07a\x071\x07\x07Last é\r"
+    word = bytearray(0x400 + 2 * len(text))
+    struct.pack_into("<H", word, 10, 0x200)
+    struct.pack_into("<I", word, 0x4C, len(text))
+    word[0x400:] = text.encode("utf-16-le")
+    pieces = struct.pack("<II", 0, len(text)) + struct.pack("<HIH", 0, 0x400, 0)
+    clx = b"\x02" + struct.pack("<I", len(pieces)) + pieces
+    struct.pack_into("<II", word, 0x1A2, 0, len(clx))
+    data = compound({"WordDocument": bytes(word), "1Table": clx})
+    assert convert.markdown(data) == ("doc", "First line\n\n| k | v |\n| --- | --- |\n| a | 1 |\n\nLast é\n")
+
+
+def test_workbook_97():
+    def record(kind, body):
+        return struct.pack("<HH", kind, len(body)) + body
+
+    def text(x):
+        return struct.pack("<HB", len(x), 0) + x.encode()
+
+    strings = record(0xFC, struct.pack("<II", 2, 2) + text("day") + text("n"))
+    styles = record(0xE0, struct.pack("<HH", 0, 0)) + record(0xE0, struct.pack("<HH", 0, 14))
+    sheet = record(0x809, b"\0" * 16) + record(0xFD, struct.pack("<HHHI", 0, 0, 0, 0)) + record(0xFD, struct.pack("<HHHI", 0, 1, 0, 1)) + record(0x203, struct.pack("<HHHd", 1, 0, 1, 45000.0)) + record(0x27E, struct.pack("<HHHI", 1, 1, 0, (7 << 2) | 2)) + record(0x0A, b"")
+    front = len(record(0x809, b"\0" * 16) + record(0x85, b"\0" * 9) + strings + styles + record(0x0A, b""))
+    book = record(0x809, b"\0" * 16) + record(0x85, struct.pack("<IBB", front, 0, 0) + b"\x01\0S") + strings + styles + record(0x0A, b"") + sheet
+    assert convert.markdown(compound({"Workbook": book})) == ("xls", "| day | n |\n| --- | --- |\n| 2023-03-15 | 7 |\n")
+
+
+def test_slides_97():
+    def record(kind, body, version=0):
+        return struct.pack("<HHI", version, kind, len(body)) + body
+
+    inner = record(3999, struct.pack("<I", 0)) + record(4008, b"Head") + record(3999, struct.pack("<I", 1)) + record(4000, "x\ry".encode("utf-16-le"))
+    assert convert.markdown(compound({"PowerPoint Document": record(1006, inner, 15)})) == ("ppt", "## Head\n\n- x\n- y\n")
+
+
 def test_delimited():
     assert delimited.records('a,"b ""c"", d",e\r\n\r\n"x"y,z', ",") == [["a", 'b "c", d', "e"], ["xy", "z"]]
     assert delimited.sniff("a;b;c\n1,5;2;3\n") == ";"
@@ -135,3 +201,12 @@ def test_stream_equals_batch(spark, tmp_path):
     files.write(files.arriving(spark, str(folder)), str(tmp_path / "out"), str(tmp_path / "state"), once=True).awaitTermination(120)
     streamed = {r.markdown for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert streamed == {r.markdown for r in convert.read_files(spark, str(folder)).collect()} and len(streamed) == 3
+
+
+def test_sql_functions(spark):
+    convert.register(spark)
+    frame = spark.createDataFrame([(b"a,b\n1,2\n", "t.csv"), (b"PK\x03\x04", "x.docx"), (None, None)], "content binary, name string")
+    frame.createOrReplaceTempView("some_files")
+    rows = spark.sql("SELECT detect_format(content, name) AS f, to_markdown(content, name) AS m, md_escape(name) AS e FROM some_files").collect()
+    assert [r.f for r in rows] == ["csv", "docx", None]
+    assert rows[0].m.startswith("| a | b |") and rows[1].m is None and rows[2].m is None and rows[2].e is None
