@@ -18,10 +18,13 @@ from .common import text_bytes
 
 #: Largest share of word characters in the most frequent n-gram.
 TOP_LIMITS = {2: 0.20, 3: 0.18, 4: 0.16}
-#: Largest share of word characters inside n-grams found more than once.
+#: Largest share of word characters inside n-grams equal to an earlier one.
 DUPLICATE_LIMITS = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
 #: Largest share of characters inside lines equal to an earlier line.
 LINE_LIMIT = 0.20
+#: Repeated characters that fail no rule whatever their share: a line or two said
+#: twice in a short text.
+ALLOWED_CHARS = 100
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 REPEAT_WINDOW = 3
@@ -49,9 +52,11 @@ def _covered(starts: np.ndarray, n: int, width: int) -> np.ndarray:
     return np.cumsum(step[:n]) > 0
 
 
-def _repeats(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    _, inverse, counts = np.unique(keys, return_inverse=True, return_counts=True)
-    return counts[inverse] > 1, inverse, counts
+def _repeats(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Which keys occur twice or more, the number of each, the counts by number and
+    the first place of each number."""
+    _, first, inverse, counts = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
+    return counts[inverse] > 1, inverse, counts, first
 
 
 def measure(text: bytes | None) -> tuple:
@@ -94,20 +99,21 @@ def measure(text: bytes | None) -> tuple:
         if n < width:
             break
         rolled = rolled[:-1] * BASE + mixed[width - 1 :]
-        again, inverse, counts = _repeats(rolled)
+        again, inverse, counts, first = _repeats(rolled)
         if not again.any():
             break  # longer n-grams repeat only where shorter ones do
         if width in TOP_LIMITS:
             most = int(counts.argmax())
-            share = float(sizes[_covered(inverse == most, n, width)].sum()) / total
-            top = max(top, share)
-            fails |= share > TOP_LIMITS[width]
+            chars_in = int(sizes[_covered(inverse == most, n, width)].sum())
+            top = max(top, chars_in / total)
+            fails |= chars_in > max(ALLOWED_CHARS, TOP_LIMITS[width] * total)
         elif width in DUPLICATE_LIMITS:
-            share = float(sizes[_covered(again, n, width)].sum()) / total
-            duplicate = max(duplicate, share)
-            fails |= share > DUPLICATE_LIMITS[width]
+            again[first] = False  # what is said once is no repetition
+            chars_in = int(sizes[_covered(again, n, width)].sum())
+            duplicate = max(duplicate, chars_in / total)
+            fails |= chars_in > max(ALLOWED_CHARS, DUPLICATE_LIMITS[width] * total)
     line_share = line_chars / max(1, len(text) - int(kinds[_CONTINUED]))
-    fails |= line_share > LINE_LIMIT
+    fails |= line_share > LINE_LIMIT and line_chars > ALLOWED_CHARS
     return (n, word_chars, int(kinds[_SYMBOL]), dup_lines, repeat_words, bool(base_failed), not (base_failed or fails), top, duplicate, line_share)
 
 
