@@ -26,12 +26,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .chunks import ChunkTable
-from .common import text_bytes
+from .common import small_batches, text_bytes
 from .words import batched
 
 NONE = np.int64(1) << 62
 #: Pieces whose ids a worker remembers; at this many it starts afresh.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 #: Longer pieces are not remembered.
 LONGEST_REMEMBERED = 64
 
@@ -61,7 +61,8 @@ class ByteBPE:
                 if a is not None and b is not None:
                     pairs[a * self.size + b] = rank
         keys = np.array(sorted(pairs), dtype=np.int64)
-        self.pair_keys, self.pair_ranks, self.pairs = keys, np.array([pairs[k] for k in keys.tolist()], dtype=np.int64), pairs
+        self.pair_keys, self.pair_ranks = keys, np.array([pairs[k] for k in keys.tolist()], dtype=np.int64)
+        self._pairs: dict[int, int] = {}
         self.pieces: dict[str, bytes] = {}
         self.table = ChunkTable(self._learn)
 
@@ -129,7 +130,9 @@ class ByteBPE:
 
     def _merge_long(self, piece: bytes) -> list[int]:
         """The same tree for one piece of any length, n log n."""
-        n, size, pairs = len(piece), self.size, self.pairs
+        if not self._pairs:  # only long pieces need it
+            self._pairs = dict(zip(self.pair_keys.tolist(), self.pair_ranks.tolist()))
+        n, size, pairs = len(piece), self.size, self._pairs
         width = 1 << (n - 1).bit_length()
         token = [int(self.byte_ids[b]) for b in piece]
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -181,8 +184,8 @@ class ByteBPE:
             else:
                 groups.setdefault(1 << max(1, (len(raw) - 1).bit_length()), []).append((piece, raw))
         for width, some in groups.items():
-            for at in range(0, len(some), 20_000):
-                part = some[at : at + 20_000]
+            for at in range(0, len(some), 8_000):
+                part = some[at : at + 8_000]
                 out.update(zip([p for p, _ in part], self._merge_rows([r for _, r in part], width)))
         return out
 
@@ -288,5 +291,6 @@ def encoding_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     give repeated rows, ids may be null, an empty table gives no rows and other
     columns are not read.  A piece of any length is merged whole.
     """
+    small_batches(docs.sparkSession)
     found = docs.select(F.col(id_col).alias("doc_id"), digest_udf(path)(text_bytes(F.col(text_col))).alias("d"))
     return found.select("doc_id", "d.*")

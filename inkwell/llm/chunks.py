@@ -13,9 +13,9 @@ import numpy as np
 
 from .words import span_hashes
 
-#: Chunks that the table holds, and ids; beyond either it starts afresh.
-ENTRIES, IDS = 900_000, 8_000_000
-_SLOTS = 1 << 21
+#: Chunks that a table holds by default, and ids for each of them on average; beyond
+#: either it starts afresh.
+ENTRIES, IDS_EACH = 400_000, 8
 
 # after a space these bytes may begin white space, so there is no cut before them
 _SOLID = np.ones(256, dtype=bool)
@@ -36,13 +36,14 @@ def chunk_starts(data: np.ndarray, begins: np.ndarray) -> np.ndarray:
 class ChunkTable:
     """Ids of chunks by hash; ``learn`` gives packed ids for a list of chunks."""
 
-    def __init__(self, learn: Callable[[list[bytes]], list[bytes]]):
-        self.learn = learn
+    def __init__(self, learn: Callable[[list[bytes]], list[bytes]], entries: int = ENTRIES):
+        self.learn, self.most = learn, entries
+        self.slots = 1 << (2 * entries).bit_length()
         self._clear()
 
     def _clear(self) -> None:
-        self.keys = np.zeros(_SLOTS, dtype=np.uint64)
-        self.entry = np.zeros(_SLOTS, dtype=np.int32)
+        self.keys = np.zeros(self.slots, dtype=np.uint64)
+        self.entry = np.zeros(self.slots, dtype=np.int32)
         self.offsets = np.zeros(1024, dtype=np.int64)
         self.lengths = np.zeros(1024, dtype=np.int64)
         self.ids = np.zeros(4096, dtype=np.uint32)
@@ -51,29 +52,29 @@ class ChunkTable:
     def _find(self, hashes: np.ndarray) -> np.ndarray:
         """The entry of each hash or -1."""
         found = np.full(len(hashes), -1, dtype=np.int64)
-        slot = (hashes & np.uint64(_SLOTS - 1)).astype(np.int64)
+        slot = (hashes & np.uint64(self.slots - 1)).astype(np.int64)
         open_ = np.arange(len(hashes))
         while len(open_):
             here = self.keys[slot]
             hit = here == hashes[open_]
             found[open_[hit]] = self.entry[slot[hit]]
             go = ~hit & (here != 0)
-            open_, slot = open_[go], (slot[go] + 1) & (_SLOTS - 1)
+            open_, slot = open_[go], (slot[go] + 1) & (self.slots - 1)
         return found
 
     def _insert(self, hashes: np.ndarray, entries: np.ndarray) -> None:
-        slot = (hashes & np.uint64(_SLOTS - 1)).astype(np.int64)
+        slot = (hashes & np.uint64(self.slots - 1)).astype(np.int64)
         while len(hashes):
             free = np.nonzero(self.keys[slot] == 0)[0]
             first = free[np.unique(slot[free], return_index=True)[1]]
             self.keys[slot[first]], self.entry[slot[first]] = hashes[first], entries[first]
             rest = np.ones(len(hashes), dtype=bool)
             rest[first] = False
-            hashes, entries, slot = hashes[rest], entries[rest], (slot[rest] + 1) & (_SLOTS - 1)
+            hashes, entries, slot = hashes[rest], entries[rest], (slot[rest] + 1) & (self.slots - 1)
 
     @staticmethod
     def _grown(array: np.ndarray, size: int) -> np.ndarray:
-        return array if size <= len(array) else np.concatenate((array, np.zeros(max(size, 2 * len(array)) - len(array), dtype=array.dtype)))
+        return array if size <= len(array) else np.concatenate((array, np.zeros(max(size, len(array) * 3 // 2) - len(array), dtype=array.dtype)))
 
     def _add(self, hashes: np.ndarray, chunks: list[bytes]) -> None:
         made = self.learn(chunks)
@@ -91,7 +92,7 @@ class ChunkTable:
         """Packed ids (little-endian, 32 bits) of whole texts of a few megabytes."""
         if not texts:
             return []
-        if self.count > ENTRIES or self.used > IDS:
+        if self.count > self.most or self.used > self.most * IDS_EACH:
             self._clear()
         joined = b"".join(texts)
         data = np.frombuffer(joined, dtype=np.uint8)

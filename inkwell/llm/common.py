@@ -53,6 +53,21 @@ def dropped(df: DataFrame) -> None:
     fs.delete(p, True)
 
 
+#: Bytes of rows that a Python worker gets at once.
+WORKER_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to ``WORKER_BYTES``, since texts may be long
+    and a worker holds a batch in several forms."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key).lower().strip()
+    units = {"b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
+    digits = now.rstrip("kmgb")
+    if not digits.isdigit() or int(digits) * units.get(now[len(digits) : len(digits) + 1] or "b", 1) > WORKER_BYTES:
+        spark.conf.set(key, f"{WORKER_BYTES}b")
+
+
 def lower_ascii(c: Column) -> Column:
     return F.translate(c, ASCII_UPPER, ASCII_LOWER)
 

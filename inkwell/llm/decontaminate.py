@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from .common import text_bytes
+from .common import small_batches, text_bytes
 from .words import Words, batched
 
 WINDOW = 10
@@ -218,6 +218,7 @@ def _summary(found: pd.DataFrame) -> pd.DataFrame:
 
 
 def _found(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text: str, window: int):
+    small_batches(docs.sparkSession)
     blocks = _blocks(benchmark, item_col, item_text)
     text = text_bytes(F.col(text_col))
     return F.struct(*[_finder(docs.sparkSession, b, window)(text).alias(f"b{i}") for i, b in enumerate(blocks)])

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import text_bytes
+from .common import small_batches, text_bytes
 
 #: Buckets of hashed n-grams; the model has this many floats for each language.
 BUCKETS = 1 << 15
@@ -163,6 +163,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     Repeated rows give repeated rows; ties go to the language first in order; an
     empty table gives no rows; whole texts are read, whatever their length.
     """
+    small_batches(docs.sparkSession)
     model = train(docs.filter(~held_out(id_col)), text_col, lang_col)
     found = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), predict_udf(model, docs.sparkSession)(text_bytes(F.col(text_col))).alias("p"))
     return found.select("doc_id", "held_out", "p.*")

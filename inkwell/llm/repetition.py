@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
-from .common import text_bytes
+from .common import small_batches, text_bytes
 
 #: Largest share of word characters in the most frequent n-gram.
 TOP_LIMITS = {2: 0.20, 3: 0.18, 4: 0.16}
@@ -129,10 +129,12 @@ def repetition(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     kept.  Repeated rows give repeated rows; ids may be null; an empty table
     gives no rows; other columns are not read.  Texts of any length are read whole.
     """
+    small_batches(docs.sparkSession)
     found = docs.select(F.col(id_col).alias("doc_id"), _measures(text_bytes(F.col(text_col))).alias("m"))
     return found.select("doc_id", "m.*")
 
 
 def keep_varied(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, whose text passes every rule."""
+    small_batches(docs.sparkSession)
     return docs.filter(_measures(text_bytes(F.col(text_col)))["kept"])

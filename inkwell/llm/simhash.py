@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .common import dropped, stored, text_bytes
+from .common import dropped, small_batches, stored, text_bytes
 from .components import components
 
 SHINGLE = 4
@@ -131,6 +131,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     never name a component unless all its ids are null.  An empty table gives no
     rows; other columns are not read, so their names may clash with ours.
     """
+    small_batches(docs.sparkSession)
     hashed = stored(docs.select(F.col(id_col).alias("doc_id"), _fingerprints(text_bytes(F.col(text_col))).alias("fp")), "simhash-fp")
     reps = hashed.groupBy("fp").agg(F.min("doc_id").alias("rep"))
     groups = linked_fingerprints(reps.select("fp"), max_bits)

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import dropped, stored, text_bytes
+from .common import dropped, small_batches, stored, text_bytes
 from .words import Words, batched, mix, rolled
 
 MIN_WORDS = 50
@@ -125,6 +125,7 @@ def _in_two_texts(rows: DataFrame, key: str) -> DataFrame:
 
 def repeated_windows(docs: DataFrame, text_col: str, min_words: int, spread: int) -> tuple[DataFrame, DataFrame]:
     """((cls, pos, full) of windows that another class has too, (cls, n_words))."""
+    small_batches(docs.sparkSession)
     texts = docs.select(F.xxhash64(F.col(text_col)).alias("cls"), text_bytes(F.col(text_col)).alias("text"))
     rows = stored(texts.mapInPandas(_gathered(_suffixes(min_words, spread)), SUFFIXES), "suffixes")
     sizes = rows.filter("pos < 0").select("cls", (-1 - F.col("pos")).alias("n_words")).distinct()

@@ -20,17 +20,17 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import LONGEST_REMEMBERED, REMEMBERED
+from .bpe import LONGEST_REMEMBERED
 from .chunks import ChunkTable
-from .common import partitions, stored, text_bytes
+from .common import partitions, small_batches, stored, text_bytes
 from .words import batched
 
 END_ID = 0
 #: Ids of a block, about; a longer document is a block of its own.
 BLOCK_TOKENS = 2_000_000
 ROUNDS = 2
-#: Bytes that a worker gets at once.
-WORKER_BATCH = "8m"
+#: Chunks and words that a worker remembers.
+CHUNKS, WORDS = 900_000, 400_000
 #: Bits of the table that counts pairs, and most rules a round adds.
 HASH_BITS, RULES_A_ROUND, LEAST_COUNT = 20, 7500, 16
 TAIL = ".,;:!?"
@@ -64,7 +64,7 @@ class Encoder:
         self.special = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
         self.letters = _byte_letters()
         self.words: dict[str, bytes] = {}
-        self.table = ChunkTable(self._learn)
+        self.table = ChunkTable(self._learn, CHUNKS)
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -81,7 +81,7 @@ class Encoder:
 
     def _learn(self, chunks: list[bytes]) -> list[bytes]:
         """Packed ids of chunks (see ``chunks``)."""
-        if len(self.words) > REMEMBERED:
+        if len(self.words) > WORDS:
             self.words.clear()
         texts = [c.decode("utf-8", "replace") for c in chunks]
         stems = [t.rstrip(TAIL) for t in texts]
@@ -261,19 +261,14 @@ def write_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     path = path or public_tokenizers.path("byte_bpe_50k.json")
     shards = shards or partitions(docs.sparkSession)
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(F.col(text_col)).alias("text"))
     cuts = rows.agg(F.percentile_approx("doc_id", [i / shards for i in range(1, shards)] or [0.5], 100 * shards).alias("q")).first()["q"] or []
     bounds = F.array(*[F.lit(c) for c in sorted(set(cuts))]).cast("array<long>")
     shard = F.coalesce(F.size(F.filter(bounds, lambda b: b <= F.col("doc_id"))), F.lit(0)).cast("int")
     dealt = rows.withColumn("shard", shard).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", F.asc_nulls_first("doc_id"))
     blocks = dealt.mapInPandas(_blocks(path, end_id, block_tokens), BLOCK)
-    conf, key = docs.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = conf.get(key)
-    conf.set(key, WORKER_BATCH)
-    try:
-        return stored(blocks, "token-blocks")
-    finally:
-        conf.set(key, before)
+    return stored(blocks, "token-blocks")
 
 
 def read_shards(blocks: DataFrame) -> DataFrame:
