@@ -16,14 +16,14 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from .chunks import ChunkTable
 from .common import small_batches, text_bytes
@@ -264,24 +264,23 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     """(doc_id, ids) with the ids of each whole text as packed unsigned 32-bit
     integers; ``decode`` turns them back."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bpe = _once(path, None)
-        for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "ids": bpe.encode_batch(_texts(batch["text"]))})
+    @F.pandas_udf(BinaryType())
+    def ids(texts: pd.Series) -> pd.Series:
+        return pd.Series(_once(path, None).encode_batch(_texts(texts)))
 
-    found = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(F.col(text_col)).alias("text"))
-    return found.mapInPandas(run, "doc_id long, ids binary")
+    small_batches(docs.sparkSession)
+    return docs.select(F.col(id_col).alias("doc_id"), ids(text_bytes(F.col(text_col))).alias("ids"))
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, text) of what ``encode`` returned."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf(StringType())
+    def text(packed: pd.Series) -> pd.Series:
         bpe = _once(path, None)
-        for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "text": [bpe.decode(x).decode("utf-8", "replace") for x in batch["ids"]]})
+        return pd.Series([bpe.decode(x).decode("utf-8", "replace") for x in packed])
 
-    return encoded.select("doc_id", "ids").mapInPandas(run, "doc_id long, text string")
+    return encoded.select("doc_id", text("ids").alias("text"))
 
 
 def encoding_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:

@@ -38,7 +38,7 @@ MAGIC = b"RPG1"
 
 #: shard and block order the blocks; n_tokens is what the block expands to;
 #: payload is MAGIC, counts, rules, expansion lengths, symbols and document ends.
-BLOCK = "shard int, block int, n_tokens long, doc_ids array<long>, payload binary"
+BLOCK = "shard int, block int, n_tokens long, doc_ids array<string>, payload binary"
 
 
 def _byte_letters() -> dict[int, str]:
@@ -243,7 +243,7 @@ def _blocks(path: str, end_id: int, block_tokens: int):
                         held, ids, size, number = [], [], 0, number + 1 if s == shard else 0
                     shard = s
                     held.append(own + end)
-                    ids.append(None if pd.isna(i) else int(i))
+                    ids.append(i)
                     size += len(own) // 4 + 1
         if held:
             yield flush()
@@ -267,6 +267,8 @@ def write_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     bounds = F.array(*[F.lit(c) for c in sorted(set(cuts))]).cast("array<long>")
     shard = F.coalesce(F.size(F.filter(bounds, lambda b: b <= F.col("doc_id"))), F.lit(0)).cast("int")
     dealt = rows.withColumn("shard", shard).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", F.asc_nulls_first("doc_id"))
+    # as text, since pandas would turn ids beside a null into floats
+    dealt = dealt.select("shard", F.col("doc_id").cast("string").alias("doc_id"), "text")
     blocks = dealt.mapInPandas(_blocks(path, end_id, block_tokens), BLOCK)
     return stored(blocks, "token-blocks")
 
@@ -290,7 +292,7 @@ def read_shards(blocks: DataFrame) -> DataFrame:
                     start += len(ids[-1]) // 4
                     if len(ids) == 2000 or i + 1 == len(doc_ids):
                         done = slice(i + 1 - len(ids), i + 1)
-                        yield pd.DataFrame({"doc_id": pd.array(doc_ids[done], dtype="Int64"), "start": offsets, "ids": ids})
+                        yield pd.DataFrame({"doc_id": pd.array([None if d is None else int(d) for d in doc_ids[done]], dtype="Int64"), "start": offsets, "ids": ids})
                         ids, offsets = [], []
 
     placed = blocks.join(starts, ["shard", "block"]).select("doc_ids", "payload", "start")

@@ -266,6 +266,13 @@ def test_token_shards_round_trip(spark, texts):
         at += len(ids)
 
 
+def test_token_shards_of_large_and_missing_ids(spark):
+    big = 2**60 + 1
+    rows = [(None, "x y"), (big, "z"), (3, "a b c"), (big + 2, None)]
+    got = tokenstore.shard_digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [r.doc_id for r in sorted(got, key=lambda r: r.start)] == [None, 3, big, big + 2]
+
+
 def test_repair_blocks_decode_each_document():
     r = random.Random(3)
     ids = np.array([r.choice([1, 2, 3, 3, 3, 9]) for _ in range(5000)], dtype=np.uint32)
