@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .common import lower_ascii
 
-#: Bytes of rules that may be sent to every executor; more rules are shuffled.
+#: Rules that may be sent to every executor; more of them are shuffled.
 BROADCAST_ROWS = 10_000
 DEFAULT_VERDICT = "allow"
 
