@@ -27,10 +27,10 @@ from .words import batched
 
 END_ID = 0
 #: Ids of a block, about; a longer document is a block of its own.
-BLOCK_TOKENS = 2_000_000
+BLOCK_TOKENS = 1_000_000
 ROUNDS = 2
 #: Chunks and words that a worker remembers.
-CHUNKS, WORDS = 900_000, 400_000
+CHUNKS, WORDS = 450_000, 250_000
 #: Bits of the table that counts pairs, and most rules a round adds.
 HASH_BITS, RULES_A_ROUND, LEAST_COUNT = 20, 7500, 16
 TAIL = ".,;:!?"
