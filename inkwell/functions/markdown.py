@@ -54,10 +54,18 @@ def table_row(cells: Column) -> Column:
 
 
 def alpha_marker(n: Column) -> Column:
-    """1 as a, 26 as z, 27 as aa."""
+    """1 as a, 26 as z, 27 as aa, 703 as aaa: bijective base 26; numbers under 1
+    stay decimal."""
     letters = F.lit("abcdefghijklmnopqrstuvwxyz")
-    one = F.substring(letters, ((n - 1) % 26 + 1).cast("int"), F.lit(1))
-    return F.when(n <= 26, one).otherwise(F.concat(F.substring(letters, (F.floor((n - 1) / 26)).cast("int"), F.lit(1)), one))
+
+    def step(s: Column, _: Column) -> Column:
+        left = s["left"] - 1
+        one = F.substring(letters, (left % 26 + 1).cast("int"), F.lit(1))
+        return F.when(s["left"] > 0, F.struct(F.call_function("div", left, F.lit(26)).alias("left"), F.concat(one, s["out"]).alias("out"))).otherwise(s)
+
+    # 14 letters hold every 64-bit number
+    start = F.struct(n.cast("long").alias("left"), F.lit("").alias("out"))
+    return F.when(n >= 1, F.aggregate(F.sequence(F.lit(1), F.lit(14)), start, step)["out"]).otherwise(n.cast("string"))
 
 
 _ROMAN = [

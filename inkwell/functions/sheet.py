@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .markdown import alpha_marker
+
 
 def serial_text(serial: Column, duration: Column | None = None, date1904: bool = False) -> Column:
     """A serial number as text: a time below one day, else a date with its time
@@ -32,14 +34,8 @@ def format_class(code: Column) -> Column:
 
 
 def column_letters(n: Column) -> Column:
-    """Column 1 as A, 27 as AA, up to three letters."""
-    z, letters = n - 1, F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
-
-    def digit(x: Column) -> Column:
-        return F.substring(letters, (x % 26 + 1).cast("int"), F.lit(1))
-
-    second, third = F.floor(z / 26) - 1, F.floor((F.floor(z / 26) - 1) / 26) - 1
-    return F.concat(F.when(third >= 0, digit(third)).otherwise(F.lit("")), F.when(second >= 0, digit(second)).otherwise(F.lit("")), digit(z))
+    """Column 1 as A, 27 as AA, 703 as AAA, and so on."""
+    return F.upper(alpha_marker(n))
 
 
 def column_number(letters: Column) -> Column:

@@ -400,8 +400,14 @@ def serial_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT p_partkey, CASE p_size % 6 WHEN 0 THEN 'timeDelta' WHEN 1 THEN 'dateTime' WHEN 2 THEN 'other' WHEN 3 THEN 'dateTime' WHEN 4 THEN 'other' ELSE 'other' END AS class, CASE WHEN p_partkey <= 26 THEN '' ELSE chr(CAST(64 + (p_partkey - 1) // 26 AS INTEGER)) END || chr(CAST(65 + (p_partkey - 1) % 26 AS INTEGER)) AS letters, p_partkey AS number FROM part WHERE p_partkey BETWEEN 1 AND 702"
 )
 def sheet_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return all_sheet_formats(spark, sf_dir).filter("p_partkey between 1 and 702")
+
+
+@query()
+def all_sheet_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for every part; the SQL above has two letters at most."""
     codes = F.array(*[F.lit(x) for x in ("[h]:mm:ss", "yyyy-mm-dd", '0.00" days"', "h:mm AM/PM", "#,##0;[Red]-d", "_d0")])
-    parts = _read(spark, sf_dir, "part").filter("p_partkey between 1 and 702")
+    parts = _read(spark, sf_dir, "part")
     letters = sh.column_letters(F.col("p_partkey"))
     return parts.select("p_partkey", sh.format_class(F.element_at(codes, F.col("p_size") % 6 + 1)).alias("class"), letters.alias("letters"), sh.column_number(letters).alias("number"))
 
@@ -410,8 +416,14 @@ def sheet_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     "WITH n AS (SELECT p_partkey AS k FROM part WHERE p_partkey BETWEEN 1 AND 702) SELECT k, ['','m','mm','mmm'][k // 1000 + 1] || ['','c','cc','ccc','cd','d','dc','dcc','dccc','cm'][k // 100 % 10 + 1] || ['','x','xx','xxx','xl','l','lx','lxx','lxxx','xc'][k // 10 % 10 + 1] || ['','i','ii','iii','iv','v','vi','vii','viii','ix'][k % 10 + 1] AS roman, CASE WHEN k <= 26 THEN '' ELSE chr(CAST(96 + (k - 1) // 26 AS INTEGER)) END || chr(CAST(97 + (k - 1) % 26 AS INTEGER)) AS alpha FROM n"
 )
 def list_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return all_list_markers(spark, sf_dir).filter("k between 1 and 702")
+
+
+@query()
+def all_list_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for every part; the SQL above has two letters at most."""
     k = F.col("k")
-    return _read(spark, sf_dir, "part").filter("p_partkey between 1 and 702").select(F.col("p_partkey").alias("k")).select("k", md.roman_marker(k).alias("roman"), md.alpha_marker(k).alias("alpha"))
+    return _read(spark, sf_dir, "part").select(F.col("p_partkey").alias("k")).select("k", md.roman_marker(k).alias("roman"), md.alpha_marker(k).alias("alpha"))
 
 
 # Readers

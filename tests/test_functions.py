@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from inkwell.functions import markdown, quality, repair, sheet, text
 from inkwell.operators import cells, pages, runs
+from inkwell.plans import queries as plans
 
 
 def one(spark, function, *values):
@@ -96,3 +97,37 @@ def test_running_headers_stay_once(spark):
 def test_claimed_ids_avoid_taken_ones(spark):
     frame = spark.createDataFrame([("d", i, b) for i, b in enumerate(["a", "a", "a-1", "a", "b"])], "doc_id string, seq long, base string")
     assert [r.id for r in sorted(runs.claim_ids(frame).collect(), key=lambda r: r.seq)] == ["a", "a-1", "a-1-1", "a-2", "b"]
+
+
+def letters_of(n):
+    out = ""
+    while n > 0:
+        n, rest = divmod(n - 1, 26)
+        out = chr(97 + rest) + out
+    return out
+
+
+def roman_of(n):
+    out = ""
+    for v, x in zip((1000, 900, 500, 400, 100, 90, 50, 40, 10, 9, 5, 4, 1), ("m", "cm", "d", "cd", "c", "xc", "l", "xl", "x", "ix", "v", "iv", "i")):
+        out, n = out + x * (n // v), n % v
+    return out
+
+
+def test_markers_of_any_number(spark):
+    numbers = [*range(1, 20001), 18278, 18279, 475254, 475255, 2**31, 2**53 + 1, 2**63 - 1]
+    frame = spark.createDataFrame([(n,) for n in numbers], "n long")
+    n = F.col("n")
+    for row in frame.select("n", markdown.alpha_marker(n).alias("alpha"), markdown.roman_marker(n).alias("roman"), sheet.column_letters(n).alias("letters")).collect():
+        assert (row.alpha, row.letters) == (letters_of(row.n), letters_of(row.n).upper())
+        assert row.roman == (roman_of(row.n) if row.n <= 3999 else str(row.n))
+    edge = spark.createDataFrame([(0,), (None,)], "n long")
+    assert [tuple(r) for r in edge.select(markdown.alpha_marker(n), markdown.roman_marker(n)).collect()] == [("0", "0"), (None, None)]
+
+
+def test_marker_queries_without_bound_read_every_part(spark, tmp_path):
+    spark.range(1, 5001).selectExpr("id as p_partkey", "cast(id % 50 as int) as p_size").write.parquet(f"{tmp_path}/part.parquet")
+    got = {r.k: (r.roman, r.alpha) for r in plans.QUERIES["all_list_markers"](spark, str(tmp_path)).collect()}
+    assert got == {k: (roman_of(k) if k <= 3999 else str(k), letters_of(k)) for k in range(1, 5001)}
+    got = {r.p_partkey: (r.letters, r.number) for r in plans.QUERIES["all_sheet_formats"](spark, str(tmp_path)).collect()}
+    assert got == {k: (letters_of(k).upper(), k) for k in range(1, 5001)}
