@@ -318,7 +318,7 @@ def garbled_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def running_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     paged = docs.select(F.col("source").alias("doc_id"), F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).alias("page"), "text")
-    every = F.concat(F.array(F.concat(F.lit("Running header of "), F.col("doc_id"))), F.slice(F.split("text", "\n"), 1, 12))
+    every = F.concat(F.array(F.concat(F.lit("Running header of "), F.col("doc_id"))), F.split("text", "\n"))
     lined = paged.select("doc_id", "page", F.posexplode(every).alias("i", "text")).select("doc_id", "page", (F.lit(99.0) - F.col("i")).alias("y"), "text")
     kept = pg.strip_repeated_lines(lined).filter(F.col("text") == F.concat(F.lit("Running header of "), F.col("doc_id")))
     return kept.groupBy("doc_id").agg(F.count("*").alias("n_headers"))
@@ -487,6 +487,12 @@ def page_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "page", F.when(F.size(near) > 0, F.lit(315.0)).alias("gutter"))
 
 
+@query()
+def page_gutters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page with all its own gutters; the SQL above has full pages and one gutter."""
+    return ly.column_gutters(_items(spark, sf_dir))
+
+
 @query(f"SELECT doc_id, CAST(page AS INTEGER) AS page, CAST(count(DISTINCT y) AS BIGINT) AS n_lines, min(CASE WHEN y = 780 THEN top END) AS first FROM (SELECT *, string_agg(text, ' ') OVER (PARTITION BY doc_id, page, y ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS top FROM (SELECT * FROM {_ITEMS_SQL} ORDER BY idx)) GROUP BY doc_id, page")
 def grouped_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = ly.group_lines(_items(spark, sf_dir).withColumn("text", F.regexp_replace("text", "^$", "_")))

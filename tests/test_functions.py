@@ -131,3 +131,72 @@ def test_marker_queries_without_bound_read_every_part(spark, tmp_path):
     assert got == {k: (roman_of(k) if k <= 3999 else str(k), letters_of(k)) for k in range(1, 5001)}
     got = {r.p_partkey: (r.letters, r.number) for r in plans.QUERIES["all_sheet_formats"](spark, str(tmp_path)).collect()}
     assert got == {k: (letters_of(k).upper(), k) for k in range(1, 5001)}
+
+
+def brute_headers(pages):
+    """Lines equal to their source's header that stay, from lists of all lines by
+    source; the repeated lines are found as the operator says."""
+    left = {}
+    for source, texts in pages.items():
+        head = f"Running header of {source}"
+        every = [[head, *t.split("\n")] for t in texts]
+        at = {}
+        for page, rows in enumerate(every):
+            for i, row in enumerate(rows):
+                if row == head and (i < 5 or len(rows) - i <= 5 or len(rows) <= 10):
+                    at.setdefault(page, []).append(i)
+        places = [i for rows in at.values() for i in rows]
+        mean = sum(places) / len(places)
+        spread = (sum((i - mean) ** 2 for i in places) / len(places)) ** 0.5
+        span = sum(len(rows) - 1 for rows in every) / len(every)
+        runs = len(every) >= 3 and len(at) >= 3 and (span == 0 or spread / span < 0.05)
+        left[source] = every[min(at)].count(head) if runs else sum(rows.count(head) for rows in every)
+    return left
+
+
+def test_running_headers_judge_every_line(spark, tmp_path):
+    body = lambda n, k: [f"line {i} of text {k} here" for i in range(n)]
+    pages = {
+        "a": ["\n".join(body(20, k)) for k in range(4)],
+        "b": ["\n".join([*body(20, k), "Running header of b"]) for k in range(4)],
+        "c": ["\n".join([*body(30, k), "Running header of c", *body(9, k)]) for k in range(3)],
+    }
+    rows = [(100 * i + k, source, "en", t) for i, (source, texts) in enumerate(pages.items()) for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, source string, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.n_headers for r in plans.QUERIES["running_headers"](spark, str(tmp_path)).collect()}
+    assert got == brute_headers(pages)
+    assert got["a"] == 1 and got["b"] == 8
+
+
+def brute_gutters(words):
+    """Gutters of one page of (x, y, width), point by point."""
+    low, high = min(x for x, _, _ in words), max(x + w for x, _, w in words)
+    if high - low < 200 or len(words) < 20:
+        return []
+    narrow = [(x, y, w) for x, y, w in words if w <= 0.6 * (high - low)]
+    count = [sum(int((x - low) / 2) <= b <= int((x + w - low) / 2) for x, _, w in narrow) for b in range(int((high - low) / 2) + 2)]
+    height, found, b = max(y for _, y, _ in words) - min(y for _, y, _ in words) or 1e-9, [], 0
+    while b < len(count):
+        e = b
+        while e < len(count) and count[e] <= int(max(count) * 0.15):
+            e += 1
+        middle = low + (b + e) / 2 * 2
+        if (e - b) * 2 >= 8 and 0.05 * (high - low) < middle - low < 0.95 * (high - low):
+            sides = [[y for x, y, w in narrow if (x + w / 2 < middle) == left] for left in (True, False)]
+            if all(len(s) >= 10 and (max(s) - min(s)) / height >= 0.3 for s in sides):
+                found.append(float(middle))
+        b = max(e, b + 1)
+    return found
+
+
+def test_page_gutters_of_every_page(spark, tmp_path):
+    sizes = {1: 450, 2: 60, 3: 7, 4: 200, 5: 213}
+    rows = [(k, "s", "en", " ".join(f"w{i}" for i in range(n))) for k, n in sizes.items()]
+    spark.createDataFrame(rows, "doc_id long, source string, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    wanted = {}
+    for k, n in sizes.items():
+        for i in range(n):
+            wanted.setdefault((k, i // 200), []).append((50.0 + i % 5 * 50 + (300 if i % 10 >= 5 else 0), 780.0 - i % 200 // 10 * 14, 40.0))
+    got = {(r.doc_id, r.page): r.gutters for r in plans.QUERIES["page_gutters"](spark, str(tmp_path)).collect()}
+    assert got == {k: brute_gutters(v) for k, v in wanted.items()}
+    assert len(got) == 8 and len(got[2, 0]) > 1
