@@ -19,10 +19,10 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]"
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BASE_PHRASES = {"mit": ["mit", "license"], "apache": ["apache", "license"], "gpl": ["general", "public", "license"]}
 
-#: label, keyword, name as words, versions: what the signatures are made from.
+#: label, keyword (in every match of the name), name as words, versions: what the signatures are made from.
 FAMILIES = [
     ("agpl", "affero", "(?:gnu )?affero general public licen[sc]e", ["1", "2", "3"]),
-    ("lgpl", "lesser", "(?:gnu )?(?:lesser|library) general public licen[sc]e", ["2", "2.1", "3"]),
+    ("lgpl", "general", "(?:gnu )?(?:lesser|library) general public licen[sc]e", ["2", "2.1", "3"]),
     ("gpl", "general", "(?:gnu )?general public licen[sc]e", ["1", "2", "3"]),
     ("gfdl", "documentation", "(?:gnu )?free documentation licen[sc]e", ["1.1", "1.2", "1.3"]),
     ("apache", "apache", "apache(?: software)? licen[sc]e", ["1", "1.1", "2"]),
@@ -61,10 +61,10 @@ FAMILIES = [
     ("perl", "perl", "perl licen[sc]e", []),
     ("bsd", "bsd", "(?:2 clause |3 clause |4 clause |new |simplified |modified )?bsd(?: [234] clause)? licen[sc]e", []),
 ]
-#: label, keyword, words: sentences of licence texts and grants.
+#: label, keyword (in every match of the words), words: sentences of licence texts and grants.
 SENTENCES = [
-    ("mit", "merchantability", "permission is hereby granted free of charge to any person obtaining a copy"),
-    ("isc", "hereby", "permission to use copy modify and or distribute this software for any purpose"),
+    ("mit", "granted", "permission is hereby granted free of charge to any person obtaining a copy"),
+    ("isc", "distribute", "permission to use copy modify and or distribute this software for any purpose"),
     ("bsd", "redistribution", "redistribution and use in source and binary forms"),
     ("bsd", "redistributions", "redistributions of source code must retain the above copyright notice"),
     ("gpl", "free", "this program is free software you can redistribute it and or modify"),
@@ -82,7 +82,7 @@ CC_VERSIONS = ["1.0", "2.0", "2.5", "3.0", "4.0"]
 SPDX = ["0BSD", "AFL-3.0", "AGPL-3.0", "Apache-1.1", "Apache-2.0", "Artistic-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC0-1.0", "CDDL-1.0", "CPL-1.0", "ECL-2.0", "EPL-1.0", "EPL-2.0", "EUPL-1.2", "GPL-2.0", "GPL-3.0", "ISC", "LGPL-2.1", "LGPL-3.0", "MIT", "MPL-1.1", "MPL-2.0", "MS-PL", "NCSA", "OFL-1.1", "OSL-3.0", "PostgreSQL", "Unlicense", "Zlib"]
 
 #: Every rule's match holds one of these; texts without any are not tried.
-HINT = r"licen[sc]|spdx|under[^0-9a-z]+the[^0-9a-z]+terms|\bcc[^0-9a-z]+by\b|cc0|creative[^0-9a-z]*commons|public[^0-9a-z]+domain|rights[^0-9a-z]+reserved|proprietary[^0-9a-z]+and|evaluation[^0-9a-z]+purposes|is[^0-9a-z]+free[^0-9a-z]+software|free[^0-9a-z]+and[^0-9a-z]+unencumbered|is[^0-9a-z]+provided[^0-9a-z]+as[^0-9a-z]+is|wtfpl|unlicense|permission[^0-9a-z]+(?:is|to)|redistributions?[^0-9a-z]+(?:and|of)"
+HINT = r"licen[sc]|spdx|under[^0-9a-z]+the[^0-9a-z]+terms|(?<![0-9a-z])cc[^0-9a-z]+by(?![0-9a-z])|cc0|creative[^0-9a-z]*commons|public[^0-9a-z]+domain|rights[^0-9a-z]+reserved|proprietary[^0-9a-z]+and|evaluation[^0-9a-z]+purposes|is[^0-9a-z]+free[^0-9a-z]+software|free[^0-9a-z]+and[^0-9a-z]+unencumbered|is[^0-9a-z]+provided[^0-9a-z]+as[^0-9a-z]+is|wtfpl|unlicense|permission[^0-9a-z]+(?:is|to)|redistributions?[^0-9a-z]+(?:and|of)"
 
 
 def _words(pattern: str) -> str:

@@ -342,6 +342,52 @@ def test_licenses(spark, texts):
     assert len(licenses.rules()) > 200
 
 
+def examples(parsed, gap):
+    """Matches of a parsed expression: every branch and every optional part, with
+    and without, joined by ``gap`` where the rule has a gap."""
+    out = [""]
+    for op, arg in parsed:
+        op = str(op)
+        if op == "LITERAL":
+            more = [chr(arg)]
+        elif op == "IN":
+            spans = [a for o, a in arg if str(o) == "RANGE"]
+            chars = [chr(a) for o, a in arg if str(o) == "LITERAL"]
+            more = [gap] if spans else chars
+        elif op == "BRANCH":
+            more = [x for branch in arg[1] for x in examples(branch, gap)]
+        elif op == "SUBPATTERN":
+            more = examples(arg[3], gap)
+        elif op in ("MAX_REPEAT", "MIN_REPEAT"):
+            more = ([""] if arg[0] == 0 else []) + examples(arg[2], gap)
+        elif op == "ASSERT_NOT":
+            more = [""]
+        else:
+            raise ValueError(op)
+        out = [a + b for a in out for b in more]
+    return out
+
+
+def test_license_filters_let_every_match_through():
+    parser = re._parser
+    for _, label, key, expression in licenses.rules():
+        for gap in (" ", "_", "-", "\n* ", "'"):
+            found = [x for x in examples(parser.parse(expression), gap) if re.search(expression, x)]
+            assert found, expression
+            for x in found:
+                assert key in x and re.search(licenses.HINT, x), (label, key, x)
+
+
+def test_license_rules_behind_their_filters(spark):
+    texts = [
+        "GNU Library General Public License, version 2", "Permission is hereby granted, free of charge, to any person obtaining a copy",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose", "cc_by_sa_4.0", "_CC BY-SA 4.0_", "acc by sa 4.0",
+    ]
+    got = [r.labels for r in licenses.scan(table(spark, texts)).orderBy("doc_id").collect()]
+    assert got[:3] == ["gpl,lgpl-2", "mit", "isc"]  # gpl is a base label here
+    assert got[3:] == ["cc-by-sa-4.0", "cc-by-sa-4.0", ""]
+
+
 def brute_repeats(docs, min_words):
     windows, words, copies = {}, {}, {}
     for d, t in docs:
