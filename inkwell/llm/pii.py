@@ -38,11 +38,16 @@ BASE = {
     "card": r"[0-9](?:[\x20-]?+[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: Candidate generators; their spans may overlap.
+#: Candidate generators; their spans may overlap.  ``number`` takes whole runs, those
+#: of single formats propose spans inside a run.
 GENERATORS = {
     "dialled": r"\+[0-9]{1,3}[\x20.-]?\(?[0-9]{2,4}\)?[\x20.-]?[0-9]{3,4}[\x20.-]?[0-9]{3,4}(?![0-9])",
     "token": r"(?<![0-9A-Za-z_/+-])(?=[A-Za-z_/+-]*+[0-9])(?=[0-9_/+-]*+[A-Za-z])[A-Za-z0-9_/+-]{16,80}+(?![0-9A-Za-z])",
     "number": r"(?<![0-9A-Za-z])\(?+[0-9](?:[\x20().:/-]{0,2}+[0-9])++",
+    "national": r"(?<![0-9A-Za-z])\(?[0-9]{3}\)?[-.\x20]{1,2}[0-9]{3}[-.\x20][0-9]{4}(?![0-9])",
+    "trunk": r"(?<![0-9A-Za-z])0[0-9]{2}[-.\x20][0-9]{4}[-.\x20][0-9]{4}(?![0-9])",
+    "ssn": r"(?<![0-9A-Za-z])[0-9]{3}[-\x20][0-9]{2}[-\x20][0-9]{4}(?![0-9])",
+    "fours": r"(?<![0-9A-Za-z])[0-9]{4}(?:[\x20-][0-9]{4}){3}(?![0-9])",
     "coded": r"(?<![0-9A-Za-z])(?:[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?|(?:[0-9A-Fa-f]{1,4}:){5,7}[0-9A-Fa-f]{1,4})(?![0-9A-Za-z])",
     "spelled": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?[(\[](?:at|AT)[)\]]\x20?[A-Za-z0-9-]++(?:(?:\.|\x20?[(\[](?:dot|DOT)[)\]]\x20?)[A-Za-z0-9-]++)++",
 }
@@ -64,7 +69,7 @@ CHECKS = {
     "phone": "length(regexp_replace(s.x, '[^0-9]', '')) between 8 and 15",
 }
 #: A text that fails its test has no match of the kind; it spares the pattern.
-TESTS = {"email": "instr(text, '@') > 0", "ip": "digits", "card": "digits", "phone": "digits and instr(text, '+') > 0", "number": "digits", "coded": "digits", "dialled": "digits and instr(text, '+') > 0", "token": "digits", "spelled": "text rlike '[(\\\\[](?:at|AT)[)\\\\]]'"}
+TESTS = {"email": "instr(text, '@') > 0", "ip": "digits", "card": "digits", "phone": "digits and instr(text, '+') > 0", "number": "digits", "national": "digits", "trunk": "digits", "ssn": "digits", "fours": "digits", "coded": "digits", "dialled": "digits and instr(text, '+') > 0", "token": "digits", "spelled": "text rlike '[(\\\\[](?:at|AT)[)\\\\]]'"}
 
 
 def _sql(pattern: str) -> str:
@@ -131,6 +136,8 @@ def training_rows(n: int = TRAINING_ROWS, seed: int = 7) -> list[tuple[str, str,
         lambda: (r.choice(calls), (s := sep()) and f"{d(3)}{s}{d(3)}{s}{d(4)}"),
         lambda: (r.choice([*calls, w() + " "]), f"({d(3)}) {d(3)}-{d(4)}"),
         lambda: (r.choice(calls), f"0{d(2)} {d(4)} {d(4)}"),
+        lambda: (w() + " ", (s := r.choice("-.")) and f"{d(3)}{s}{d(3)}{s}{d(4)}"),
+        lambda: (f"{d(3)}-{d(3)}-{d(4)} ", (s := sep()) and f"{d(3)}{s}{d(3)}{s}{d(4)}"),
         lambda: (r.choice(["ssn ", "social security ", "my ssn is ", w() + " "]), f"{d(3)}-{d(2)}-{d(4)}"),
         lambda: (r.choice(["card ", "visa ", "pay with ", "credit card "]), " ".join(d(4) for _ in range(4))),
         lambda: (r.choice(["iban ", "account ", w() + " "]), r.choice(["DE", "FR", "ES"]) + d(2) + "".join(" " + d(4) for _ in range(4))),
@@ -264,15 +271,18 @@ def _spans(df: DataFrame, training: int) -> DataFrame:
     df = df.withColumns({k: F.expr(f"transform(filter({k}, s -> {CHECKS[k]}), s -> struct(s.a as a, s.b as b, '{k}' as kind))") for k in BASE})
     df = df.withColumn("__base", F.concat(*[F.col(k) for k in BASE]))
     df = _matches(df, GENERATORS)
-    usable = "length(regexp_replace(c.x, '[^0-9]', '')) between 7 and 24 or c.x rlike '[A-Za-z]'"
-    df = df.withColumn("__c", F.expr(f"filter(concat({', '.join(GENERATORS)}), c -> {usable})"))
+    usable = "length(regexp_replace(c.x, '[^0-9]', '')) >= 7 or c.x rlike '[A-Za-z]'"
+    df = df.withColumn("__c", F.expr(f"array_distinct(filter(concat({', '.join(GENERATORS)}), c -> {usable}))"))
     df = df.withColumn("__c", F.expr("filter(__c, c -> not exists(__base, o -> o.a < c.b and c.a < o.b))"))
     df = df.withColumn("__c", F.expr(f"transform(__c, c -> struct(c.a as a, c.b as b, c.x as x, substr(text, cast(greatest(c.a - {CONTEXT}, 0) + 1 as int), cast(least(c.a, {CONTEXT}) as int)) as l, substr(text, cast(c.b + 1 as int), {CONTEXT}) as r))"))
     df = df.withColumn("__c", F.expr(_with_features("__c")))
     df = df.withColumn("__c", F.expr(f"transform(__c, v -> struct({score} as p, v.a as a, v.b as b, v.kind as kind))"))
     over = " or ".join(f"(c.kind = '{k}' and c.p >= {limits[k]:.6f}D)" for k in KINDS)
     df = df.withColumn("__c", F.expr(f"filter(__c, c -> {over})"))
-    df = df.withColumn("__c", F.expr("filter(__c, c -> not exists(__c, o -> o.a < c.b and c.a < o.b and (o.p > c.p or (o.p = c.p and (o.b - o.a > c.b - c.a or (o.b - o.a = c.b - c.a and o.a < c.a))))))"))
+    # an id keeps its groups together; else the better score, then the longer one
+    whole = "{0}.kind = 'id' and {1}.kind in ('card', 'phone') and {0}.a <= {1}.a and {0}.b >= {1}.b"
+    better = "(o.p > c.p or (o.p = c.p and (o.b - o.a > c.b - c.a or (o.b - o.a = c.b - c.a and o.a < c.a))))"
+    df = df.withColumn("__c", F.expr(f"filter(__c, c -> not exists(__c, o -> o.a < c.b and c.a < o.b and (({whole.format('o', 'c')}) or ({better} and not ({whole.format('c', 'o')})))))"))
     added = [F.expr(f"transform(filter(__c, c -> c.kind = '{k}'), c -> struct(c.a as a, c.b as b, c.kind as kind))") for k in KINDS]
     every = [F.array_sort(F.concat(F.col(k), a)) if k in BASE else F.array_sort(a) for k, a in zip(KINDS, added)]
     return df.withColumn("__all", F.concat(*every))

@@ -247,6 +247,24 @@ def test_pii_redaction_keeps_rows_and_columns(spark, texts):
     assert "555-123" not in got[len(texts) + 5] and "6789" not in got[len(texts) + 5]
 
 
+def test_pii_finds_numbers_inside_a_run(spark):
+    lines = {
+        "555-123-4567 555-123-4568 555-123-4569": "[PHONE] [PHONE] [PHONE]",
+        "123-45-6789 555-123-4567": "[ID] [PHONE]",
+        "555-123-4567. 24": "[PHONE]. 24",
+        "ssn 123-45-6789 987-65-4321 111-22-3333": "ssn [ID] [ID] [ID]",
+        "call 030 1234 5678 030 1234 5679 030 1234 5670 now": "call [PHONE] [PHONE] [PHONE] now",
+        "card 1111 2222 3333 4445 5555 6666 7777 8889": "card [CARD] [CARD]",
+        "pay with 1111 2222 3333 4445": "pay with [CARD]",
+        "iban DE12 1234 5678 1234 5678 1234": "iban [ID]",
+        "numbers 12 345 678 901 234 567 890 123 456 789": "numbers 12 345 678 901 234 567 890 123 456 789",
+        "part 555-123-4567": "part 555-123-4567",
+    }
+    assert {t: r.text for t, r in zip(lines, pii.redact(table(spark, list(lines))).orderBy("doc_id").collect())} == lines
+    spans = [r.spans.split(",") for r in pii.find(table(spark, list(lines))).orderBy("doc_id").collect()]
+    assert all(len(set(x)) == len(x) for x in spans)
+
+
 def test_pii_model_separates_its_held_out_rows(spark):
     _, limits = pii.fit(spark)
     assert all(limits[k] < 1 for k in ("email", "phone", "id", "card"))
