@@ -29,6 +29,8 @@ PRECISION = 0.97
 CONTEXT = 32
 #: Spans are numbered by running sums over blocks of so many.
 BLOCK = 1000
+#: Ends of spans are looked up by blocks of so many.
+ENDS = 64
 
 # Possessive forms of the base patterns.  \G or no such character before replaces
 # trying each start of a run in turn, which finds the same matches in linear time.
@@ -317,8 +319,10 @@ def redact(docs: DataFrame, text_col: str = "text", training: int = TRAINING_ROW
     own = docs.columns
     rows = docs.select(F.struct(*[F.col(c) for c in own]).alias("__row"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     found = _spans(rows, training).withColumn("__o", F.array_sort("__all"))
-    # of spans in order, those that start beyond all earlier ends begin a stretch
-    found = found.withColumn("__o", F.expr("transform(__o, (s, i) -> struct(s.a as a, s.b as b, s.kind as kind, i > 0 and exists(slice(__o, cast(greatest(i - 8, 0) + 1 as int), cast(least(i, 8) as int)), o -> o.b > s.a) as inside))"))
+    # of spans in order, those that start beyond all earlier ends begin a stretch;
+    # __m holds the largest end of each block
+    found = found.withColumn("__m", F.expr(f"transform(sequence(0, size(__o) div {ENDS}), k -> array_max(transform(slice(__o, cast(k * {ENDS} + 1 as int), {ENDS}), o -> o.b)))"))
+    found = found.withColumn("__o", F.expr(f"transform(__o, (s, i) -> struct(s.a as a, s.b as b, s.kind as kind, exists(slice(__m, 1, cast(i div {ENDS} as int)), m -> m > s.a) or exists(slice(__o, cast(i div {ENDS} * {ENDS} + 1 as int), cast(i % {ENDS} as int)), o -> o.b > s.a) as inside))"))
     heads = "filter(__o, s -> not s.inside)"
     found = found.withColumn("__h", F.expr(heads))
     ends = "transform(__h, (h, i) -> coalesce(array_max(transform(filter(__o, s -> s.a >= h.a and (i + 1 >= size(__h) or s.a < __h[i + 1].a)), s -> s.b)), h.b))"

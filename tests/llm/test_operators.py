@@ -265,6 +265,13 @@ def test_pii_finds_numbers_inside_a_run(spark):
     assert all(len(set(x)) == len(x) for x in spans)
 
 
+def test_pii_redaction_looks_back_over_all_spans(spark):
+    lines = [f"x u_{'_'.join(f'{i % 250}.1.2.3' for i in range(n))}@domain.org y" for n in (3, 9, 10, 12, 70, 200)]
+    lines += [" ".join(f"{i % 250}.1.2.3" for i in range(150))]
+    got = [r.text for r in pii.redact(table(spark, lines)).orderBy("doc_id").collect()]
+    assert got == ["x [EMAIL] y"] * 6 + [" ".join(["[IP]"] * 150)]
+
+
 def test_pii_model_separates_its_held_out_rows(spark):
     _, limits = pii.fit(spark)
     assert all(limits[k] < 1 for k in ("email", "phone", "id", "card"))
