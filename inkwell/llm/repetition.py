@@ -22,9 +22,6 @@ TOP_LIMITS = {2: 0.20, 3: 0.18, 4: 0.16}
 DUPLICATE_LIMITS = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
 #: Largest share of characters inside lines equal to an earlier line.
 LINE_LIMIT = 0.20
-#: Repeated characters that fail no rule whatever their share: a line or two said
-#: twice in a short text.
-ALLOWED_CHARS = 100
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 REPEAT_WINDOW = 3
@@ -106,14 +103,14 @@ def measure(text: bytes | None) -> tuple:
             most = int(counts.argmax())
             chars_in = int(sizes[_covered(inverse == most, n, width)].sum())
             top = max(top, chars_in / total)
-            fails |= chars_in > max(ALLOWED_CHARS, TOP_LIMITS[width] * total)
+            fails |= chars_in > TOP_LIMITS[width] * total
         elif width in DUPLICATE_LIMITS:
             again[first] = False  # what is said once is no repetition
             chars_in = int(sizes[_covered(again, n, width)].sum())
             duplicate = max(duplicate, chars_in / total)
-            fails |= chars_in > max(ALLOWED_CHARS, DUPLICATE_LIMITS[width] * total)
+            fails |= chars_in > DUPLICATE_LIMITS[width] * total
     line_share = line_chars / max(1, len(text) - int(kinds[_CONTINUED]))
-    fails |= line_share > LINE_LIMIT and line_chars > ALLOWED_CHARS
+    fails |= line_share > LINE_LIMIT
     return (n, word_chars, int(kinds[_SYMBOL]), dup_lines, repeat_words, bool(base_failed), not (base_failed or fails), top, duplicate, line_share)
 
 

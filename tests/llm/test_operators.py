@@ -147,6 +147,18 @@ def test_repetition_keeps_varied_prose_and_drops_repeats():
     assert not repetition.measure((" ".join(f"q{i}" for i in range(70)) + "\n" + line * 8).encode())[6]
 
 
+def test_repetition_limits_hold_in_short_texts():
+    words = [f"u{i:03}" for i in range(60)]
+    line = "a line of forty-five characters said thrice .\n"
+    text = " ".join(words[:40]) + "\n" + line * 3
+    found = repetition.measure(text.encode())
+    assert found[0] >= repetition.MIN_WORDS and not found[5]
+    assert found[9] > repetition.LINE_LIMIT and not found[6]
+    twice = " ".join([*words[:50], *words[:8]])
+    assert not repetition.measure(twice.encode())[6]
+    assert repetition.measure(" ".join(words).encode())[6]
+
+
 def test_bpe_equals_tiktoken():
     import public_tokenizers as P
     import tiktoken
