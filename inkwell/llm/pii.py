@@ -73,6 +73,9 @@ CHECKS = {
 #: A text that fails its test has no match of the kind; it spares the pattern.
 TESTS = {"email": "instr(text, '@') > 0", "ip": "digits", "card": "digits", "phone": "digits and instr(text, '+') > 0", "number": "digits", "national": "digits", "trunk": "digits", "ssn": "digits", "fours": "digits", "coded": "digits", "dialled": "digits and instr(text, '+') > 0", "token": "digits", "spelled": "text rlike '[(\\\\[](?:at|AT)[)\\\\]]'"}
 
+#: Patterns that few texts match: those without a match are not split, which spares memory.
+RARE = {"dialled", "token", "national", "trunk", "ssn", "fours", "coded"}
+
 
 def _sql(pattern: str) -> str:
     return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
@@ -83,6 +86,8 @@ def _matches(df: DataFrame, names: dict[str, str]) -> DataFrame:
     points and the matched text."""
     for name, pattern in names.items():
         p, test = _sql(pattern), TESTS[name]
+        if name in RARE:
+            test = f"{test} and text rlike {_sql(pattern)}"
         df = df.withColumns({"__g": F.expr(f"CASE WHEN {test} THEN split(text, {p}, -1) END"), "__t": F.expr(f"CASE WHEN {test} THEN regexp_extract_all(text, {p}, 0) END")})
         df = df.withColumn("__l", F.expr("transform(__t, (x, i) -> length(x) + length(__g[i]))"))
         df = df.withColumn("__s", F.expr(f"transform(sequence(0, greatest(size(__t) - 1, 0) div {BLOCK}), k -> aggregate(slice(__l, cast(k * {BLOCK} + 1 as int), {BLOCK}), 0L, (s, n) -> s + n))"))
