@@ -27,7 +27,7 @@ from pyspark.sql.types import BinaryType, LongType, StringType, StructField, Str
 
 from .chunks import ChunkTable
 from .common import small_batches, text_bytes
-from .words import batched
+from .words import batched, stretches
 
 NONE = np.int64(1) << 62
 #: Pieces whose ids a worker remembers; at this many it starts afresh.
@@ -50,9 +50,12 @@ class ByteBPE:
         self.ranks = ranks
         self.pattern = regex.compile(pattern)
         self.size = max(ranks.values()) + 1
-        self.bytes_of = [b""] * self.size
+        bytes_of = [b""] * self.size
         for token, rank in ranks.items():
-            self.bytes_of[rank] = token
+            bytes_of[rank] = token
+        self.token_bytes = np.frombuffer(b"".join(bytes_of), dtype=np.uint8)
+        self.token_sizes = np.array([len(b) for b in bytes_of], dtype=np.int64)
+        self.token_starts = np.cumsum(self.token_sizes) - self.token_sizes
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int64)
         pairs: dict[int, int] = {}
         for token, rank in ranks.items():
@@ -218,8 +221,17 @@ class ByteBPE:
             out += self.table.encode(some)
         return out
 
+    def decode_batch(self, packed: list[bytes]) -> list[bytes]:
+        """The bytes of each text's ids."""
+        ids = np.frombuffer(b"".join(packed), dtype="<u4")
+        sizes = self.token_sizes[ids]
+        joined = self.token_bytes[stretches(self.token_starts[ids], sizes)].tobytes()
+        ends = np.cumsum([len(p) // 4 for p in packed], dtype=np.int64)
+        cuts = np.concatenate(([0], np.cumsum(sizes)))[np.concatenate(([0], ends))].tolist()
+        return [joined[a:b] for a, b in zip(cuts, cuts[1:])]
+
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
+        return self.decode_batch([ids])[0]
 
 
 def load(path: str | None = None, pattern: str | None = None) -> ByteBPE:
@@ -253,8 +265,9 @@ def digest_udf(path: str | None = None, pattern: str | None = None) -> Callable:
         bpe = _once(path, pattern)
         rows = []
         for at in range(0, len(texts), 1024):
-            for ids in bpe.encode_batch(_texts(texts.iloc[at : at + 1024])):
-                rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(bpe.decode(ids)).hexdigest()))
+            for _, part in batched(_texts(texts.iloc[at : at + 1024])):
+                coded = bpe.encode_batch(part)
+                rows += [(len(i) // 4, hashlib.sha256(i).hexdigest(), hashlib.sha256(t).hexdigest()) for i, t in zip(coded, bpe.decode_batch(coded))]
         return pd.DataFrame(rows, columns=DIGESTS.names)
 
     return digests
@@ -262,7 +275,12 @@ def digest_udf(path: str | None = None, pattern: str | None = None) -> Callable:
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """(doc_id, ids) with the ids of each whole text as packed unsigned 32-bit
-    integers; ``decode`` turns them back."""
+    integers; ``decode`` turns them back.
+
+    Null and empty texts have no ids (an empty value).  Repeated rows give repeated
+    rows, doc_id may be null, an empty table gives no rows and other columns are
+    not read.
+    """
 
     @F.pandas_udf(BinaryType())
     def ids(texts: pd.Series) -> pd.Series:
@@ -273,12 +291,13 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
-    """(doc_id, text) of what ``encode`` returned."""
+    """(doc_id, text) of what ``encode`` returned; null ids give a null text, and
+    bytes that are no UTF-8 become U+FFFD."""
 
     @F.pandas_udf(StringType())
     def text(packed: pd.Series) -> pd.Series:
         bpe = _once(path, None)
-        return pd.Series([bpe.decode(x).decode("utf-8", "replace") for x in packed])
+        return pd.Series([None if x is None else bpe.decode(x).decode("utf-8", "replace") for x in packed])
 
     return encoded.select("doc_id", text("ids").alias("text"))
 

@@ -2,7 +2,8 @@
 
 A text is cut before every space whose next character is no white space: there a
 new match begins whatever stands before.  Chunks are hashed in numpy and their
-ids looked up in an open-addressing table, so only new chunks reach Python.
+ids looked up in an open-addressing table, so only new chunks reach Python.  The
+table keeps the bytes of its chunks and every hit is compared with them.
 """
 
 from __future__ import annotations
@@ -11,11 +12,13 @@ from collections.abc import Callable
 
 import numpy as np
 
-from .words import span_hashes
+from .words import span_hashes, stretches
 
-#: Chunks that a table holds by default, and ids for each of them on average; beyond
-#: either it starts afresh.
-ENTRIES, IDS_EACH = 400_000, 8
+#: Chunks that a table holds by default, and bytes and ids for each of them on
+#: average; beyond any of them the chunks that were not met again are forgotten.
+ENTRIES, BYTES_EACH, IDS_EACH = 600_000, 24, 10
+#: Chunks that are looked up together.
+AT_ONCE = 200_000
 
 # after a space these bytes may begin white space, so there is no cut before them
 _SOLID = np.ones(256, dtype=bool)
@@ -33,21 +36,64 @@ def chunk_starts(data: np.ndarray, begins: np.ndarray) -> np.ndarray:
     return np.nonzero(cut[:-1])[0]
 
 
+class _Pool:
+    """Stretches of one kind of number, kept one after the other."""
+
+    def __init__(self, kind: type, rows: int = 1024):
+        self.data = np.zeros(4 * rows, dtype=kind)
+        self.start, self.size = np.zeros(rows, dtype=np.int64), np.zeros(rows, dtype=np.int32)
+        self.rows = self.used = 0
+
+    @staticmethod
+    def _grown(array: np.ndarray, size: int) -> np.ndarray:
+        return array if size <= len(array) else np.concatenate((array, np.zeros(max(size, len(array) * 3 // 2) - len(array), dtype=array.dtype)))
+
+    def add(self, data: np.ndarray, sizes: np.ndarray) -> None:
+        n, m = self.rows + len(sizes), self.used + len(data)
+        self.start, self.size, self.data = self._grown(self.start, n), self._grown(self.size, n), self._grown(self.data, m)
+        self.size[self.rows : n] = sizes
+        self.start[self.rows : n] = self.used + np.cumsum(sizes) - sizes
+        self.data[self.used : m] = data
+        self.rows, self.used = n, m
+
+    def take(self, rows: np.ndarray) -> np.ndarray:
+        return self.data[stretches(self.start[rows], self.size[rows])]
+
+    def kept(self, rows: np.ndarray) -> _Pool:
+        out = _Pool(self.data.dtype.type)
+        out.add(self.take(rows), self.size[rows])
+        return out
+
+
 class ChunkTable:
     """Ids of chunks by hash; ``learn`` gives packed ids for a list of chunks."""
 
     def __init__(self, learn: Callable[[list[bytes]], list[bytes]], entries: int = ENTRIES):
         self.learn, self.most = learn, entries
-        self.slots = 1 << (2 * entries).bit_length()
+        self.slots = 1 << (3 * entries // 2).bit_length()
         self._clear()
 
     def _clear(self) -> None:
+        self.chunks, self.ids = _Pool(np.uint8), _Pool(np.uint32)
+        self.hashes, self.again = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=bool)
         self.keys = np.zeros(self.slots, dtype=np.uint64)
         self.entry = np.zeros(self.slots, dtype=np.int32)
-        self.offsets = np.zeros(1024, dtype=np.int64)
-        self.lengths = np.zeros(1024, dtype=np.int64)
-        self.ids = np.zeros(4096, dtype=np.uint32)
-        self.count = self.used = 0
+
+    @property
+    def count(self) -> int:
+        return self.chunks.rows
+
+    def _forget(self) -> None:
+        """Keep the chunks that were met again since the last time, if they are few enough."""
+        kept = np.nonzero(self.again)[0]
+        if 2 * len(kept) > self.most:
+            kept = kept[: self.most // 2]
+        chunks, ids, hashes = self.chunks.kept(kept), self.ids.kept(kept), self.hashes[kept]
+        self._clear()
+        if 2 * chunks.used > self.most * BYTES_EACH or 2 * ids.used > self.most * IDS_EACH:
+            return
+        self.chunks, self.ids, self.hashes, self.again = chunks, ids, hashes, np.zeros(len(kept), dtype=bool)
+        self._insert(hashes, np.arange(len(kept), dtype=np.int32))
 
     def _find(self, hashes: np.ndarray) -> np.ndarray:
         """The entry of each hash or -1."""
@@ -72,43 +118,60 @@ class ChunkTable:
             rest[first] = False
             hashes, entries, slot = hashes[rest], entries[rest], (slot[rest] + 1) & (self.slots - 1)
 
-    @staticmethod
-    def _grown(array: np.ndarray, size: int) -> np.ndarray:
-        return array if size <= len(array) else np.concatenate((array, np.zeros(max(size, len(array) * 3 // 2) - len(array), dtype=array.dtype)))
-
     def _add(self, hashes: np.ndarray, chunks: list[bytes]) -> None:
+        """New entries for ``chunks``; a hash of zero is met by no look-up."""
         made = self.learn(chunks)
-        lengths = np.array([len(m) // 4 for m in made], dtype=np.int64)
-        ids = np.frombuffer(b"".join(made), dtype="<u4")
-        n, m = self.count + len(made), self.used + len(ids)
-        self.offsets, self.lengths, self.ids = self._grown(self.offsets, n), self._grown(self.lengths, n), self._grown(self.ids, m)
-        self.lengths[self.count : n] = lengths
-        self.offsets[self.count : n] = self.used + np.cumsum(lengths) - lengths
-        self.ids[self.used : m] = ids
-        self._insert(hashes, np.arange(self.count, n, dtype=np.int32))
-        self.count, self.used = n, m
+        self.ids.add(np.frombuffer(b"".join(made), dtype="<u4"), np.array([len(m) // 4 for m in made], dtype=np.int64))
+        self.chunks.add(np.frombuffer(b"".join(chunks), dtype=np.uint8), np.array([len(c) for c in chunks], dtype=np.int64))
+        self.hashes = np.concatenate((self.hashes, hashes))
+        self.again = np.concatenate((self.again, np.zeros(len(hashes), dtype=bool)))
+        own = np.nonzero(hashes)[0]
+        self._insert(hashes[own], (self.count - len(hashes) + own).astype(np.int32))
+
+    def _differing(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, entry: np.ndarray) -> np.ndarray:
+        """Which chunks are not those of their entries."""
+        other = self.chunks.size[entry] != sizes
+        same = np.nonzero(~other)[0]
+        unequal = np.nonzero(data[stretches(starts[same], sizes[same])] != self.chunks.take(entry[same]))[0]
+        if len(unequal):
+            other[same[np.searchsorted(np.cumsum(sizes[same]), unequal, side="right")]] = True
+        return np.nonzero(other)[0]
+
+    def _look_up(self, joined: bytes, data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ids of each chunk) of at most ``AT_ONCE`` chunks."""
+        if self.count > self.most or self.ids.used > self.most * IDS_EACH or self.chunks.used > self.most * BYTES_EACH:
+            self._forget()
+        hashes = np.maximum(span_hashes(data, starts, stops), np.uint64(1))
+        entry = self._find(hashes)
+        new = np.nonzero(entry < 0)[0]
+        self.again[entry[entry >= 0]] = True
+        if len(new):
+            fresh, at = np.unique(hashes[new], return_index=True)
+            at = new[at]
+            self._add(fresh, [joined[a:b] for a, b in zip(starts[at].tolist(), stops[at].tolist())])
+            entry[new] = self._find(hashes[new])
+        strangers = self._differing(data, starts, stops - starts, entry)
+        if len(strangers):  # equal hashes of different chunks
+            chunks = [joined[a:b] for a, b in zip(starts[strangers].tolist(), stops[strangers].tolist())]
+            place = {c: k for k, c in enumerate(dict.fromkeys(chunks))}
+            before = self.count
+            self._add(np.zeros(len(place), dtype=np.uint64), list(place))
+            entry[strangers] = [before + place[c] for c in chunks]
+        return self.ids.take(entry), self.ids.size[entry]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Packed ids (little-endian, 32 bits) of whole texts of a few megabytes."""
         if not texts:
             return []
-        if self.count > self.most or self.used > self.most * IDS_EACH:
-            self._clear()
         joined = b"".join(texts)
         data = np.frombuffer(joined, dtype=np.uint8)
         ends = np.cumsum([len(t) for t in texts])
         starts = chunk_starts(data, np.concatenate(([0], ends[:-1])))
         stops = np.append(starts[1:], len(data))
-        hashes = np.maximum(span_hashes(data, starts, stops), np.uint64(1))
-        entry = self._find(hashes)
-        new = np.nonzero(entry < 0)[0]
-        if len(new):
-            fresh, at = np.unique(hashes[new], return_index=True)
-            at = new[at]
-            self._add(fresh, [joined[a:b] for a, b in zip(starts[at].tolist(), stops[at].tolist())])
-            entry[new] = self._find(hashes[new])
-        lengths = self.lengths[entry]
-        total = np.concatenate(([0], np.cumsum(lengths)))
-        packed = self.ids[np.repeat(self.offsets[entry] - total[:-1], lengths) + np.arange(total[-1])].tobytes()
+        parts = [self._look_up(joined, data, starts[at : at + AT_ONCE], stops[at : at + AT_ONCE]) for at in range(0, len(starts), AT_ONCE)]
+        if not parts:
+            return [b""] * len(texts)
+        packed = np.concatenate([p[0] for p in parts]).tobytes()
+        total = np.concatenate(([0], np.cumsum(np.concatenate([p[1] for p in parts]))))
         cuts = (4 * total[np.searchsorted(starts, np.concatenate(([0], ends)))]).tolist()
         return [packed[a:b] for a, b in zip(cuts, cuts[1:])]

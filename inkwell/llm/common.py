@@ -16,7 +16,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir.
 
     Where it is unset, a local session gets a temporary folder and any other
-    session a folder beside its warehouse.
+    session a folder beside its warehouse; a warehouse on a machine's own disk
+    is refused there, since other machines would not see it.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
@@ -24,6 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
             found = "file://" + tempfile.mkdtemp(prefix="inkwell-")
         else:
             found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_inkwell"
+            if found.startswith(("/", "file:")) and "cluster" not in spark.sparkContext.master:
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 

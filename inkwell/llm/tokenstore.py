@@ -2,9 +2,10 @@
 
 Documents are dealt to shards by ranges of their id, sorted, encoded with the
 tokenizers library and cut into blocks of whole documents.  In each block Re-Pair
-replaces frequent id pairs by nonterminals, a bounded number of rules a round;
-the block keeps its rules, the expansion length of each one and where every
-document's symbols start, so one document is decoded without the others.
+replaces the most frequent id pairs by nonterminals until no pair is left that
+would repay its rule; the block keeps its rules, the expansion length of each one
+and where every document's symbols start, so one document, or a stretch of one,
+is decoded without the others.
 
 A block is one row of a Parquet file in the shared folder; see ``BLOCK``.
 Spark's own writer makes the files, so a lost task leaves none behind.
@@ -12,89 +13,77 @@ Spark's own writer makes the files, so a lost task leaves none behind.
 
 from __future__ import annotations
 
+import os
 import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import LONGEST_REMEMBERED
 from .chunks import ChunkTable
 from .common import partitions, small_batches, stored, text_bytes
-from .words import batched
+from .words import batched, stretches
 
 END_ID = 0
 #: Ids of a block, about; a longer document is a block of its own.
 BLOCK_TOKENS = 1_000_000
-ROUNDS = 2
-#: Chunks and words that a worker remembers.
-CHUNKS, WORDS = 450_000, 250_000
-#: Bits of the table that counts pairs, and most rules a round adds.
-HASH_BITS, RULES_A_ROUND, LEAST_COUNT = 20, 7500, 16
-TAIL = ".,;:!?"
-MAGIC = b"RPG1"
+#: Bytes of input, as the scan estimates them, for a shard.
+SHARD_BYTES = 256 << 20
+#: A rule is kept in the room of three to four symbols (two sides and a length), so
+#: a pair repays its rule from this many occurrences on.
+LEAST_COUNT = 4
+#: Pairs at least 1 / STEP as frequent as the most frequent one are replaced together.
+STEP = 4
+#: New chunks that go to the library as one text.
+JOINED = 500
+MAGIC = b"RPG2"
+HEAD = "<4sBIIIQI"
+DEAD = 0xFFFFFFFF
 
 #: shard and block order the blocks; n_tokens is what the block expands to;
-#: payload is MAGIC, counts, rules, expansion lengths, symbols and document ends.
+#: payload is MAGIC, counts, rules by step, expansion lengths, symbols and document ends.
 BLOCK = "shard int, block int, n_tokens long, doc_ids array<string>, payload binary"
 
 
-def _byte_letters() -> dict[int, str]:
-    """The letter that stands for each byte in a byte-level vocabulary: printable
-    Latin-1 letters for themselves, the others in order from U+0100."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    others = [b for b in range(256) if b not in plain]
-    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
-
-
 class Encoder:
     """The tokenizers library over chunks that no token crosses, remembered.
 
-    A chunk of letters and closing punctuation is two matches of the byte-level
-    pattern and goes to the library's model at once; any other chunk, and a text
-    with the string of a special token, goes through the whole library.
+    New chunks that hold one space, their first character, go to the library many
+    at a time as one text: every such chunk begins with a match of its own, and
+    no token but the first one of a chunk begins with a space.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.base = self.library.get_vocab_size(with_added_tokens=True)
         self.special = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
-        self.letters = _byte_letters()
-        self.words: dict[str, bytes] = {}
-        self.table = ChunkTable(self._learn, CHUNKS)
+        self.opens = np.zeros(self.base, dtype=bool)  # ids of tokens that begin with a space
+        vocabulary = self.library.get_vocab(with_added_tokens=False)
+        self.opens[[i for token, i in vocabulary.items() if token.startswith("Ġ")]] = True
+        self.table = ChunkTable(self._learn)
 
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _tokenize(self, matches: list[str]) -> None:
-        """Remember the ids of single matches of the pattern, all at once."""
-        if not matches:
-            return
-        written = "\n".join(matches).encode().decode("latin-1").translate(self.letters).split(self.letters[10])
-        found = list(map(self.library.model.tokenize, written))
-        ends = (4 * np.cumsum(list(map(len, found)))).tolist()
-        packed = np.array([t.id for tokens in found for t in tokens], dtype="<u4").tobytes()
-        self.words.update(zip(matches, [packed[a:b] for a, b in zip([0, *ends], ends)]))
+    def _library(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype="<u4") for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, chunks: list[bytes]) -> list[bytes]:
         """Packed ids of chunks (see ``chunks``)."""
-        if len(self.words) > WORDS:
-            self.words.clear()
-        texts = [c.decode("utf-8", "replace") for c in chunks]
-        stems = [t.rstrip(TAIL) for t in texts]
-        tails = [t[len(s) :] for t, s in zip(texts, stems)]
-        plain = [s[:1] == " " and s[1:].isalpha() and len(s) <= LONGEST_REMEMBERED for s in stems]
-        wanted = {s for s, own in zip(stems, plain) if own} | {t for t, own in zip(tails, plain) if own and len(t) <= LONGEST_REMEMBERED}
-        wanted.discard("")
-        self._tokenize([m for m in wanted if m not in self.words])
-        get = self.words.get
-        out = [get(s) + (get(t) if t else b"") if own and len(t) <= LONGEST_REMEMBERED else None for s, t, own in zip(stems, tails, plain)]
+        out: list[bytes | None] = [None] * len(chunks)
+        single = [i for i, c in enumerate(chunks) if c[0] == 32 and len(c) > 1 and c.rfind(b" ") == 0]
+        groups = [single[at : at + JOINED] for at in range(0, len(single), JOINED)]
+        for group, ids in zip(groups, self._library([b"".join([chunks[i] for i in g]).decode("utf-8", "replace") for g in groups])):
+            starts = np.nonzero(self.opens[ids])[0]
+            if len(starts) == len(group) and starts[0] == 0:
+                packed, cuts = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
+                for i, a, b in zip(group, cuts, cuts[1:]):
+                    out[i] = packed[a:b]
         odd = [i for i, ids in enumerate(out) if ids is None]
-        for i, ids in zip(odd, self._library([texts[i] for i in odd])):
-            out[i] = ids
+        for i, ids in zip(odd, self._library([chunks[i].decode("utf-8", "replace") for i in odd])):
+            out[i] = ids.tobytes()
         return out
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
@@ -104,134 +93,240 @@ class Encoder:
             whole = {i for i, t in enumerate(some) if any(s in t for s in self.special)}
             coded = self.table.encode([b"" if i in whole else t for i, t in enumerate(some)])
             for i in whole:
-                coded[i] = self._library([some[i].decode("utf-8", "replace")])[0]
+                coded[i] = self._library([some[i].decode("utf-8", "replace")])[0].tobytes()
             out += coded
         return out
 
 
-def _slots(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    mixed = left.astype(np.uint32) * np.uint32(0x9E3779B1) + right.astype(np.uint32) * np.uint32(0x85EBCA77)
-    return (mixed ^ (mixed >> np.uint32(15))) * np.uint32(0x2C1B3C6D) >> np.uint32(32 - HASH_BITS)
+_encoders: dict[str, Encoder] = {}
+
 
+def _encoder(path: str) -> Encoder:
+    """One encoder for each worker, whatever number of tasks it runs."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
-def _alternate(at: np.ndarray) -> np.ndarray:
-    """Which of ascending positions start a replaced pair, left to right without
-    overlap: the first, third, ... of each run of neighbours."""
-    if not len(at):
-        return np.zeros(0, dtype=bool)
-    order = np.arange(len(at))
-    starts = np.where(np.concatenate(([True], np.diff(at) != 1)), order, 0)
-    return (order - np.maximum.accumulate(starts)) % 2 == 0
 
+class _Grammar:
+    """Re-Pair over one block: the symbols as a linked list, and the places of every
+    pair that occurs often enough, in groups that were found together.
 
-def compress(ids: np.ndarray, ends: np.ndarray, base: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols, ends, rules): Re-Pair over ``ids``, whose documents end before ``ends``.
+    A group is [pairs, first entries, counts, places]; counts are those of the time
+    when the group was made and places are checked when their pair's turn comes.
+    """
 
-    Rule i makes symbol base + i; no pair crosses the end of a document.
+    def __init__(self, ids: np.ndarray, ends: np.ndarray, base: int, least: int):
+        n = len(ids)
+        self.n, self.base, self.made, self.least = n, base, base, least
+        self.place_bits = max(1, n.bit_length())
+        self.bits = min(int(base + n).bit_length(), (64 - self.place_bits) // 2)
+        self.symbols = np.full(n + 1, DEAD, dtype=np.uint32)
+        self.symbols[:n] = ids
+        self.after = np.arange(1, n + 2, dtype=np.int64)
+        self.before = np.arange(-1, n, dtype=np.int64)
+        inner = ends[(ends > 0) & (ends <= n)]
+        self.after[inner - 1] = n  # no pair crosses the end of a document
+        self.before[inner] = -1
+        self.rules: list[np.ndarray] = []
+        self.groups: list[list[np.ndarray]] = []
+        self._collect(np.nonzero(self.after[:n] < n)[0])
+
+    def _collect(self, at: np.ndarray) -> None:
+        """A group of the pairs that start at the places ``at``."""
+        if len(at) < self.least:
+            return
+        keys = (self.symbols[at].astype(np.uint64) << np.uint64(self.bits)) | self.symbols[self.after[at]]
+        if len(at) > 4096:  # most pairs are rare: leave them out before the sort
+            width = min(22, len(at).bit_length())
+            slots = ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - width)).astype(np.int64)
+            often = (np.bincount(slots, minlength=1 << width) >= self.least)[slots]
+            at, keys = at[often], keys[often]
+        both = np.sort((keys << np.uint64(self.place_bits)) | at.astype(np.uint64))
+        keys = both >> np.uint64(self.place_bits)
+        self._grouped(keys, (both & np.uint64((1 << self.place_bits) - 1)).astype(np.int64))
+
+    def _grouped(self, keys: np.ndarray, at: np.ndarray) -> None:
+        if not len(at):
+            return
+        first = np.nonzero(np.concatenate(([True], keys[1:] != keys[:-1])))[0]
+        counts = np.diff(np.append(first, len(keys)))
+        own = counts >= self.least
+        if own.any():
+            self.groups.append([keys[first[own]], first[own], counts[own], at])
+
+    def step(self) -> bool:
+        """Replace the pairs that are most frequent now; false when none is left."""
+        best = max((int(g[2].max()) for g in self.groups), default=0)
+        if best < self.least or self.made >= (1 << self.bits) - 1:
+            return False
+        floor = max(self.least, -(-best // STEP))
+        keys, sizes, places = [], [], []
+        for pairs, first, counts, at in self.groups:
+            turn = np.nonzero(counts >= floor)[0]
+            keys.append(pairs[turn])
+            sizes.append(counts[turn])
+            places.append(at[stretches(first[turn], counts[turn])])
+            counts[turn] = 0
+        self.groups = [g for g in self.groups if g[2].any()]
+        keys, at = np.concatenate(keys), np.concatenate(places)
+        owner = np.repeat(np.arange(len(keys)), np.concatenate(sizes))
+        left, right = (keys >> np.uint64(self.bits)).astype(np.uint32), (keys & np.uint64((1 << self.bits) - 1)).astype(np.uint32)
+        live = (self.symbols[at] == left[owner]) & (self.symbols[self.after[at]] == right[owner])
+        at, owner = at[live], owner[live]
+        later = (np.bincount(owner, minlength=len(keys)) < floor)[owner]
+        self._grouped(keys[owner[later]], at[later])
+        both = np.sort((at[~later].astype(np.uint64) << np.uint64(32)) | owner[~later].astype(np.uint64))
+        at, owner = (both >> np.uint64(32)).astype(np.int64), (both & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        if not len(at):
+            return True
+        # where places follow each other every second one is taken, left to right
+        order = np.arange(len(at))
+        chained = np.concatenate(([False], self.after[at[:-1]] == at[1:]))
+        taken = (order - np.maximum.accumulate(np.where(chained, 0, order))) % 2 == 0
+        kept = np.bincount(owner[taken], minlength=len(keys)) >= self.least
+        if self.made + int(kept.sum()) >= 1 << self.bits:
+            return False
+        taken &= kept[owner]
+        if not taken.any():
+            return True
+        rest = np.argsort(owner[~taken], kind="stable")
+        self._grouped(keys[owner[~taken][rest]], at[~taken][rest])
+        at = at[taken]
+        gone, beyond = self.after[at], self.after[self.after[at]]
+        self.symbols[at] = (self.made + np.cumsum(kept) - 1)[owner[taken]]
+        self.symbols[gone] = DEAD
+        self.after[at] = beyond
+        self.before[beyond] = at
+        self.rules.append(np.stack([left[kept], right[kept]], axis=1))
+        self.made += int(kept.sum())
+        earlier = self.before[at]
+        starts = np.sort(np.concatenate((earlier[earlier >= 0], at)))
+        starts = starts[np.concatenate(([True], starts[1:] != starts[:-1]))]
+        self._collect(starts[self.after[starts] < self.n])
+        return True
+
+
+def compress(ids: np.ndarray, ends: np.ndarray, base: int, least: int = LEAST_COUNT) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(symbols, ends, rules by step): Re-Pair over ``ids``, whose documents end
+    before ``ends``, until no pair occurs ``least`` times without overlap.
+
+    Rules are numbered from ``base`` on; a rule's two symbols are ids or rules of
+    earlier steps, and no pair crosses the end of a document.
     """
-    symbols = ids.astype(np.uint32)
-    rules: list[np.ndarray] = []
-    made = base
-    width = 1 << HASH_BITS
-    for _ in range(rounds):
-        room = min(RULES_A_ROUND, 65536 - made)
-        if len(symbols) < 2 or room < 1:
-            break
-        slots = _slots(symbols[:-1], symbols[1:])
-        last = ends[:-1][(ends[:-1] > 0) & (ends[:-1] < len(symbols))] - 1
-        counts = np.bincount(slots, minlength=width)
-        least = max(LEAST_COUNT, int(np.partition(counts, width - 2 * room)[width - 2 * room]))
-        hot = (counts >= least)[slots]
-        hot[last] = False
-        at = np.nonzero(hot)[0]
-        keys = (symbols[at].astype(np.uint64) << np.uint64(32)) | symbols[at + 1]
-        some = np.sort(keys)
-        if not len(some):
-            break
-        firsts = np.nonzero(np.concatenate(([True], some[1:] != some[:-1])))[0]
-        pairs, often = some[firsts], np.diff(np.concatenate((firsts, [len(some)])))
-        best = np.argsort(-often, kind="stable")[: 2 * room]
-        pairs = pairs[best[often[best] >= LEAST_COUNT]]
-        if not len(pairs):
-            break
-        # one pair a slot, the most frequent; the others wait for the next round
-        own = _slots(pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF))
-        pairs = pairs[np.sort(np.unique(own, return_index=True)[1])][:room]
-        table = np.zeros(width, dtype=np.uint16)
-        table[_slots(pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF))] = np.arange(1, len(pairs) + 1)
-        chosen = table[slots[at]]
-        own = (chosen > 0) & (pairs[np.maximum(chosen, 1) - 1] == keys)
-        at, chosen = at[own], chosen[own]
-        kept = _alternate(at)
-        at, chosen = at[kept], chosen[kept]
-        symbols[at] = made + chosen.astype(np.uint32) - 1
-        gone = np.zeros(len(symbols), dtype=bool)
-        gone[at + 1] = True
-        ends = ends - np.searchsorted(at + 1, ends, side="left")
-        symbols = symbols[~gone]
-        rules.append(np.stack([pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32))
-        made += len(pairs)
-    return symbols, ends, np.concatenate(rules) if rules else np.zeros((0, 2), dtype=np.uint32)
-
-
-def pack(symbols: np.ndarray, ends: np.ndarray, rules: np.ndarray, base: int) -> bytes:
-    lengths = np.ones(base + len(rules), dtype=np.int64)
-    for i, (a, b) in enumerate(rules.tolist()):
-        lengths[base + i] = lengths[a] + lengths[b]
-    wide = 4 if base + len(rules) > 65536 or (len(symbols) and symbols.max() > 65535) else 2
-    head = struct.pack("<4sBIIQI", MAGIC, wide, base, len(rules), len(symbols), len(ends))
-    return head + rules.astype("<u4").tobytes() + lengths[base:].astype("<u4").tobytes() + symbols.astype(f"<u{wide}").tobytes() + ends.astype("<u8").tobytes()
+    grammar = _Grammar(ids, ends, base, max(2, least))
+    while grammar.step():
+        pass
+    alive = grammar.symbols[: len(ids)] != DEAD
+    return grammar.symbols[: len(ids)][alive], np.concatenate(([0], np.cumsum(alive)))[ends], grammar.rules
+
+
+def _narrow(values: np.ndarray, width: int) -> bytes:
+    """Unsigned integers of ``width`` bytes, little-endian."""
+    return np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :width]).tobytes()
+
+
+def _widened(payload: bytes, width: int, count: int, at: int) -> np.ndarray:
+    out = np.zeros((count, 4), dtype=np.uint8)
+    out[:, :width] = np.frombuffer(payload, dtype=np.uint8, count=count * width, offset=at).reshape(-1, width)
+    return out.view("<u4").ravel()
+
+
+def expansion_lengths(rules: list[np.ndarray], base: int) -> np.ndarray:
+    lengths = np.ones(base, dtype=np.int64)
+    for pairs in rules:
+        lengths = np.concatenate((lengths, lengths[pairs[:, 0]] + lengths[pairs[:, 1]]))
+    return lengths
+
+
+def pack(symbols: np.ndarray, ends: np.ndarray, rules: list[np.ndarray], base: int) -> bytes:
+    made = base + sum(map(len, rules))
+    top = max(made - 1, int(symbols.max()) if len(symbols) else 0)
+    width = 2 if top < 1 << 16 else 3 if top < 1 << 24 else 4
+    flat = np.concatenate(rules).ravel() if rules else np.zeros(0, dtype=np.uint32)
+    head = struct.pack(HEAD, MAGIC, width, base, len(rules), made - base, len(symbols), len(ends))
+    steps = np.array([len(r) for r in rules], dtype="<u4").tobytes()
+    return head + steps + _narrow(flat, width) + expansion_lengths(rules, base)[base:].astype("<u4").tobytes() + _narrow(symbols, width) + ends.astype("<u8").tobytes()
 
 
 class Block:
     """Random access to the documents of one payload."""
 
     def __init__(self, payload: bytes):
-        magic, wide, self.base, rules, symbols, docs = struct.unpack_from("<4sBIIQI", payload)
+        magic, width, self.base, steps, rules, symbols, docs = struct.unpack_from(HEAD, payload)
         if magic != MAGIC:
             raise ValueError("not a token block")
-        at = struct.calcsize("<4sBIIQI")
-
-        def part(kind: str, count: int) -> np.ndarray:
-            nonlocal at
-            out = np.frombuffer(payload, dtype=kind, count=count, offset=at)
-            at += out.nbytes
-            return out
-
-        self.rules = part("<u4", 2 * rules).reshape(-1, 2)
-        self.lengths = np.concatenate((np.ones(self.base, dtype=np.int64), part("<u4", rules).astype(np.int64)))
-        self.symbols = part(f"<u{wide}", symbols)
-        self.ends = part("<u8", docs).astype(np.int64)
-        starts = np.concatenate((np.arange(self.base + 1), self.base + np.cumsum(self.lengths[self.base :])))
-        self.starts = starts[:-1]
-        flat = np.empty(int(starts[-1]), dtype=np.uint32)
-        flat[: self.base] = np.arange(self.base)
-        for i, (a, b) in enumerate(self.rules.tolist()):
-            s, m, e = starts[self.base + i], self.starts[self.base + i] + self.lengths[a], starts[self.base + i + 1]
-            flat[s:m] = flat[starts[a] : starts[a] + self.lengths[a]]
-            flat[m:e] = flat[starts[b] : starts[b] + self.lengths[b]]
-        self.flat = flat
+        at = struct.calcsize(HEAD)
+        self.steps = np.frombuffer(payload, dtype="<u4", count=steps, offset=at).astype(np.int64)
+        at += 4 * steps
+        self.rules = _widened(payload, width, 2 * rules, at).reshape(-1, 2)
+        at += 2 * rules * width
+        self.lengths = np.concatenate((np.ones(self.base, dtype=np.int64), np.frombuffer(payload, dtype="<u4", count=rules, offset=at).astype(np.int64)))
+        at += 4 * rules
+        self.symbols = _widened(payload, width, symbols, at).astype(np.int64)
+        at += symbols * width
+        self.ends = np.frombuffer(payload, dtype="<u8", count=docs, offset=at).astype(np.int64)
+
+    def _expanded(self, symbols: np.ndarray) -> np.ndarray:
+        """Ids of some symbols, by replacing rules until none is left."""
+        while len(symbols) and symbols.max() >= self.base:
+            rule = symbols >= self.base
+            size = 1 + rule
+            first = np.cumsum(size) - size
+            out = np.repeat(symbols, size)
+            pairs = self.rules[symbols[rule] - self.base]
+            out[first[rule]], out[first[rule] + 1] = pairs[:, 0], pairs[:, 1]
+            symbols = out
+        return symbols.astype("<u4")
+
+    def _symbols_of(self, i: int) -> np.ndarray:
+        return self.symbols[(self.ends[i - 1] if i else 0) : self.ends[i]]
 
     def document(self, i: int) -> np.ndarray:
         """The ids of document ``i`` of the block, others not expanded."""
-        some = self.symbols[(self.ends[i - 1] if i else 0) : self.ends[i]].astype(np.int64)
-        lengths = self.lengths[some]
-        shift = np.repeat(self.starts[some] - np.cumsum(lengths) + lengths, lengths)
-        return self.flat[shift + np.arange(len(shift))].astype("<u4")
+        return self._expanded(self._symbols_of(i))
+
+    def stretch(self, i: int, start: int, stop: int) -> np.ndarray:
+        """Ids ``start`` to ``stop`` (exclusive) of document ``i``; the expansion
+        lengths tell which symbols hold them, and only those are expanded."""
+        some = self._symbols_of(i)
+        ends = np.cumsum(self.lengths[some])
+        start, stop = max(0, start), min(stop, int(ends[-1]) if len(ends) else 0)
+        if start >= stop:
+            return np.zeros(0, dtype="<u4")
+        a, b = np.searchsorted(ends, start, side="right"), np.searchsorted(ends, stop, side="left") + 1
+        skipped = start - (int(ends[a - 1]) if a else 0)
+        return self._expanded(some[a:b])[skipped : skipped + stop - start]
+
+    def documents(self) -> list[bytes]:
+        """The packed ids of every document; each rule is expanded once."""
+        starts = np.concatenate((np.arange(self.base, dtype=np.int64), self.base + np.cumsum(self.lengths[self.base :]) - self.lengths[self.base :]))
+        flat = np.empty(self.base + int(self.lengths[self.base :].sum()), dtype="<u4")
+        flat[: self.base] = np.arange(self.base)
+        at = 0
+        for size in self.steps.tolist():
+            pairs = self.rules[at : at + size].ravel()
+            to = int(starts[self.base + at])
+            own = flat[stretches(starts[pairs], self.lengths[pairs])]
+            flat[to : to + len(own)] = own
+            at += size
+        lengths = self.lengths[self.symbols]
+        packed = flat[stretches(starts[self.symbols], lengths)].tobytes()
+        ends = np.concatenate(([0], np.cumsum(lengths)))[self.ends]
+        cuts = (4 * np.concatenate(([0], ends))).tolist()
+        return [packed[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
 def _blocks(path: str, end_id: int, block_tokens: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(path)
-        base = encoder.library.get_vocab_size(with_added_tokens=True)
+        encoder = _encoder(path)
         end = np.array([end_id], dtype="<u4").tobytes()
         shard, number, held, ids, size = 0, 0, [], [], 0
 
         def flush() -> pd.DataFrame:
             flat = np.frombuffer(b"".join(held), dtype="<u4")
-            ends = np.cumsum([len(h) // 4 for h in held])
-            symbols, cut_at, rules = compress(flat, ends, base)
-            return pd.DataFrame({"shard": [shard], "block": [number], "n_tokens": [len(flat)], "doc_ids": [ids], "payload": [pack(symbols, cut_at, rules, base)]})
+            symbols, cut_at, rules = compress(flat, np.cumsum([len(h) // 4 for h in held]), encoder.base)
+            return pd.DataFrame({"shard": [shard], "block": [number], "n_tokens": [len(flat)], "doc_ids": [ids], "payload": [pack(symbols, cut_at, rules, encoder.base)]})
 
         for batch in batches:
             for at in range(0, len(batch), 512):
@@ -251,24 +346,31 @@ def _blocks(path: str, end_id: int, block_tokens: int):
     return run
 
 
+def _shards_for(docs: DataFrame, spark: SparkSession) -> int:
+    """Shards by the size that the scan expects; it changes files, not rows."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(partitions(spark), min(size // SHARD_BYTES, 1_000_000) if size < 1 << 62 else 0)
+
+
 def write_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, end_id: int = END_ID, block_tokens: int = BLOCK_TOKENS, shards: int | None = None) -> DataFrame:
     """The written blocks (columns of ``BLOCK``), read back from the shared folder.
 
-    Shards are ranges between quantiles of the ids, so an id is in one shard only
-    and shards follow each other in ascending id; rows without an id come first.
+    Shards are ranges of ids, so an id is in one shard only and shards follow each
+    other in ascending id; rows without an id come first.  Ids are integers of at
+    most 64 bits (``ValueError`` for a column of another type).
     """
     import public_tokenizers
 
+    kind = dict(docs.dtypes)[id_col]
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise ValueError(f"ids of type {kind} have no ascending order as numbers; number the documents first")
     path = path or public_tokenizers.path("byte_bpe_50k.json")
-    shards = shards or partitions(docs.sparkSession)
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(F.col(text_col)).alias("text"))
-    cuts = rows.agg(F.percentile_approx("doc_id", [i / shards for i in range(1, shards)] or [0.5], 100 * shards).alias("q")).first()["q"] or []
-    bounds = F.array(*[F.lit(c) for c in sorted(set(cuts))]).cast("array<long>")
-    shard = F.coalesce(F.size(F.filter(bounds, lambda b: b <= F.col("doc_id"))), F.lit(0)).cast("int")
-    dealt = rows.withColumn("shard", shard).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", F.asc_nulls_first("doc_id"))
+    shards = shards or _shards_for(rows, docs.sparkSession)
+    dealt = rows.repartitionByRange(shards, F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"))
     # as text, since pandas would turn ids beside a null into floats
-    dealt = dealt.select("shard", F.col("doc_id").cast("string").alias("doc_id"), "text")
+    dealt = dealt.select(F.spark_partition_id().alias("shard"), F.col("doc_id").cast("string").alias("doc_id"), "text")
     blocks = dealt.mapInPandas(_blocks(path, end_id, block_tokens), BLOCK)
     return stored(blocks, "token-blocks")
 
@@ -277,7 +379,7 @@ def read_shards(blocks: DataFrame) -> DataFrame:
     """(doc_id, start, ids) decoded from blocks; start counts the ids of all
     documents before, ids are packed unsigned 32-bit integers."""
     sums = blocks.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
-    # one row a shard; the shards are as many as partitions
+    # one row a shard
     before = sums.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("shard_start"))
     inside = blocks.select("shard", "block", (F.sum("n_tokens").over(Window.partitionBy("shard").orderBy("block")) - F.col("n_tokens")).alias("inside"))
     starts = inside.join(before, "shard").select("shard", "block", (F.col("inside") + F.col("shard_start")).alias("start"))
@@ -285,15 +387,11 @@ def read_shards(blocks: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for doc_ids, payload, start in zip(batch["doc_ids"], batch["payload"], batch["start"]):
-                block, ids, offsets = Block(payload), [], []
-                for i in range(len(doc_ids)):
-                    ids.append(block.document(i).tobytes())
-                    offsets.append(start)
-                    start += len(ids[-1]) // 4
-                    if len(ids) == 2000 or i + 1 == len(doc_ids):
-                        done = slice(i + 1 - len(ids), i + 1)
-                        yield pd.DataFrame({"doc_id": pd.array([None if d is None else int(d) for d in doc_ids[done]], dtype="Int64"), "start": offsets, "ids": ids})
-                        ids, offsets = [], []
+                ids = Block(payload).documents()
+                starts = start + np.concatenate(([0], np.cumsum([len(x) // 4 for x in ids])))
+                for at in range(0, len(ids), 2000):
+                    part = slice(at, at + 2000)
+                    yield pd.DataFrame({"doc_id": pd.array([None if d is None else int(d) for d in doc_ids[part]], dtype="Int64"), "start": starts[:-1][part], "ids": ids[part]})
 
     placed = blocks.join(starts, ["shard", "block"]).select("doc_ids", "payload", "start")
     return placed.mapInPandas(run, "doc_id long, start long, ids binary")
@@ -305,6 +403,7 @@ def shard_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Null and empty texts are one end id.  Repeated ids keep one row each, in no
     set order among themselves; rows without an id come before all others; an
     empty table writes no block and gives no rows; other columns are not read.
+    A document of any length is a block of its own beside shorter ones.
     """
     ids = F.col("ids")
     return read_shards(write_shards(docs, id_col, text_col, **options)).select("doc_id", "start", (F.octet_length(ids) / 4).cast("long").alias("n_tokens"), F.crc32(ids).alias("ids_crc32"))

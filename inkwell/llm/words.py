@@ -1,7 +1,8 @@
 """Words of many texts as numpy arrays: places, documents and 64-bit hashes.
 
-A word's hash is a polynomial of its bytes, taken from one running sum over the
-whole batch, then mixed.  Words are told apart by 64 bits.
+A stretch of bytes is hashed eight bytes at a time, each lane mixed before the
+next one, so that no pattern in the text (as with a polynomial) makes two
+stretches equal.  Long stretches take XXH3.  Words are told apart by 64 bits.
 """
 
 from __future__ import annotations
@@ -10,27 +11,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 
 #: Bytes of text that are hashed at once; a longer text is a batch of its own.
 BATCH_BYTES = 1_500_000
+#: Longer stretches are hashed one by one.
+LONGEST_BY_LANES = 256
 _B = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_B, -1, 1 << 64)
+_LANE = np.uint64(_B)
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 
 #: Lower-cases A-Z and turns all but 0-9, a-z and bytes from 0x80 into spaces.
 ALNUM = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 
-_powers: list[np.ndarray] = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
-
-
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        size = max(n, BATCH_BYTES + 1024)
-        for k, base in enumerate((_B, _INVERSE)):
-            factors = np.full(size, base, dtype=np.uint64)
-            factors[0] = 1
-            _powers[k] = np.multiply.accumulate(factors)
-    return _powers[0][:n], _powers[1][:n]
-
 
 def mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
@@ -40,10 +33,20 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A hash of each stretch of bytes, the same wherever the stretch stands."""
-    forth, back = _power(len(data) + 1)
-    sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * forth[:-1], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64))
+    size = ends - starts
+    padded = np.concatenate((data, np.zeros(8, dtype=np.uint8)))
+    lanes = np.ndarray(shape=(len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+    out = mix((size.astype(np.uint64) * _LANE) ^ (lanes[starts] & _LOW[np.minimum(size, 8)]))
+    far = np.nonzero(size > LONGEST_BY_LANES)[0]
+    live, at = np.nonzero((size > 8) & (size <= LONGEST_BY_LANES))[0], 8
+    while len(live):
+        rest = size[live] - at
+        out[live] = mix((out[live] * _LANE) ^ (lanes[starts[live] + at] & _LOW[np.minimum(rest, 8)]))
+        live, at = live[rest > 8], at + 8
+    if len(far):
+        whole = memoryview(padded)
+        out[far] = [xxhash.xxh3_64_intdigest(whole[a:b]) for a, b in zip(starts[far].tolist(), ends[far].tolist())]
+    return out
 
 
 class Words:
@@ -90,6 +93,12 @@ def rolled(hashes: np.ndarray, width: int) -> np.ndarray:
         size *= 2
 
 
+def stretches(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of each stretch, one after the other."""
+    ends = np.cumsum(counts)
+    return np.repeat(starts - ends + counts, counts) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
 def batched(texts: pd.Series) -> Iterator[tuple[int, list]]:
     """(first index, texts) of about ``BATCH_BYTES`` each."""
     start, size, held = 0, 0, []
