@@ -1,9 +1,11 @@
 """Texts as chunks that no match of the byte-level pattern crosses.
 
-A text is cut before every space whose next character is no white space: there a
-new match begins whatever stands before.  Chunks are hashed in numpy and their
-ids looked up in an open-addressing table, so only new chunks reach Python.  The
-table keeps the bytes of its chunks and every hit is compared with them.
+A text is cut where a new match begins whatever stands before and after: before a
+space whose next character is no white space, between an ASCII letter or digit and
+ASCII punctuation, and between a single line end and an ASCII letter.  Chunks are
+hashed in numpy and their ids looked up in an open-addressing table, so only new
+chunks reach Python.  The table keeps the bytes of its chunks and every hit is
+compared with them.
 """
 
 from __future__ import annotations
@@ -12,11 +14,11 @@ from collections.abc import Callable
 
 import numpy as np
 
-from .words import span_hashes, stretches
+from .words import LONGEST_BY_LANES, byte_lanes, lane, span_hashes, stretches
 
-#: Chunks that a table holds by default, and bytes and ids for each of them on
-#: average; beyond any of them the chunks that were not met again are forgotten.
-ENTRIES, BYTES_EACH, IDS_EACH = 600_000, 24, 10
+#: Chunks that a table holds by default, and eights of bytes and ids for each of
+#: them on average; beyond any of them the chunks that were not met again are forgotten.
+ENTRIES, LANES_EACH, IDS_EACH = 600_000, 4, 10
 #: Chunks that are looked up together.
 AT_ONCE = 200_000
 
@@ -24,13 +26,27 @@ AT_ONCE = 200_000
 _SOLID = np.ones(256, dtype=bool)
 _SOLID[:33] = False
 _SOLID[[0xC2, 0xE1, 0xE2, 0xE3]] = False
+# what a byte is, as bits
+_SPACE, _SOLID_BIT, _LINE_END, _LETTER, _ALNUM, _MARK, _BLACK = (1 << k for k in range(7))
+_KIND = np.array(
+    [
+        _SPACE * (b == 32) + _SOLID_BIT * bool(_SOLID[b]) + _LINE_END * (b == 10) + _LETTER * bytes([b]).isalpha() + _ALNUM * bytes([b]).isalnum() + _MARK * (32 < b < 127 and not bytes([b]).isalnum()) + _BLACK * (32 < b < 127)
+        for b in range(256)
+    ],
+    dtype=np.uint8,
+)
 
 
 def chunk_starts(data: np.ndarray, begins: np.ndarray) -> np.ndarray:
     """Where chunks start in texts that start at ``begins`` and follow each other."""
     cut = np.zeros(len(data) + 1, dtype=bool)
     if len(data):
-        cut[: len(data) - 1] = (data[:-1] == 32) & _SOLID[data[1:]]
+        kind = _KIND[data]
+        left, right = kind[:-1], kind[1:]
+        cut[: len(data) - 1] = (left & _SPACE) & (right >> 1)
+        cut[1 : len(data)] |= ((left >> 4) & (right >> 5) & 1).view(bool)
+        # a line end that stands alone is a match; of several the last one is
+        cut[2 : len(data)] |= ((kind[:-2] >> 6) & (kind[1:-1] >> 2) & (kind[2:] >> 3) & 1).view(bool)
     cut[begins[begins > 0] - 1] = False  # what follows is another text
     cut[begins] = True
     return np.nonzero(cut[:-1])[0]
@@ -40,6 +56,7 @@ class _Pool:
     """Stretches of one kind of number, kept one after the other."""
 
     def __init__(self, kind: type, rows: int = 1024):
+        """``size`` counts what is stored of each stretch."""
         self.data = np.zeros(4 * rows, dtype=kind)
         self.start, self.size = np.zeros(rows, dtype=np.int64), np.zeros(rows, dtype=np.int32)
         self.rows = self.used = 0
@@ -74,25 +91,26 @@ class ChunkTable:
         self._clear()
 
     def _clear(self) -> None:
-        self.chunks, self.ids = _Pool(np.uint8), _Pool(np.uint32)
+        self.lanes, self.ids = _Pool(np.uint64), _Pool(np.uint32)  # a chunk is its bytes by eights
+        self.sizes = np.zeros(0, dtype=np.int64)
         self.hashes, self.again = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=bool)
         self.keys = np.zeros(self.slots, dtype=np.uint64)
         self.entry = np.zeros(self.slots, dtype=np.int32)
 
     @property
     def count(self) -> int:
-        return self.chunks.rows
+        return self.lanes.rows
 
     def _forget(self) -> None:
         """Keep the chunks that were met again since the last time, if they are few enough."""
         kept = np.nonzero(self.again)[0]
         if 2 * len(kept) > self.most:
             kept = kept[: self.most // 2]
-        chunks, ids, hashes = self.chunks.kept(kept), self.ids.kept(kept), self.hashes[kept]
+        lanes, ids, sizes, hashes = self.lanes.kept(kept), self.ids.kept(kept), self.sizes[kept], self.hashes[kept]
         self._clear()
-        if 2 * chunks.used > self.most * BYTES_EACH or 2 * ids.used > self.most * IDS_EACH:
+        if 2 * lanes.used > self.most * LANES_EACH or 2 * ids.used > self.most * IDS_EACH:
             return
-        self.chunks, self.ids, self.hashes, self.again = chunks, ids, hashes, np.zeros(len(kept), dtype=bool)
+        self.lanes, self.ids, self.sizes, self.hashes, self.again = lanes, ids, sizes, hashes, np.zeros(len(kept), dtype=bool)
         self._insert(hashes, np.arange(len(kept), dtype=np.int32))
 
     def _find(self, hashes: np.ndarray) -> np.ndarray:
@@ -118,44 +136,56 @@ class ChunkTable:
             rest[first] = False
             hashes, entries, slot = hashes[rest], entries[rest], (slot[rest] + 1) & (self.slots - 1)
 
-    def _add(self, hashes: np.ndarray, chunks: list[bytes]) -> None:
-        """New entries for ``chunks``; a hash of zero is met by no look-up."""
-        made = self.learn(chunks)
+    def _add(self, hashes: np.ndarray, joined: bytes, lanes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> None:
+        """New entries for chunks; a hash of zero is met by no look-up."""
+        made = self.learn([joined[a:b] for a, b in zip(starts.tolist(), (starts + sizes).tolist())])
         self.ids.add(np.frombuffer(b"".join(made), dtype="<u4"), np.array([len(m) // 4 for m in made], dtype=np.int64))
-        self.chunks.add(np.frombuffer(b"".join(chunks), dtype=np.uint8), np.array([len(c) for c in chunks], dtype=np.int64))
+        eights = (sizes + 7) // 8
+        passed = 8 * stretches(np.zeros(len(eights), dtype=np.int64), eights)
+        self.lanes.add(lane(lanes, np.repeat(starts, eights) + passed, np.repeat(sizes, eights) - passed), eights)
+        self.sizes = np.concatenate((self.sizes, sizes))
         self.hashes = np.concatenate((self.hashes, hashes))
         self.again = np.concatenate((self.again, np.zeros(len(hashes), dtype=bool)))
         own = np.nonzero(hashes)[0]
         self._insert(hashes[own], (self.count - len(hashes) + own).astype(np.int32))
 
-    def _differing(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, entry: np.ndarray) -> np.ndarray:
+    def _differing(self, lanes: np.ndarray, starts: np.ndarray, sizes: np.ndarray, entry: np.ndarray) -> np.ndarray:
         """Which chunks are not those of their entries."""
-        other = self.chunks.size[entry] != sizes
-        same = np.nonzero(~other)[0]
-        unequal = np.nonzero(data[stretches(starts[same], sizes[same])] != self.chunks.take(entry[same]))[0]
-        if len(unequal):
-            other[same[np.searchsorted(np.cumsum(sizes[same]), unequal, side="right")]] = True
+        other = self.sizes[entry] != sizes
+        live, at, known = np.nonzero(~other)[0], 0, self.lanes.start[entry]
+        while len(live) and at < LONGEST_BY_LANES:
+            rest = sizes[live] - at
+            differs = lane(lanes, starts[live] + at, rest) != self.lanes.data[known[live] + at // 8]
+            if differs.any():
+                other[live[differs]] = True
+                rest[differs] = 0
+            live, at = live[rest > 8], at + 8
+        for i in live.tolist():  # long ones
+            places = np.arange(at, int(sizes[i]), 8)
+            other[i] = bool((lane(lanes, starts[i] + places, sizes[i] - places) != self.lanes.data[known[i] + places // 8]).any())
         return np.nonzero(other)[0]
 
     def _look_up(self, joined: bytes, data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, ids of each chunk) of at most ``AT_ONCE`` chunks."""
-        if self.count > self.most or self.ids.used > self.most * IDS_EACH or self.chunks.used > self.most * BYTES_EACH:
+        if self.count > self.most or self.ids.used > self.most * IDS_EACH or self.lanes.used > self.most * LANES_EACH:
             self._forget()
         hashes = np.maximum(span_hashes(data, starts, stops), np.uint64(1))
+        lanes, sizes = byte_lanes(data), stops - starts
         entry = self._find(hashes)
         new = np.nonzero(entry < 0)[0]
         self.again[entry[entry >= 0]] = True
         if len(new):
             fresh, at = np.unique(hashes[new], return_index=True)
             at = new[at]
-            self._add(fresh, [joined[a:b] for a, b in zip(starts[at].tolist(), stops[at].tolist())])
+            self._add(fresh, joined, lanes, starts[at], sizes[at])
             entry[new] = self._find(hashes[new])
-        strangers = self._differing(data, starts, stops - starts, entry)
+        strangers = self._differing(lanes, starts, sizes, entry)
         if len(strangers):  # equal hashes of different chunks
             chunks = [joined[a:b] for a, b in zip(starts[strangers].tolist(), stops[strangers].tolist())]
-            place = {c: k for k, c in enumerate(dict.fromkeys(chunks))}
+            firsts = dict(zip(reversed(chunks), reversed(strangers.tolist())))
+            place, first = {c: k for k, c in enumerate(firsts)}, list(firsts.values())
             before = self.count
-            self._add(np.zeros(len(place), dtype=np.uint64), list(place))
+            self._add(np.zeros(len(first), dtype=np.uint64), joined, lanes, starts[first], sizes[first])
             entry[strangers] = [before + place[c] for c in chunks]
         return self.ids.take(entry), self.ids.size[entry]
 

@@ -28,9 +28,11 @@ from .words import batched, stretches
 
 END_ID = 0
 #: Ids of a block, about; a longer document is a block of its own.
-BLOCK_TOKENS = 1_000_000
+BLOCK_TOKENS = 250_000
 #: Bytes of input, as the scan estimates them, for a shard.
 SHARD_BYTES = 256 << 20
+#: More shards are not made, so that their starts can be sent to every executor.
+MOST_SHARDS = 500_000
 #: A rule is kept in the room of three to four symbols (two sides and a length), so
 #: a pair repays its rule from this many occurrences on.
 LEAST_COUNT = 4
@@ -40,19 +42,21 @@ STEP = 4
 JOINED = 500
 MAGIC = b"RPG2"
 HEAD = "<4sBIIIQI"
-DEAD = 0xFFFFFFFF
+DEAD = (1 << 64) - 1
 
-#: shard and block order the blocks; n_tokens is what the block expands to;
+#: shard and block order the blocks; before counts the ids of the shard's earlier
+#: blocks; n_tokens is what the block expands to;
 #: payload is MAGIC, counts, rules by step, expansion lengths, symbols and document ends.
-BLOCK = "shard int, block int, n_tokens long, doc_ids array<string>, payload binary"
+BLOCK = "shard int, block int, before long, n_tokens long, doc_ids array<string>, payload binary"
 
 
 class Encoder:
     """The tokenizers library over chunks that no token crosses, remembered.
 
-    New chunks that hold one space, their first character, go to the library many
-    at a time as one text: every such chunk begins with a match of its own, and
-    no token but the first one of a chunk begins with a space.
+    New chunks go to the library many at a time as one text.  Those that hold one
+    space, their first character, follow each other directly: no token but the
+    first one of a chunk begins with a space.  Those without white space are parted
+    by line ends, each of which is a token of its own there.
     """
 
     def __init__(self, path: str):
@@ -65,22 +69,34 @@ class Encoder:
         self.opens = np.zeros(self.base, dtype=bool)  # ids of tokens that begin with a space
         vocabulary = self.library.get_vocab(with_added_tokens=False)
         self.opens[[i for token, i in vocabulary.items() if token.startswith("Ġ")]] = True
+        self.line_end = vocabulary.get("Ċ", -1)
         self.table = ChunkTable(self._learn)
 
     def _library(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype="<u4") for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _joined(self, chunks: list[bytes], some: list[int], between: bytes) -> Iterator[tuple[list[int], np.ndarray]]:
+        """(indices, ids) of groups of chunks that go to the library as one text."""
+        groups = [some[at : at + JOINED] for at in range(0, len(some), JOINED)]
+        return zip(groups, self._library([between.join([chunks[i] for i in g]).decode("utf-8", "replace") for g in groups]))
+
     def _learn(self, chunks: list[bytes]) -> list[bytes]:
         """Packed ids of chunks (see ``chunks``)."""
         out: list[bytes | None] = [None] * len(chunks)
         single = [i for i, c in enumerate(chunks) if c[0] == 32 and len(c) > 1 and c.rfind(b" ") == 0]
-        groups = [single[at : at + JOINED] for at in range(0, len(single), JOINED)]
-        for group, ids in zip(groups, self._library([b"".join([chunks[i] for i in g]).decode("utf-8", "replace") for g in groups])):
+        for group, ids in self._joined(chunks, single, b""):
             starts = np.nonzero(self.opens[ids])[0]
             if len(starts) == len(group) and starts[0] == 0:
                 packed, cuts = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
                 for i, a, b in zip(group, cuts, cuts[1:]):
                     out[i] = packed[a:b]
+        black = [i for i, c in enumerate(chunks) if c[0] != 32 and c.isascii() and len(c.split(None, 1)) == 1 and not c[-1:].isspace()]
+        for group, ids in self._joined(chunks, black, b"\n"):
+            ends = np.nonzero(ids == self.line_end)[0]
+            if len(ends) == len(group) - 1:
+                packed, cuts = ids.tobytes(), [-4, *(4 * ends).tolist(), 4 * len(ids)]
+                for i, a, b in zip(group, cuts, cuts[1:]):
+                    out[i] = packed[a + 4 : b]
         odd = [i for i, ids in enumerate(out) if ids is None]
         for i, ids in zip(odd, self._library([chunks[i].decode("utf-8", "replace") for i in odd])):
             out[i] = ids.tobytes()
@@ -121,7 +137,7 @@ class _Grammar:
         self.n, self.base, self.made, self.least = n, base, base, least
         self.place_bits = max(1, n.bit_length())
         self.bits = min(int(base + n).bit_length(), (64 - self.place_bits) // 2)
-        self.symbols = np.full(n + 1, DEAD, dtype=np.uint32)
+        self.symbols = np.full(n + 1, DEAD, dtype=np.uint64)
         self.symbols[:n] = ids
         self.after = np.arange(1, n + 2, dtype=np.int64)
         self.before = np.arange(-1, n, dtype=np.int64)
@@ -132,11 +148,15 @@ class _Grammar:
         self.groups: list[list[np.ndarray]] = []
         self._collect(np.nonzero(self.after[:n] < n)[0])
 
+    def _keys(self, at: np.ndarray) -> np.ndarray:
+        """The pairs that start at the places ``at``."""
+        return (self.symbols[at] << np.uint64(self.bits)) | self.symbols[self.after[at]]
+
     def _collect(self, at: np.ndarray) -> None:
         """A group of the pairs that start at the places ``at``."""
         if len(at) < self.least:
             return
-        keys = (self.symbols[at].astype(np.uint64) << np.uint64(self.bits)) | self.symbols[self.after[at]]
+        keys = self._keys(at)
         if len(at) > 4096:  # most pairs are rare: leave them out before the sort
             width = min(22, len(at).bit_length())
             slots = ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - width)).astype(np.int64)
@@ -164,41 +184,51 @@ class _Grammar:
         keys, sizes, places = [], [], []
         for pairs, first, counts, at in self.groups:
             turn = np.nonzero(counts >= floor)[0]
-            keys.append(pairs[turn])
-            sizes.append(counts[turn])
-            places.append(at[stretches(first[turn], counts[turn])])
-            counts[turn] = 0
+            if len(turn):
+                keys.append(pairs[turn])
+                sizes.append(counts[turn])
+                places.append(at[stretches(first[turn], sizes[-1])])
+                counts[turn] = 0
         self.groups = [g for g in self.groups if g[2].any()]
-        keys, at = np.concatenate(keys), np.concatenate(places)
-        owner = np.repeat(np.arange(len(keys)), np.concatenate(sizes))
-        left, right = (keys >> np.uint64(self.bits)).astype(np.uint32), (keys & np.uint64((1 << self.bits) - 1)).astype(np.uint32)
-        live = (self.symbols[at] == left[owner]) & (self.symbols[self.after[at]] == right[owner])
+        keys, sizes, at = np.concatenate(keys), np.concatenate(sizes), np.concatenate(places)
+        owner = np.repeat(np.arange(len(keys), dtype=np.uint32), sizes)
+        live = self._keys(at) == np.repeat(keys, sizes)
         at, owner = at[live], owner[live]
-        later = (np.bincount(owner, minlength=len(keys)) < floor)[owner]
-        self._grouped(keys[owner[later]], at[later])
-        both = np.sort((at[~later].astype(np.uint64) << np.uint64(32)) | owner[~later].astype(np.uint64))
-        at, owner = (both >> np.uint64(32)).astype(np.int64), (both & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        few = np.bincount(owner, minlength=len(keys)) < floor
+        if few.any():
+            later = few[owner]
+            self._grouped(keys[owner[later]], at[later])
+            at, owner = at[~later], owner[~later]
         if not len(at):
             return True
+        both = np.sort((at.astype(np.uint64) << np.uint64(32)) | owner)
+        at, owner = (both >> np.uint64(32)).astype(np.int64), (both & np.uint64(0xFFFFFFFF)).astype(np.int64)
         # where places follow each other every second one is taken, left to right
         order = np.arange(len(at))
-        chained = np.concatenate(([False], self.after[at[:-1]] == at[1:]))
+        gone = self.after[at]
+        chained = np.concatenate(([False], gone[:-1] == at[1:]))
         taken = (order - np.maximum.accumulate(np.where(chained, 0, order))) % 2 == 0
         kept = np.bincount(owner[taken], minlength=len(keys)) >= self.least
         if self.made + int(kept.sum()) >= 1 << self.bits:
             return False
-        taken &= kept[owner]
+        own = kept[owner]
+        taken &= own
         if not taken.any():
             return True
-        rest = np.argsort(owner[~taken], kind="stable")
-        self._grouped(keys[owner[~taken][rest]], at[~taken][rest])
-        at = at[taken]
-        gone, beyond = self.after[at], self.after[self.after[at]]
+        if not kept.all():
+            # places passed over for a pair that is too rare now: no two of them meet
+            beside = np.concatenate(([False], taken[:-1] & chained[1:])) | np.concatenate((taken[1:] & chained[1:], [False]))
+            taken |= own & ~beside
+            rest = np.argsort(owner[~own], kind="stable")
+            self._grouped(keys[owner[~own][rest]], at[~own][rest])
+        at, gone = at[taken], gone[taken]
+        beyond = self.after[gone]
+        left, right = (keys[kept] >> np.uint64(self.bits)).astype(np.uint32), (keys[kept] & np.uint64((1 << self.bits) - 1)).astype(np.uint32)
         self.symbols[at] = (self.made + np.cumsum(kept) - 1)[owner[taken]]
         self.symbols[gone] = DEAD
         self.after[at] = beyond
         self.before[beyond] = at
-        self.rules.append(np.stack([left[kept], right[kept]], axis=1))
+        self.rules.append(np.stack([left, right], axis=1))
         self.made += int(kept.sum())
         earlier = self.before[at]
         starts = np.sort(np.concatenate((earlier[earlier >= 0], at)))
@@ -218,7 +248,7 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int, least: int = LEAST_CO
     while grammar.step():
         pass
     alive = grammar.symbols[: len(ids)] != DEAD
-    return grammar.symbols[: len(ids)][alive], np.concatenate(([0], np.cumsum(alive)))[ends], grammar.rules
+    return grammar.symbols[: len(ids)][alive].astype(np.uint32), np.concatenate(([0], np.cumsum(alive)))[ends], grammar.rules
 
 
 def _narrow(values: np.ndarray, width: int) -> bytes:
@@ -321,12 +351,12 @@ def _blocks(path: str, end_id: int, block_tokens: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = _encoder(path)
         end = np.array([end_id], dtype="<u4").tobytes()
-        shard, number, held, ids, size = 0, 0, [], [], 0
+        shard, number, before, held, ids, size = 0, 0, 0, [], [], 0
 
         def flush() -> pd.DataFrame:
             flat = np.frombuffer(b"".join(held), dtype="<u4")
             symbols, cut_at, rules = compress(flat, np.cumsum([len(h) // 4 for h in held]), encoder.base)
-            return pd.DataFrame({"shard": [shard], "block": [number], "n_tokens": [len(flat)], "doc_ids": [ids], "payload": [pack(symbols, cut_at, rules, encoder.base)]})
+            return pd.DataFrame({"shard": [shard], "block": [number], "before": [before], "n_tokens": [len(flat)], "doc_ids": [ids], "payload": [pack(symbols, cut_at, rules, encoder.base)]})
 
         for batch in batches:
             for at in range(0, len(batch), 512):
@@ -335,7 +365,8 @@ def _blocks(path: str, end_id: int, block_tokens: int):
                 for s, i, own in zip(part["shard"].tolist(), part["doc_id"], coded):
                     if held and (s != shard or size + len(own) // 4 + 1 > block_tokens):
                         yield flush()
-                        held, ids, size, number = [], [], 0, number + 1 if s == shard else 0
+                        number, before = (number + 1, before + size) if s == shard else (0, 0)
+                        held, ids, size = [], [], 0
                     shard = s
                     held.append(own + end)
                     ids.append(i)
@@ -349,7 +380,7 @@ def _blocks(path: str, end_id: int, block_tokens: int):
 def _shards_for(docs: DataFrame, spark: SparkSession) -> int:
     """Shards by the size that the scan expects; it changes files, not rows."""
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(partitions(spark), min(size // SHARD_BYTES, 1_000_000) if size < 1 << 62 else 0)
+    return max(partitions(spark), min(size // SHARD_BYTES, MOST_SHARDS) if size < 1 << 62 else 0)
 
 
 def write_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, end_id: int = END_ID, block_tokens: int = BLOCK_TOKENS, shards: int | None = None) -> DataFrame:
@@ -379,10 +410,8 @@ def read_shards(blocks: DataFrame) -> DataFrame:
     """(doc_id, start, ids) decoded from blocks; start counts the ids of all
     documents before, ids are packed unsigned 32-bit integers."""
     sums = blocks.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
-    # one row a shard
-    before = sums.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("shard_start"))
-    inside = blocks.select("shard", "block", (F.sum("n_tokens").over(Window.partitionBy("shard").orderBy("block")) - F.col("n_tokens")).alias("inside"))
-    starts = inside.join(before, "shard").select("shard", "block", (F.col("inside") + F.col("shard_start")).alias("start"))
+    # one row a shard, of which there are at most MOST_SHARDS
+    shards = sums.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("shard_start"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -393,7 +422,7 @@ def read_shards(blocks: DataFrame) -> DataFrame:
                     part = slice(at, at + 2000)
                     yield pd.DataFrame({"doc_id": pd.array([None if d is None else int(d) for d in doc_ids[part]], dtype="Int64"), "start": starts[:-1][part], "ids": ids[part]})
 
-    placed = blocks.join(starts, ["shard", "block"]).select("doc_ids", "payload", "start")
+    placed = blocks.join(F.broadcast(shards), "shard").select("doc_ids", "payload", (F.col("before") + F.col("shard_start")).alias("start"))
     return placed.mapInPandas(run, "doc_id long, start long, ids binary")
 
 

@@ -31,20 +31,29 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def byte_lanes(data: np.ndarray) -> np.ndarray:
+    """For each byte the eight bytes from it on as one number, zeros after the end."""
+    padded = np.concatenate((data, np.zeros(8, dtype=np.uint8)))
+    return np.ndarray(shape=(len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+
+
+def lane(lanes: np.ndarray, at: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """The lane at each place, without the bytes beyond the ``rest`` of its stretch."""
+    return lanes[at] & _LOW[np.minimum(rest, 8)]
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A hash of each stretch of bytes, the same wherever the stretch stands."""
-    size = ends - starts
-    padded = np.concatenate((data, np.zeros(8, dtype=np.uint8)))
-    lanes = np.ndarray(shape=(len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
-    out = mix((size.astype(np.uint64) * _LANE) ^ (lanes[starts] & _LOW[np.minimum(size, 8)]))
+    size, lanes = ends - starts, byte_lanes(data)
+    out = mix((size.astype(np.uint64) * _LANE) ^ lane(lanes, starts, size))
     far = np.nonzero(size > LONGEST_BY_LANES)[0]
     live, at = np.nonzero((size > 8) & (size <= LONGEST_BY_LANES))[0], 8
     while len(live):
         rest = size[live] - at
-        out[live] = mix((out[live] * _LANE) ^ (lanes[starts[live] + at] & _LOW[np.minimum(rest, 8)]))
+        out[live] = mix((out[live] * _LANE) ^ lane(lanes, starts[live] + at, rest))
         live, at = live[rest > 8], at + 8
     if len(far):
-        whole = memoryview(padded)
+        whole = memoryview(data)
         out[far] = [xxhash.xxh3_64_intdigest(whole[a:b]) for a, b in zip(starts[far].tolist(), ends[far].tolist())]
     return out
 
