@@ -1,120 +1,41 @@
 """License scans by ordered signature rules.
 
-A rule has a label, a priority, a keyword and a regular expression.  The rules
-whose keyword a text holds are met by a join on the keyword, only those run, and
-a detection that another one of its text contains goes unless its priority is
-higher (its number smaller); of equal stretches the better rule stays.
+A rule has a label, a priority, a keyword and a regular expression (``signatures``).
+Of the rules only those run whose keyword the text holds.  A detection that another
+one contains goes unless its priority is higher (its number smaller) and its label
+another one; of equal stretches the better rule stays.  Detections are compared
+within groups that overlap, so the work grows with a text, not with its square.
 
-Everything is DataFrame and SQL functions: no Python runs on executors.
+Everything is DataFrame and SQL functions in the row: no join, no Python on executors.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import lower_ascii
+from .signatures import ROOTS, SIGNATURES
+from .spans import before, block_sums, earlier_sums, quoted, with_groups
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]"
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BASE_PHRASES = {"mit": ["mit", "license"], "apache": ["apache", "license"], "gpl": ["general", "public", "license"]}
-
-#: label, keyword (in every match of the name), name as words, versions: what the signatures are made from.
-FAMILIES = [
-    ("agpl", "affero", "(?:gnu )?affero general public licen[sc]e", ["1", "2", "3"]),
-    ("lgpl", "general", "(?:gnu )?(?:lesser|library) general public licen[sc]e", ["2", "2.1", "3"]),
-    ("gpl", "general", "(?:gnu )?general public licen[sc]e", ["1", "2", "3"]),
-    ("gfdl", "documentation", "(?:gnu )?free documentation licen[sc]e", ["1.1", "1.2", "1.3"]),
-    ("apache", "apache", "apache(?: software)? licen[sc]e", ["1", "1.1", "2"]),
-    ("mit", "mit", "mit(?: expat)? licen[sc]e", []),
-    ("isc", "isc", "isc licen[sc]e", []),
-    ("mpl", "mozilla", "mozilla public licen[sc]e", ["1", "1.1", "2"]),
-    ("epl", "eclipse", "eclipse public licen[sc]e", ["1", "2"]),
-    ("cddl", "distribution", "common development and distribution licen[sc]e", ["1", "1.1"]),
-    ("cpl", "common", "common public licen[sc]e", ["1"]),
-    ("artistic", "artistic", "artistic licen[sc]e", ["1", "2"]),
-    ("bsl", "boost", "boost software licen[sc]e", ["1"]),
-    ("zlib", "zlib", "zlib(?: libpng)? licen[sc]e", []),
-    ("python", "python", "python software foundation licen[sc]e", ["2"]),
-    ("php", "php", "php licen[sc]e", ["3", "3.01"]),
-    ("ofl", "font", "(?:sil )?open font licen[sc]e", ["1", "1.1"]),
-    ("eupl", "union", "european union public licen[sc]e", ["1", "1.1", "1.2"]),
-    ("osl", "open", "open software licen[sc]e", ["1", "2", "2.1", "3"]),
-    ("afl", "academic", "academic free licen[sc]e", ["1.2", "2", "2.1", "3"]),
-    ("ms-pl", "microsoft", "microsoft public licen[sc]e", []),
-    ("ms-rl", "microsoft", "microsoft reciprocal licen[sc]e", []),
-    ("cecill", "cecill", "cecill(?: free software)? licen[sc]e", ["1", "2", "2.1"]),
-    ("unlicense", "unlicense", "the unlicense", []),
-    ("wtfpl", "wtfpl", "wtfpl", ["1", "2"]),
-    ("ncsa", "ncsa", "(?:university of illinois )?ncsa open source licen[sc]e", []),
-    ("sleepycat", "sleepycat", "sleepycat licen[sc]e", []),
-    ("vim", "vim", "vim licen[sc]e", []),
-    ("postgresql", "postgresql", "postgresql licen[sc]e", []),
-    ("openssl", "openssl", "openssl licen[sc]e", []),
-    ("upl", "universal", "universal permissive licen[sc]e", ["1"]),
-    ("odbl", "database", "open database licen[sc]e", ["1"]),
-    ("sspl", "server", "server side public licen[sc]e", ["1"]),
-    ("busl", "business", "business source licen[sc]e", ["1.1"]),
-    ("elastic", "elastic", "elastic licen[sc]e", ["2"]),
-    ("json", "json", "json licen[sc]e", []),
-    ("ruby", "ruby", "ruby licen[sc]e", []),
-    ("perl", "perl", "perl licen[sc]e", []),
-    ("bsd", "bsd", "(?:2 clause |3 clause |4 clause |new |simplified |modified )?bsd(?: [234] clause)? licen[sc]e", []),
-]
-#: label, keyword (in every match of the words), words: sentences of licence texts and grants.
-SENTENCES = [
-    ("mit", "granted", "permission is hereby granted free of charge to any person obtaining a copy"),
-    ("isc", "distribute", "permission to use copy modify and or distribute this software for any purpose"),
-    ("bsd", "redistribution", "redistribution and use in source and binary forms"),
-    ("bsd", "redistributions", "redistributions of source code must retain the above copyright notice"),
-    ("gpl", "free", "this program is free software you can redistribute it and or modify"),
-    ("unlicense", "public", "free and unencumbered software released into the public domain"),
-    ("zlib", "provided", "this software is provided as is without any express or implied warranty"),
-    ("wtfpl", "want", "do what the fuck you want to public licen[sc]e"),
-    ("public-domain", "domain", "(?:placed in|dedicated to|in) the public domain"),
-    ("proprietary", "rights", "all rights reserved"),
-    ("proprietary", "proprietary", "proprietary and confidential"),
-    ("source-available", "evaluation", "for evaluation purposes only"),
-]
-#: The longer ones first, so that they win.
-CC_PARTS = ["by-nc-sa", "by-nc-nd", "by-nc", "by-sa", "by-nd", "by"]
-CC_VERSIONS = ["1.0", "2.0", "2.5", "3.0", "4.0"]
-SPDX = ["0BSD", "AFL-3.0", "AGPL-3.0", "Apache-1.1", "Apache-2.0", "Artistic-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC0-1.0", "CDDL-1.0", "CPL-1.0", "ECL-2.0", "EPL-1.0", "EPL-2.0", "EUPL-1.2", "GPL-2.0", "GPL-3.0", "ISC", "LGPL-2.1", "LGPL-3.0", "MIT", "MPL-1.1", "MPL-2.0", "MS-PL", "NCSA", "OFL-1.1", "OSL-3.0", "PostgreSQL", "Unlicense", "Zlib"]
-
-#: Every rule's match holds one of these; texts without any are not tried.
-HINT = r"licen[sc]|spdx|under[^0-9a-z]+the[^0-9a-z]+terms|(?<![0-9a-z])cc[^0-9a-z]+by(?![0-9a-z])|cc0|creative[^0-9a-z]*commons|public[^0-9a-z]+domain|rights[^0-9a-z]+reserved|proprietary[^0-9a-z]+and|evaluation[^0-9a-z]+purposes|is[^0-9a-z]+free[^0-9a-z]+software|free[^0-9a-z]+and[^0-9a-z]+unencumbered|is[^0-9a-z]+provided[^0-9a-z]+as[^0-9a-z]+is|wtfpl|unlicense|permission[^0-9a-z]+(?:is|to)|redistributions?[^0-9a-z]+(?:and|of)"
-
-
-def _words(pattern: str) -> str:
-    return pattern.lower().replace(" )", f"{GAP})").replace("(?: ", f"(?:{GAP}").replace(" |", f"{GAP}|").replace(" ", GAP).replace("-", GAP)
+#: A text without a root is tried only if this is found.
+CC_BY = r"(?<![0-9a-z])cc[^0-9a-z]+by(?![0-9a-z])"
 
 
 def rules() -> list[tuple[int, str, str, str]]:
     """(priority, label, keyword, expression over lower-case text), best first."""
-    found: list[tuple[str, str, str]] = []
-    edge, over = rf"(?<!{WORD})", rf"(?!{WORD})"
-    for name in SPDX:
-        found.append((name.lower(), "spdx", rf"spdx-license-identifier:[\x20\t]*{name.lower().replace('.', chr(92) + '.')}(?:-only|-or-later|\+)?{over}"))
-    for label, key, words, versions in FAMILIES:
-        for v in versions:
-            digits = v.replace(".", r"\.") + (r"(?:\.0)?" if "." not in v else "")
-            found.append((f"{label}-{v}", key, rf"{edge}{_words(words)}(?:{GAP}version|{GAP}v|{GAP}ver)?{GAP}(?:v)?{digits}{over}"))
-    for part in CC_PARTS:
-        words = GAP.join(["cc", *part.split("-")])
-        for v in CC_VERSIONS:
-            found.append((f"cc-{part}-{v}", "cc", rf"{edge}{words}{GAP}{v.replace('.', chr(92) + '.')}{over}"))
-        found.append((f"cc-{part}", "cc", rf"{edge}{words}{over}"))
-        found.append((f"cc-{part}", "creativecommons", rf"creativecommons\.org/licenses/{part}/"))
-    found.append(("cc0-1.0", "creativecommons", r"creativecommons\.org/publicdomain/zero/1\.0"))
-    found.append(("cc0-1.0", "cc0", rf"{edge}cc0(?:{GAP}1\.0)?{over}"))
-    found.append(("cc", "creative", rf"{edge}{_words('creative commons')}{over}"))
-    for label, key, words in SENTENCES:
-        found.append((label, key, rf"{edge}{_words(words)}{over}"))
-    for label, key, words, _ in FAMILIES:
-        found.append((label, key, rf"{edge}{_words(words)}{over}"))
-        found.append((label, key, rf"{edge}{_words('licensed under the ' + words.replace(' licen[sc]e', ''))}{over}"))
-        found.append((label, key, rf"{edge}{_words('under the terms of the ' + words.replace(' licen[sc]e', ''))}{over}"))
-    return [(i, *r) for i, r in enumerate(found)]
+    found = []
+    for i, line in enumerate(SIGNATURES.strip().splitlines()):
+        label, keyword, words = line.split(" :: ")
+        # no version ends before a further part of its number
+        over = rf"(?!{WORD})" + (r"(?!\.[0-9])" if words[-1:].isdigit() or words.endswith(r"(?:\.0)?") else "")
+        # a blank before a question mark is a gap that may be missing
+        gapped = words.replace(" ?", "\0").replace(" ", GAP).replace("\0", f"(?:{GAP})?")
+        found.append((i, label, keyword, rf"(?<!{WORD})(?:{gapped}){over}"))
+    return found
 
 
 def words_of(text: Column) -> Column:
@@ -122,23 +43,24 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(lower_ascii(text), GAP), lambda w: w != "")
 
 
-def _detections(docs: DataFrame, spark: SparkSession) -> DataFrame:
-    """(__row, labels): what the signature rules find in each text."""
-    table = spark.createDataFrame(rules(), "priority int, label string, keyword string, expression string")
-    keywords = sorted({r[2] for r in rules()})
-    low = lower_ascii(F.col("text"))
-    held = F.array_compact(F.array(*[F.when(F.instr(F.col("low"), k) > 0, F.lit(k)) for k in keywords]))
-    hinted = docs.select("__row", low.alias("low"))
-    gated = hinted.select("__row", "low", F.explode(held).alias("keyword"))
-    # the rules are a fixed table of this module, a few hundred rows
-    tried = gated.join(F.broadcast(table), "keyword").filter(F.expr("low rlike expression"))
-    pieces = F.expr("split(low, expression, -1)")
-    texts = F.expr("regexp_extract_all(low, expression, 0)")
-    spans = F.expr("transform(sequence(1, size(t)), i -> struct(cast(aggregate(slice(g, 1, i), 0L, (s, x) -> s + length(x)) + aggregate(slice(t, 1, i - 1), 0L, (s, x) -> s + length(x)) as long) as a, length(t[i - 1]) as n))")
-    found = tried.select("__row", "priority", "label", pieces.alias("g"), texts.alias("t")).select("__row", F.transform(spans, lambda s: F.struct(s["a"].alias("a"), (s["a"] + s["n"]).alias("b"), F.col("priority").alias("p"), F.col("label").alias("l"))).alias("spans"))
-    each = found.groupBy("__row").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
-    kept = F.expr("filter(spans, s -> not exists(spans, o -> o.a <= s.a and o.b >= s.b and ((o.b - o.a > s.b - s.a and o.p <= s.p) or (o.a = s.a and o.b = s.b and o.p < s.p) or (o.b - o.a > s.b - s.a and o.p > s.p and o.l = s.l))))")
-    return each.select("__row", F.array_distinct(F.transform(kept, lambda s: s["l"])).alias("found"), F.size(kept).alias("n_found"))
+def _detections(df: DataFrame) -> DataFrame:
+    """Adds found (labels) and n_found from column low, the lower-case text."""
+    known = ", ".join(f"struct({p} as p, {quoted(l)} as l, {quoted(k)} as k, {quoted(e)} as e)" for p, l, k, e in rules())
+    rooted = " or ".join(f"contains(low, {quoted(r)})" for r in ROOTS)
+    hinted = f"{rooted} or contains(low, 'cc') and low rlike {quoted(CC_BY)}"
+    tried = f"CASE WHEN {hinted} THEN filter(array({known}), r -> contains(low, r.k) and low rlike r.e) END"
+    df = df.withColumn("__r", F.expr(tried))
+    df = df.withColumn("__r", F.expr("transform(__r, r -> struct(r.p as p, r.l as l, split(low, r.e, -1) as g, regexp_extract_all(low, r.e, 0) as t))"))
+    df = df.withColumn("__r", F.expr("transform(__r, r -> struct(r.p as p, r.l as l, r.g as g, r.t as t, transform(r.t, (x, i) -> length(x) + length(r.g[i])) as n))"))
+    df = df.withColumn("__r", F.expr(f"transform(__r, r -> struct(r.p as p, r.l as l, r.g as g, r.t as t, r.n as n, {block_sums('r.n')} as s))"))
+    df = df.withColumn("__r", F.expr(f"transform(__r, r -> struct(r.p as p, r.l as l, r.g as g, r.t as t, r.n as n, {earlier_sums('r.s')} as s))"))
+    starts = f"transform(r.t, (x, i) -> {before('r.n', 'r.s')} + length(r.g[i]))"
+    df = df.withColumn("__r", F.expr(f"transform(__r, r -> struct(r.p as p, r.l as l, r.t as t, {starts} as a))"))
+    df = df.withColumn("__r", F.expr("flatten(transform(__r, r -> transform(r.t, (x, i) -> struct(r.a[i] as a, r.a[i] + length(x) as b, r.p as p, r.l as l))))"))
+    df = with_groups(df, "__r", "__r")
+    held = "o.a <= s.a and o.b >= s.b and (o.b - o.a > s.b - s.a and (o.p < s.p or o.l = s.l) or o.a = s.a and o.b = s.b and o.p < s.p)"
+    df = df.withColumn("__r", F.expr(f"flatten(transform(__r, g -> filter(g, s -> not exists(g, o -> {held}))))"))
+    return df.withColumns({"found": F.expr("coalesce(array_distinct(transform(__r, s -> s.l)), array())"), "n_found": F.expr("greatest(size(__r), 0)")})
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -147,33 +69,33 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     Null and empty texts have no words, no places and empty labels; without a base
     place first_word and last_word are null.  score is 1 with a base place, else
-    1 - 1 / (1 + detections left).  Rows with the same text share the work of the
-    rules; repeated rows give repeated rows; an empty table gives none; ids may be
-    null; other columns are not read.
+    1 - 1 / (1 + detections left).  Repeated rows give repeated rows; an empty table
+    gives none; ids may be null; other columns are not read; texts of any length are
+    read whole.
     """
-    spark = docs.sparkSession
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     n_words = F.regexp_count("text", F.lit(r"[0-9A-Za-z\x{80}-\x{10FFFF}]+")).cast("long")
-    base = F.when(F.lower("text").contains("license"), words_of(F.col("text")))
-    starts = []
+    df = texts.select("doc_id", n_words.alias("n_words"), lower_ascii(F.col("text")).alias("low"))
+    df = df.withColumn("w", F.when(F.col("low").contains("license"), F.filter(F.split("low", GAP), lambda w: w != "")))
     for label, phrase in BASE_PHRASES.items():
         same = " and ".join(f"w[i{f' + {k}' if k else ''}] = '{p}'" for k, p in enumerate(phrase))
-        starts.append(F.expr(f"filter(sequence(0, size(w) - {len(phrase)}), i -> {same})").alias(label))
-    rowed = texts.withColumn("__row", F.sha2("text", 256))
-    placed = rowed.select("doc_id", "__row", n_words.alias("n_words"), base.alias("w")).select("doc_id", "__row", "n_words", *[F.when(F.size("w") >= len(BASE_PHRASES[l]), s).alias(l) for l, s in zip(BASE_PHRASES, starts)])
-    every = F.concat(*[F.coalesce(F.col(l), F.array().cast("array<int>")) for l in BASE_PHRASES])
-    base_labels = F.array_sort(F.array_compact(F.array(*[F.when(F.size(l) > 0, F.lit(l)) for l in BASE_PHRASES])))
-    hinted = rowed.select("__row", "text").filter(F.lower("text").rlike(HINT))
-    found = _detections(hinted.dropDuplicates(["__row"]), spark)
-    joined = placed.select("doc_id", "__row", "n_words", every.alias("every"), base_labels.alias("bl")).join(found, "__row", "left")
+        places = f"CASE WHEN size(w) >= {len(phrase)} THEN filter(sequence(0, size(w) - {len(phrase)}), i -> {same}) END"
+        df = df.withColumn(label, F.expr(f"coalesce({places}, cast(array() as array<int>))"))
+    df = _detections(df.drop("w"))
+    df = df.withColumns(
+        {
+            "every": F.concat(*BASE_PHRASES),
+            "bl": F.array_sort(F.array_compact(F.array(*[F.when(F.size(l) > 0, F.lit(l)) for l in BASE_PHRASES]))),
+        }
+    )
     n_base = F.size("every").cast("long")
-    return joined.select(
+    return df.select(
         "doc_id",
         "n_words",
         n_base.alias("n_base"),
         F.array_min("every").cast("long").alias("first_word"),
         F.array_max("every").cast("long").alias("last_word"),
         F.array_join("bl", ",").alias("base_labels"),
-        F.array_join(F.array_sort(F.array_union("bl", F.coalesce("found", F.array().cast("array<string>")))), ",").alias("labels"),
-        F.when(n_base > 0, F.lit(1.0)).otherwise(1 - 1 / (1 + F.coalesce("n_found", F.lit(0)))).alias("score"),
+        F.array_join(F.array_sort(F.array_union("bl", "found")), ",").alias("labels"),
+        F.when(n_base > 0, F.lit(1.0)).otherwise(1 - 1 / (1 + F.col("n_found"))).alias("score"),
     )
