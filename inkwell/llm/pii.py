@@ -19,18 +19,18 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .spans import cut, quoted, with_groups, with_matches, with_pieces
+
 KINDS = ("email", "ip", "card", "phone", "id", "secret")
 #: Labelled rows that the trees are fitted and calibrated on; the documented bound.
 TRAINING_ROWS = 4000
 TREES, DEPTH, RATE = 40, 3, 0.3
 #: Precision that a kind's threshold reaches on the calibration rows.
 PRECISION = 0.97
+#: Digits of the longest number that is looked for as a whole.
+MOST_DIGITS = 24
 #: Characters on either side of a candidate that are looked at.
 CONTEXT = 32
-#: Spans are numbered by running sums over blocks of so many.
-BLOCK = 1000
-#: Ends of spans are looked up by blocks of so many.
-ENDS = 64
 
 # Possessive forms of the base patterns.  \G or no such character before replaces
 # trying each start of a run in turn, which finds the same matches in linear time.
@@ -77,24 +77,12 @@ TESTS = {"email": "instr(text, '@') > 0", "ip": "digits", "card": "digits", "pho
 RARE = {"dialled", "token", "national", "trunk", "ssn", "fours", "coded"}
 
 
-def _sql(pattern: str) -> str:
-    return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
 def _matches(df: DataFrame, names: dict[str, str]) -> DataFrame:
     """Adds for each pattern an array of structs (a, b, x): start and end in code
     points and the matched text."""
     for name, pattern in names.items():
-        p, test = _sql(pattern), TESTS[name]
-        if name in RARE:
-            test = f"{test} and text rlike {_sql(pattern)}"
-        df = df.withColumns({"__g": F.expr(f"CASE WHEN {test} THEN split(text, {p}, -1) END"), "__t": F.expr(f"CASE WHEN {test} THEN regexp_extract_all(text, {p}, 0) END")})
-        df = df.withColumn("__l", F.expr("transform(__t, (x, i) -> length(x) + length(__g[i]))"))
-        df = df.withColumn("__s", F.expr(f"transform(sequence(0, greatest(size(__t) - 1, 0) div {BLOCK}), k -> aggregate(slice(__l, cast(k * {BLOCK} + 1 as int), {BLOCK}), 0L, (s, n) -> s + n))"))
-        df = df.withColumn("__p", F.expr("transform(__s, (x, k) -> aggregate(slice(__s, 1, k), 0L, (s, n) -> s + n))"))
-        df = df.withColumn("__a", F.expr(f"transform(__t, (x, i) -> __p[cast(i div {BLOCK} as int)] + aggregate(slice(__l, cast((i div {BLOCK}) * {BLOCK} + 1 as int), cast(i % {BLOCK} as int)), 0L, (s, n) -> s + n) + length(__g[i]))"))
-        df = df.withColumn(name, F.expr("coalesce(transform(__t, (x, i) -> struct(__a[i] as a, __a[i] + length(x) as b, x as x)), array())"))
-        df = df.drop("__g", "__t", "__l", "__s", "__p", "__a")
+        test = f"{TESTS[name]} and text rlike {quoted(pattern)}" if name in RARE else TESTS[name]
+        df = with_matches(df, name, pattern, test)
     return df
 
 
@@ -278,18 +266,25 @@ def _spans(df: DataFrame, training: int) -> DataFrame:
     df = df.withColumns({k: F.expr(f"transform(filter({k}, s -> {CHECKS[k]}), s -> struct(s.a as a, s.b as b, '{k}' as kind))") for k in BASE})
     df = df.withColumn("__base", F.concat(*[F.col(k) for k in BASE]))
     df = _matches(df, GENERATORS)
-    usable = "length(regexp_replace(c.x, '[^0-9]', '')) >= 7 or c.x rlike '[A-Za-z]'"
-    df = df.withColumn("__c", F.expr(f"array_distinct(filter(concat({', '.join(GENERATORS)}), c -> {usable}))"))
-    df = df.withColumn("__c", F.expr("filter(__c, c -> not exists(__base, o -> o.a < c.b and c.a < o.b))"))
-    df = df.withColumn("__c", F.expr(f"transform(__c, c -> struct(c.a as a, c.b as b, c.x as x, substr(text, cast(greatest(c.a - {CONTEXT}, 0) + 1 as int), cast(least(c.a, {CONTEXT}) as int)) as l, substr(text, cast(c.b + 1 as int), {CONTEXT}) as r))"))
+    # a base span has no x; what another generator proposed too, or a base span meets, goes
+    # a run of more digits than any number has is left to the generators of single formats
+    usable = f"length(regexp_replace(c.x, '[^0-9]', '')) between 7 and {MOST_DIGITS} or c.x rlike '[A-Za-z]'"
+    proposed = f"filter(concat({', '.join(GENERATORS)}), c -> {usable})"
+    df = df.withColumn("__c", F.expr(f"CASE WHEN digits or {' or '.join(f'size({g}) > 0' for g in GENERATORS)} THEN {proposed} ELSE array() END"))
+    df = df.withColumn("__c", F.expr("CASE WHEN size(__c) > 0 THEN concat(__c, transform(__base, o -> struct(o.a as a, o.b as b, cast(null as string) as x))) ELSE __c END"))
+    df = with_groups(df, "__c", "__c")
+    df = df.withColumn("__c", F.expr("flatten(transform(__c, g -> filter(g, (c, i) -> c.x is not null and (i = 0 or g[i - 1] <> c) and not exists(g, o -> o.x is null and o.a < c.b and c.a < o.b))))"))
+    df = with_pieces(df, "__w", "size(__c) > 0")
+    left, right = cut("__w", f"greatest(c.a - {CONTEXT}, 0L)", "c.a"), cut("__w", "c.b", f"c.b + {CONTEXT}")
+    df = df.withColumn("__c", F.expr(f"transform(__c, c -> struct(c.a as a, c.b as b, c.x as x, {left} as l, {right} as r))"))
     df = df.withColumn("__c", F.expr(_with_features("__c")))
-    df = df.withColumn("__c", F.expr(f"transform(__c, v -> struct({score} as p, v.a as a, v.b as b, v.kind as kind))"))
+    df = df.withColumn("__c", F.expr(f"transform(__c, v -> struct(v.a as a, v.b as b, {score} as p, v.kind as kind))"))
     over = " or ".join(f"(c.kind = '{k}' and c.p >= {limits[k]:.6f}D)" for k in KINDS)
-    df = df.withColumn("__c", F.expr(f"filter(__c, c -> {over})"))
+    df = with_groups(df, f"filter(__c, c -> {over})", "__c")
     # an id keeps its groups together; else the better score, then the longer one
     whole = "{0}.kind = 'id' and {1}.kind in ('card', 'phone') and {0}.a <= {1}.a and {0}.b >= {1}.b"
     better = "(o.p > c.p or (o.p = c.p and (o.b - o.a > c.b - c.a or (o.b - o.a = c.b - c.a and o.a < c.a))))"
-    df = df.withColumn("__c", F.expr(f"filter(__c, c -> not exists(__c, o -> o.a < c.b and c.a < o.b and (({whole.format('o', 'c')}) or ({better} and not ({whole.format('c', 'o')})))))"))
+    df = df.withColumn("__c", F.expr(f"flatten(transform(__c, g -> filter(g, c -> not exists(g, o -> o.a < c.b and c.a < o.b and (({whole.format('o', 'c')}) or ({better} and not ({whole.format('c', 'o')})))))))"))
     added = [F.expr(f"transform(filter(__c, c -> c.kind = '{k}'), c -> struct(c.a as a, c.b as b, c.kind as kind))") for k in KINDS]
     every = [F.array_sort(F.concat(F.col(k), a)) if k in BASE else F.array_sort(a) for k, a in zip(KINDS, added)]
     return df.withColumn("__all", F.concat(*every))
@@ -323,15 +318,11 @@ def redact(docs: DataFrame, text_col: str = "text", training: int = TRAINING_ROW
     stays null."""
     own = docs.columns
     rows = docs.select(F.struct(*[F.col(c) for c in own]).alias("__row"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    found = _spans(rows, training).withColumn("__o", F.array_sort("__all"))
-    # of spans in order, those that start beyond all earlier ends begin a stretch;
-    # __m holds the largest end of each block
-    found = found.withColumn("__m", F.expr(f"transform(sequence(0, size(__o) div {ENDS}), k -> array_max(transform(slice(__o, cast(k * {ENDS} + 1 as int), {ENDS}), o -> o.b)))"))
-    found = found.withColumn("__o", F.expr(f"transform(__o, (s, i) -> struct(s.a as a, s.b as b, s.kind as kind, exists(slice(__m, 1, cast(i div {ENDS} as int)), m -> m > s.a) or exists(slice(__o, cast(i div {ENDS} * {ENDS} + 1 as int), cast(i % {ENDS} as int)), o -> o.b > s.a) as inside))"))
-    heads = "filter(__o, s -> not s.inside)"
-    found = found.withColumn("__h", F.expr(heads))
-    ends = "transform(__h, (h, i) -> coalesce(array_max(transform(filter(__o, s -> s.a >= h.a and (i + 1 >= size(__h) or s.a < __h[i + 1].a)), s -> s.b)), h.b))"
-    found = found.withColumn("__e", F.expr(ends))
-    text = F.expr("concat(array_join(transform(__h, (h, i) -> concat(substr(text, cast(if(i = 0, 0, __e[i - 1]) + 1 as int), cast(h.a - if(i = 0, 0, __e[i - 1]) as int)), '[', upper(h.kind), ']')), ''), substr(text, cast(__e[size(__e) - 1] + 1 as int)))")
-    clean = F.when(F.size("__h") > 0, text).otherwise(F.col("text"))
+    found = with_groups(_spans(rows, training), "__all", "__q")
+    found = found.withColumn("__q", F.expr("transform(__q, g -> struct(g[0].a as a, array_max(transform(g, s -> s.b)) as b, g[0].kind as kind))"))
+    found = with_pieces(found.drop("__w"), "__w", "size(__q) > 0")
+    between = cut("__w", "if(i = 0, 0L, __q[i - 1].b)", "h.a")
+    rest = cut("__w", "__q[size(__q) - 1].b", "cast(length(text) as bigint)")
+    text = F.expr(f"concat(array_join(transform(__q, (h, i) -> concat({between}, '[', upper(h.kind), ']')), ''), {rest})")
+    clean = F.when(F.size("__q") > 0, text).otherwise(F.col("text"))
     return found.select(*[F.when(F.col(f"__row.`{c}`").isNotNull(), clean).alias(c) if c == text_col else F.col(f"__row.`{c}`").alias(c) for c in own])
