@@ -18,6 +18,7 @@ BATCH_BYTES = 1_500_000
 #: Longer stretches are hashed one by one.
 LONGEST_BY_LANES = 256
 _B = 0x9E3779B97F4A7C15 | 1
+_SECOND = 0xC2B2AE3D27D4EB4F
 _LANE = np.uint64(_B)
 _LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 
@@ -80,7 +81,7 @@ class Words:
         return np.repeat(np.arange(len(self.bounds) - 1), np.diff(self.bounds))
 
 
-def rolled(hashes: np.ndarray, width: int) -> np.ndarray:
+def rolled(hashes: np.ndarray, width: int, base: int = _B) -> np.ndarray:
     """A hash of each run of ``width`` words, by doubling; runs cross texts."""
     n = len(hashes) - width + 1
     if n <= 0:
@@ -91,17 +92,22 @@ def rolled(hashes: np.ndarray, width: int) -> np.ndarray:
             if out is None:
                 out = power
             else:
-                shift = np.uint64(pow(_B, size, 1 << 64))
+                shift = np.uint64(pow(base, size, 1 << 64))
                 m = min(len(out), len(power) - done)
                 out = out[:m] * shift + power[done : done + m]
             done += size
         if done == width:
             return out[:n]
-        shift = np.uint64(pow(_B, size, 1 << 64))
+        shift = np.uint64(pow(base, size, 1 << 64))
         power = power[:-size] * shift + power[size:]
         size *= 2
 
 
+def rolled_again(hashes: np.ndarray, width: int) -> np.ndarray:
+    """Another hash of each run, which makes 128 bits with ``rolled``."""
+    return rolled(mix(hashes ^ np.uint64(_SECOND)), width, _SECOND)
+
+
 def stretches(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The places start, start + 1, ... of each stretch, one after the other."""
     ends = np.cumsum(counts)
