@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-from .chunks import ChunkTable
+from .chunks import ChunkTable, packed_learner
 from .common import small_batches, text_bytes
 from .words import batched, stretches
 
@@ -67,7 +67,7 @@ class ByteBPE:
         self.pair_keys, self.pair_ranks = keys, np.array([pairs[k] for k in keys.tolist()], dtype=np.int64)
         self._pairs: dict[int, int] = {}
         self.pieces: dict[str, bytes] = {}
-        self.table = ChunkTable(self._learn)
+        self.table = ChunkTable(packed_learner(self._learn))
 
     def _pair(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         keys = a * self.size + b

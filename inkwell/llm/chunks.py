@@ -52,6 +52,17 @@ def chunk_starts(data: np.ndarray, begins: np.ndarray) -> np.ndarray:
     return np.nonzero(cut[:-1])[0]
 
 
+def packed_learner(learn: Callable[[list[bytes]], list[bytes]]) -> Callable:
+    """What ``ChunkTable`` asks for, from a function that packs the ids of a list of chunks."""
+
+    def learned(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        joined = data.tobytes()
+        made = learn([joined[a:b] for a, b in zip(starts.tolist(), (starts + sizes).tolist())])
+        return np.frombuffer(b"".join(made), dtype="<u4"), np.array([len(m) // 4 for m in made], dtype=np.int64)
+
+    return learned
+
+
 class _Pool:
     """Stretches of one kind of number, kept one after the other."""
 
@@ -83,9 +94,10 @@ class _Pool:
 
 
 class ChunkTable:
-    """Ids of chunks by hash; ``learn`` gives packed ids for a list of chunks."""
+    """Ids of chunks by hash.  ``learn`` gives the ids and how many each chunk has,
+    for chunks that are stretches (starts, sizes) of a text's bytes."""
 
-    def __init__(self, learn: Callable[[list[bytes]], list[bytes]], entries: int = ENTRIES):
+    def __init__(self, learn: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], entries: int = ENTRIES):
         self.learn, self.most = learn, entries
         self.slots = 1 << (3 * entries // 2).bit_length()
         self._clear()
@@ -136,10 +148,9 @@ class ChunkTable:
             rest[first] = False
             hashes, entries, slot = hashes[rest], entries[rest], (slot[rest] + 1) & (self.slots - 1)
 
-    def _add(self, hashes: np.ndarray, joined: bytes, lanes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> None:
+    def _add(self, hashes: np.ndarray, data: np.ndarray, lanes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> None:
         """New entries for chunks; a hash of zero is met by no look-up."""
-        made = self.learn([joined[a:b] for a, b in zip(starts.tolist(), (starts + sizes).tolist())])
-        self.ids.add(np.frombuffer(b"".join(made), dtype="<u4"), np.array([len(m) // 4 for m in made], dtype=np.int64))
+        self.ids.add(*self.learn(data, starts, sizes))
         eights = (sizes + 7) // 8
         passed = 8 * stretches(np.zeros(len(eights), dtype=np.int64), eights)
         self.lanes.add(lane(lanes, np.repeat(starts, eights) + passed, np.repeat(sizes, eights) - passed), eights)
@@ -165,7 +176,7 @@ class ChunkTable:
             other[i] = bool((lane(lanes, starts[i] + places, sizes[i] - places) != self.lanes.data[known[i] + places // 8]).any())
         return np.nonzero(other)[0]
 
-    def _look_up(self, joined: bytes, data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _look_up(self, data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, ids of each chunk) of at most ``AT_ONCE`` chunks."""
         if self.count > self.most or self.ids.used > self.most * IDS_EACH or self.lanes.used > self.most * LANES_EACH:
             self._forget()
@@ -177,15 +188,15 @@ class ChunkTable:
         if len(new):
             fresh, at = np.unique(hashes[new], return_index=True)
             at = new[at]
-            self._add(fresh, joined, lanes, starts[at], sizes[at])
+            self._add(fresh, data, lanes, starts[at], sizes[at])
             entry[new] = self._find(hashes[new])
         strangers = self._differing(lanes, starts, sizes, entry)
         if len(strangers):  # equal hashes of different chunks
-            chunks = [joined[a:b] for a, b in zip(starts[strangers].tolist(), stops[strangers].tolist())]
+            chunks = [data[a:b].tobytes() for a, b in zip(starts[strangers].tolist(), stops[strangers].tolist())]
             firsts = dict(zip(reversed(chunks), reversed(strangers.tolist())))
             place, first = {c: k for k, c in enumerate(firsts)}, list(firsts.values())
             before = self.count
-            self._add(np.zeros(len(first), dtype=np.uint64), joined, lanes, starts[first], sizes[first])
+            self._add(np.zeros(len(first), dtype=np.uint64), data, lanes, starts[first], sizes[first])
             entry[strangers] = [before + place[c] for c in chunks]
         return self.ids.take(entry), self.ids.size[entry]
 
@@ -193,12 +204,11 @@ class ChunkTable:
         """Packed ids (little-endian, 32 bits) of whole texts of a few megabytes."""
         if not texts:
             return []
-        joined = b"".join(texts)
-        data = np.frombuffer(joined, dtype=np.uint8)
+        data = np.frombuffer(b"".join(texts), dtype=np.uint8)
         ends = np.cumsum([len(t) for t in texts])
         starts = chunk_starts(data, np.concatenate(([0], ends[:-1])))
         stops = np.append(starts[1:], len(data))
-        parts = [self._look_up(joined, data, starts[at : at + AT_ONCE], stops[at : at + AT_ONCE]) for at in range(0, len(starts), AT_ONCE)]
+        parts = [self._look_up(data, starts[at : at + AT_ONCE], stops[at : at + AT_ONCE]) for at in range(0, len(starts), AT_ONCE)]
         if not parts:
             return [b""] * len(texts)
         packed = np.concatenate([p[0] for p in parts]).tobytes()

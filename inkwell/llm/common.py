@@ -75,6 +75,14 @@ def lower_ascii(c: Column) -> Column:
     return F.translate(c, ASCII_UPPER, ASCII_LOWER)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while f"__{name}" in taken:
+        name += "_"
+    return f"__{name}"
+
+
 def text_bytes(c: Column) -> Column:
     """UTF-8 bytes of a text; null stays null."""
     return c.cast("string").cast("binary")

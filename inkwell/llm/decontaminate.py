@@ -10,18 +10,21 @@ which no benchmark item has cannot match and is left out of the array.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterable, Iterator
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from .common import small_batches, text_bytes
+from .common import small_batches, stored, text_bytes, unused
 from .words import Words, batched
 
 WINDOW = 10
-#: Benchmark bytes that are sent to executors at once; a larger one goes in blocks.
+#: Benchmark bytes that are sent to executors at once; a larger one goes block by block.
 BLOCK_BYTES = 32_000_000
 PAIR_BITS = 22
 
@@ -163,24 +166,24 @@ def matches(bench: Benchmark, texts: list[bytes | None]) -> list[tuple]:
     return rows
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> list[list]:
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list]:
     """The benchmark's rows in blocks of bounded size, streamed through the driver
-    one partition at a time."""
+    one partition at a time; at least one block, which may be empty."""
     rows = benchmark.select(F.col(item_col).cast("string").alias("i"), text_bytes(F.col(text_col)).alias("t"))
-    blocks: list[list] = [[]]
-    size = 0
+    block, size, given = [], 0, False
     for row in rows.toLocalIterator():
         n = len(row["t"] or b"")
-        if blocks[-1] and size + n > BLOCK_BYTES:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((row["i"], bytes(row["t"]) if row["t"] is not None else None))
+        if block and size + n > BLOCK_BYTES:
+            yield block
+            block, size, given = [], 0, True
+        block.append((row["i"], bytes(row["t"]) if row["t"] is not None else None))
         size += n
-    return blocks
+    if block or not given:
+        yield block
 
 
-def _finder(spark: SparkSession, block: list, window: int):
-    sent = spark.sparkContext.broadcast(Benchmark(block, window))
+def _finder(sent):
+    """A column function from binary text to ``RESULT`` for a broadcast benchmark."""
 
     @F.pandas_udf(RESULT)
     def found(texts: pd.Series) -> pd.DataFrame:
@@ -203,34 +206,66 @@ SUMMARY = StructType(
 )
 
 
+def _summed_up(n_words: int, blocks: list) -> tuple:
+    """A row of ``SUMMARY`` from what the blocks of a benchmark found in one text."""
+    hit, far = 0, 0
+    for s, e in sorted((s, e) for b in blocks for s, e in zip(b["starts"], b["ends"])):
+        hit += max(0, e - max(s, far))
+        far = max(far, e)
+    items = sorted({i for b in blocks for i in b["items"]})
+    return n_words, hit, len(items), hashlib.sha256(",".join(items).encode()).hexdigest(), max((b["longest_match"] for b in blocks), default=0)
+
+
 @F.pandas_udf(SUMMARY)
 def _summary(found: pd.DataFrame) -> pd.DataFrame:
-    rows = []
-    for blocks in zip(*[found[c].tolist() for c in found.columns]):
-        spans = sorted((s, e) for b in blocks for s, e in zip(b["starts"], b["ends"]))
-        hit, far = 0, 0
-        for s, e in spans:
-            hit += max(0, e - max(s, far))
-            far = max(far, e)
-        items = sorted({i for b in blocks for i in b["items"]})
-        rows.append((blocks[0]["n_words"], hit, len(items), hashlib.sha256(",".join(items).encode()).hexdigest(), max(b["longest_match"] for b in blocks)))
-    return pd.DataFrame(rows, columns=SUMMARY.names)
-
-
-def _found(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text: str, window: int):
+    return pd.DataFrame([_summed_up(r["n_words"], [r]) for r in found.to_dict("records")], columns=SUMMARY.names)
+
+
+@F.pandas_udf(SUMMARY)
+def _summary_of_blocks(n_words: pd.Series, found: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([_summed_up(n, list(f) if f is not None else []) for n, f in zip(n_words, found)], columns=SUMMARY.names)
+
+
+def _by_block(rows: DataFrame, blocks: Iterable[list], row: str, text_col: str, window: int) -> DataFrame:
+    """(row, columns of ``RESULT``) of the rows that a block hits, block by block: the
+    driver and the executors hold one block at a time and the hits are written."""
+    spark, parts = rows.sparkSession, []
+    for block in blocks:
+        sent = spark.sparkContext.broadcast(Benchmark(block, window))
+        found = rows.select(row, _finder(sent)(text_bytes(F.col(text_col))).alias("m")).filter(F.size("m.starts") > 0)
+        parts.append(stored(found.select(row, "m.*"), "benchmark-hits"))
+        sent.destroy()
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _measured(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text: str, window: int, name: str) -> DataFrame:
+    """``docs`` with a column ``name`` of type ``SUMMARY``."""
     small_batches(docs.sparkSession)
     blocks = _blocks(benchmark, item_col, item_text)
-    text = text_bytes(F.col(text_col))
-    return F.struct(*[_finder(docs.sparkSession, b, window)(text).alias(f"b{i}") for i, b in enumerate(blocks)])
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        sent = docs.sparkSession.sparkContext.broadcast(Benchmark(first, window))
+        return docs.withColumn(name, _summary(_finder(sent)(text_bytes(F.col(text_col)))))
+    row = unused(docs, "row")
+    rows = stored(docs.withColumn(row, F.monotonically_increasing_id()), "benchmark-docs")
+    found = _by_block(rows, chain([first, second], blocks), row, text_col, window)
+    # a text's hits: as many as its words and the blocks at most
+    grouped = found.groupBy(row).agg(F.collect_list(F.struct("starts", "ends", "items", "longest_match")).alias(name))
+    n_words = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(r"[0-9A-Za-z\x{80}-\x{10FFFF}]+")), F.lit(0)).cast("long")
+    return rows.join(grouped, row, "left").withColumn(name, _summary_of_blocks(n_words, F.col(name))).drop(row)
 
 
 def locate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
-    """(doc_id, n_words, starts, ends, items, longest_match) for each block of the
-    benchmark: where a text repeats it, in words."""
-    blocks = _blocks(benchmark, item_col, item_text)
-    each = F.array(*[_finder(docs.sparkSession, b, window)(text_bytes(F.col(text_col))) for b in blocks])
-    found = docs.select(F.col(id_col).alias("doc_id"), F.explode(each).alias("m"))
-    return found.select("doc_id", "m.*")
+    """(doc_id, n_words, starts, ends, items, longest_match): where a text repeats the
+    benchmark, in words.
+
+    One row for each row of ``docs`` and block of the benchmark that it meets; rows
+    without a match, null and empty texts among them, are left out, and an empty
+    table or benchmark gives no rows.  Repeated rows give repeated rows.
+    """
+    small_batches(docs.sparkSession)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return _by_block(rows, _blocks(benchmark, item_col, item_text), "doc_id", "text", window)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
@@ -241,11 +276,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     rows; an empty benchmark hits nothing; an empty table gives no rows; other
     columns are not read, so names may clash.
     """
-    found = docs.select(F.col(id_col).alias("doc_id"), _found(docs, benchmark, text_col, item_col, item_text, window).alias("m"))
-    summed = found.select("doc_id", _summary("m").alias("s")).select("doc_id", "s.*")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    summed = _measured(rows, benchmark, "text", item_col, item_text, window, "s").select("doc_id", "s.*")
     return summed.withColumn("contaminated", F.col("n_hit") > 0)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
-    """The rows of ``docs``, all columns, without any window of the benchmark."""
-    return docs.filter(_summary(_found(docs, benchmark, text_col, item_col, item_text, window))["n_hit"] == 0)
+    """The rows of ``docs``, all columns, without any window of the benchmark.
+
+    Null and empty texts hold no window and stay; repeated rows stay or go together;
+    an empty benchmark removes nothing; an empty table gives an empty one.
+    """
+    name = unused(docs, "found")
+    return _measured(docs, benchmark, text_col, item_col, item_text, window, name).filter(F.col(name)["n_hit"] == 0).drop(name)

@@ -44,6 +44,9 @@ def grams(text: bytes) -> np.ndarray:
     folded = _FOLD[np.frombuffer(b" " + text + b" ", dtype=np.uint8)]
     spaces = folded == 32
     folded = folded[np.concatenate(([True], ~(spaces[1:] & spaces[:-1])))].astype(np.uint32)
+    # one letter of one byte has a gram of its own, filled up with a space
+    if len(folded) == GRAM - 1:
+        folded = np.append(folded, np.uint32(32))
     if len(folded) < GRAM:
         return np.zeros(0, dtype=np.int64)
     code = folded[:-3] | (folded[1:-2] << np.uint32(8)) | (folded[2:-1] << np.uint32(16)) | (folded[3:] << np.uint32(24))

@@ -2,8 +2,11 @@
 
 Rolling hashes of several n-gram lengths are computed in numpy over each whole
 text; a rule fails when the characters inside repeated n-grams, or inside
-repeated lines, are too large a share of the characters in words.  The limits
-are the published ones of the Gopher rules (Rae et al. 2021).
+repeated lines, are too large a share of the characters in words, or repeated
+lines of all lines.  The limits are the published ones of the Gopher rules (Rae
+et al. 2021), at any length of text.  The characters counted are those in words;
+an n-gram of 5 to 10 words or a line counts from its second occurrence on, and a
+character that several n-grams cover counts once.
 """
 
 from __future__ import annotations
@@ -20,8 +23,9 @@ from .common import small_batches, text_bytes
 TOP_LIMITS = {2: 0.20, 3: 0.18, 4: 0.16}
 #: Largest share of word characters inside n-grams equal to an earlier one.
 DUPLICATE_LIMITS = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
-#: Largest share of characters inside lines equal to an earlier line.
-LINE_LIMIT = 0.20
+#: Largest share of characters inside lines equal to an earlier line, and largest
+#: share of such lines among all lines that hold a word.
+LINE_LIMIT, LINES_LIMIT = 0.20, 0.30
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 REPEAT_WINDOW = 3
@@ -65,9 +69,10 @@ def measure(text: bytes | None) -> tuple:
     words = text.split()
     n = len(words)
     seen: set[bytes] = set()
-    dup_lines = line_chars = 0
+    lines = dup_lines = line_chars = 0
     for line in text.split(b"\n"):
         if line and not line.isspace():
+            lines += 1
             if line in seen:
                 dup_lines += 1
                 line_chars += len(line.decode("utf-8", "replace"))
@@ -110,7 +115,7 @@ def measure(text: bytes | None) -> tuple:
             duplicate = max(duplicate, chars_in / total)
             fails |= chars_in > DUPLICATE_LIMITS[width] * total
     line_share = line_chars / max(1, len(text) - int(kinds[_CONTINUED]))
-    fails |= line_share > LINE_LIMIT
+    fails |= line_share > LINE_LIMIT or dup_lines > LINES_LIMIT * lines
     return (n, word_chars, int(kinds[_SYMBOL]), dup_lines, repeat_words, bool(base_failed), not (base_failed or fails), top, duplicate, line_share)
 
 
@@ -132,6 +137,10 @@ def repetition(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def keep_varied(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, whose text passes every rule."""
+    """The rows of ``docs``, all columns, whose text passes every rule.
+
+    Rows with a null, empty or short text go (the base rule); repeated rows stay or
+    go together; an empty table gives an empty one; a column may have any name.
+    """
     small_batches(docs.sparkSession)
     return docs.filter(_measures(text_bytes(F.col(text_col)))["kept"])

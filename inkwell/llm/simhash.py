@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .common import dropped, small_batches, stored, text_bytes
+from .common import dropped, small_batches, stored, text_bytes, unused
 from .components import components
 
 SHINGLE = 4
@@ -100,6 +100,7 @@ def linked_fingerprints(fps: DataFrame, max_bits: int = MAX_BITS, pivots: int =
     chosen = members.groupBy("k").agg(*picks)
     distances = [hamming(F.col("fp"), F.col(f"p{i}")).cast("byte").alias(f"d{i}") for i in range(pivots)]
     table = stored(members.join(chosen, "k").select("k", "fp", *[f"p{i}" for i in range(pivots)], *distances), "simhash-pivots")
+    dropped(members)
     near = F.array(*[F.when((F.col(f"d{i}") > 0) & (F.col(f"d{i}") <= max_bits), F.col(f"p{i}")) for i in range(pivots)])
     stars = stored(table.select(F.col("fp").alias("src"), F.explode(F.array_compact(near)).alias("dst")).distinct(), "simhash-stars")
     first = components(stars)
@@ -107,6 +108,7 @@ def linked_fingerprints(fps: DataFrame, max_bits: int = MAX_BITS, pivots: int =
     coords = [f"d{i}" for i in range(pivots)]
     named = table.select("k", "fp", *coords).join(first.withColumnRenamed("node", "fp"), "fp", "left").select("k", "fp", *coords, label)
     named = stored(named, "simhash-named")
+    dropped(table)
     mixed = named.groupBy("k", "label").count().groupBy("k").agg(F.max_by("label", F.struct("count", "label")).alias("major"), F.count("*").alias("n")).filter("n > 1")
     open_rows = named.join(mixed.select("k", "major"), "k")
     width = max_bits + 1
@@ -116,12 +118,28 @@ def linked_fingerprints(fps: DataFrame, max_bits: int = MAX_BITS, pivots: int =
     close = reduce(lambda x, y: x & y, [F.abs(F.col(f"a{c}") - F.col(c)) <= max_bits for c in coords])
     met = left.join(right, ["k", "c0", "c1"]).filter((F.col("la") != F.col("lb")) & close & (hamming(F.col("src"), F.col("dst")) <= max_bits))
     rest = met.groupBy("la", "lb").agg(F.lit(1).alias("one")).select(F.col("la").alias("src"), F.col("lb").alias("dst"))
-    out = components(stars.unionByName(rest))
-    for gone in (members, table, named):
+    out = stored(components(stars.unionByName(rest)), "simhash-components")
+    for gone in (stars, named):
         dropped(gone)
     return out
 
 
+def _hashed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    small_batches(docs.sparkSession)
+    return stored(docs.select(F.col(id_col).alias("doc_id"), _fingerprints(text_bytes(F.col(text_col))).alias("fp")), "simhash-fp")
+
+
+def _components_of(hashed: DataFrame, max_bits: int) -> tuple[DataFrame, DataFrame]:
+    """((fp, rep, component), (component, component_id)), both written: what follows
+    joins them, and a component of very many fingerprints can be split."""
+    reps = hashed.groupBy("fp").agg(F.min("doc_id").alias("rep"))
+    groups = linked_fingerprints(reps.select("fp"), max_bits)
+    placed = reps.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("component", "fp").alias("component"))
+    placed = stored(placed, "simhash-placed")
+    dropped(groups)
+    return placed, stored(placed.groupBy("component").agg(F.min("rep").alias("component_id")), "simhash-least")
+
+
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
     """(doc_id, fingerprint, component_id), one row for each row of ``docs``.
 
@@ -131,22 +149,36 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     never name a component unless all its ids are null.  An empty table gives no
     rows; other columns are not read, so their names may clash with ours.
     """
-    small_batches(docs.sparkSession)
-    hashed = stored(docs.select(F.col(id_col).alias("doc_id"), _fingerprints(text_bytes(F.col(text_col))).alias("fp")), "simhash-fp")
-    reps = hashed.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    groups = linked_fingerprints(reps.select("fp"), max_bits)
-    placed = reps.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("component", "fp").alias("component"))
-    least = placed.groupBy("component").agg(F.min("rep").alias("component_id"))
-    by_fp = placed.join(least, "component").select("fp", "component_id")
+    hashed = _hashed(docs, id_col, text_col)
+    placed, least = _components_of(hashed, max_bits)
+    by_fp = stored(placed.join(least, "component").select("fp", "component_id"), "simhash-by-fp")
+    for gone in (placed, least):
+        dropped(gone)
     return hashed.join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is their component's least id.
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
+    """One row of ``docs``, with all its columns, for each component.
 
-    Of rows that share that id one stays; a row without an id has no other row
-    to stand for it and stays.
+    It is the row of the least id (a null id is the largest); of several rows with
+    that id the one of the least fingerprint (as a signed number) stays, and of
+    those that share it too any one.  Null and blank texts have fingerprint zero
+    and so are one component.  An empty table gives an empty one; columns may have
+    any names.
     """
-    firsts = simhash_groups(docs, id_col, text_col).filter("doc_id = component_id").select(F.col("doc_id").alias("__first")).distinct()
-    kept = docs.join(firsts, F.col(id_col) == F.col("__first"), "left_semi")
-    return kept.dropDuplicates([id_col]).unionByName(docs.filter(F.col(id_col).isNull()))
+    first, print_, row_id = unused(docs, "first"), unused(docs, "print"), F.col(id_col)
+    hashed = _hashed(docs, id_col, text_col)
+    placed, least = _components_of(hashed, max_bits)
+    order = F.struct(F.col("rep").isNull().alias("n"), "rep", "fp")
+    best = stored(placed.groupBy("component").agg(F.min(order).alias("b")).select(F.col("b.rep").alias(first), F.col("b.fp").alias(print_)), "simhash-best")
+    # ids that one row has need no second look at the texts
+    often = stored(hashed.groupBy("doc_id").count().filter("count > 1 or doc_id is null").select(F.col("doc_id").alias(first)), "simhash-ids")
+    for gone in (placed, least, hashed):
+        dropped(gone)
+    once = best.join(often, best[first].eqNullSafe(often[first]), "left_anti")
+    kept = docs.join(once, row_id == once[first], "left_semi")
+    if often.isEmpty():
+        return kept
+    again = docs.join(often, row_id.eqNullSafe(often[first]), "left_semi").withColumn(print_, _fingerprints(text_bytes(F.col(text_col))))
+    again = again.join(best, again[id_col].eqNullSafe(best[first]) & (again[print_] == best[print_]), "left_semi")
+    return kept.unionByName(again.dropDuplicates([id_col, print_]).drop(print_))

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import os
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -42,7 +42,7 @@ STEP = 4
 JOINED = 500
 MAGIC = b"RPG2"
 HEAD = "<4sBIIIQI"
-DEAD = (1 << 64) - 1
+DEAD = 0xFFFFFFFF
 
 #: shard and block order the blocks; before counts the ids of the shard's earlier
 #: blocks; n_tokens is what the block expands to;
@@ -75,32 +75,59 @@ class Encoder:
     def _library(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype="<u4") for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _joined(self, chunks: list[bytes], some: list[int], between: bytes) -> Iterator[tuple[list[int], np.ndarray]]:
-        """(indices, ids) of groups of chunks that go to the library as one text."""
-        groups = [some[at : at + JOINED] for at in range(0, len(some), JOINED)]
-        return zip(groups, self._library([between.join([chunks[i] for i in g]).decode("utf-8", "replace") for g in groups]))
-
-    def _learn(self, chunks: list[bytes]) -> list[bytes]:
-        """Packed ids of chunks (see ``chunks``)."""
-        out: list[bytes | None] = [None] * len(chunks)
-        single = [i for i, c in enumerate(chunks) if c[0] == 32 and len(c) > 1 and c.rfind(b" ") == 0]
-        for group, ids in self._joined(chunks, single, b""):
-            starts = np.nonzero(self.opens[ids])[0]
-            if len(starts) == len(group) and starts[0] == 0:
-                packed, cuts = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
-                for i, a, b in zip(group, cuts, cuts[1:]):
-                    out[i] = packed[a:b]
-        black = [i for i, c in enumerate(chunks) if c[0] != 32 and c.isascii() and len(c.split(None, 1)) == 1 and not c[-1:].isspace()]
-        for group, ids in self._joined(chunks, black, b"\n"):
-            ends = np.nonzero(ids == self.line_end)[0]
-            if len(ends) == len(group) - 1:
-                packed, cuts = ids.tobytes(), [-4, *(4 * ends).tolist(), 4 * len(ids)]
-                for i, a, b in zip(group, cuts, cuts[1:]):
-                    out[i] = packed[a + 4 : b]
-        odd = [i for i, ids in enumerate(out) if ids is None]
-        for i, ids in zip(odd, self._library([chunks[i].decode("utf-8", "replace") for i in odd])):
-            out[i] = ids.tobytes()
-        return out
+    def _spaced(self, ids: np.ndarray) -> np.ndarray:
+        """Ids from each one that begins with a space to the next."""
+        opens = np.nonzero(self.opens[ids])[0]
+        return np.diff(opens, append=len(ids)) if len(opens) and opens[0] == 0 else opens[:0]
+
+    def _lines(self, ids: np.ndarray) -> np.ndarray:
+        """Ids before each line end."""
+        return np.diff(np.nonzero(ids == self.line_end)[0], prepend=-1) - 1
+
+    def _grouped(self, text: np.ndarray, ends: np.ndarray, parts: Callable[[np.ndarray], np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
+        """(ids, ids of each chunk) of ``JOINED`` chunks at a time that end before
+        ``ends``; ``parts`` finds where they part, and where it finds another
+        number of them the second is missing."""
+        cuts = [0, *ends[JOINED - 1 : -1 : JOINED].tolist(), len(text)]
+        whole = self._library([text[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(cuts, cuts[1:])])
+        for k, ids in enumerate(whole):
+            sizes = parts(ids)
+            yield ids, sizes if len(sizes) == min(JOINED, len(ends) - k * JOINED) else None
+
+    def _learn(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and their numbers for chunks (see ``chunks``)."""
+        text = data[stretches(starts, sizes)]
+        ends = np.cumsum(sizes)
+        spaces, others = np.concatenate(([0], np.cumsum(text == 32))), np.concatenate(([0], np.cumsum((text < 33) | (text > 126))))
+        first = ends - sizes
+        single = (text[first] == 32) & (sizes > 1) & (spaces[ends] - spaces[first] == 1)
+        black = others[ends] == others[first]
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def keep(some: np.ndarray, groups: Iterator) -> None:
+            for at, (ids, counts) in zip(range(0, len(some), JOINED), groups):
+                if counts is not None:
+                    found.append((some[at : at + JOINED], ids, counts))
+
+        some = np.nonzero(single)[0]
+        if len(some):
+            keep(some, self._grouped(text[stretches(first[some], sizes[some])], np.cumsum(sizes[some]), self._spaced))
+        some = np.nonzero(black)[0]
+        if len(some):
+            at = np.cumsum(sizes[some] + 1)
+            lines = np.full(int(at[-1]), 10, dtype=np.uint8)
+            lines[stretches(at - 1 - sizes[some], sizes[some])] = text[stretches(first[some], sizes[some])]
+            # the line end after each chunk is a token that is left out again
+            keep(some, ((ids[ids != self.line_end], counts) for ids, counts in self._grouped(lines, at, self._lines)))
+        known = np.zeros(len(starts), dtype=bool)
+        for chunks, _, _ in found:
+            known[chunks] = True
+        odd = np.nonzero(~known)[0]
+        for i, ids in zip(odd.tolist(), self._library([text[first[i] : ends[i]].tobytes().decode("utf-8", "replace") for i in odd.tolist()])):
+            found.append((np.array([i]), ids, np.array([len(ids)])))
+        order, flat, counts = (np.concatenate([f[k] for f in found]) for k in range(3))
+        back = np.argsort(order)
+        return flat[stretches((np.cumsum(counts) - counts)[back], counts[back])], counts[back]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of whole texts (UTF-8) as little-endian unsigned 32-bit integers."""
@@ -135,12 +162,13 @@ class _Grammar:
     def __init__(self, ids: np.ndarray, ends: np.ndarray, base: int, least: int):
         n = len(ids)
         self.n, self.base, self.made, self.least = n, base, base, least
+        kind = np.int32 if n < 1 << 30 else np.int64
         self.place_bits = max(1, n.bit_length())
         self.bits = min(int(base + n).bit_length(), (64 - self.place_bits) // 2)
-        self.symbols = np.full(n + 1, DEAD, dtype=np.uint64)
+        self.symbols = np.full(n + 1, DEAD, dtype=np.uint32)
         self.symbols[:n] = ids
-        self.after = np.arange(1, n + 2, dtype=np.int64)
-        self.before = np.arange(-1, n, dtype=np.int64)
+        self.after = np.arange(1, n + 2, dtype=kind)
+        self.before = np.arange(-1, n, dtype=kind)
         inner = ends[(ends > 0) & (ends <= n)]
         self.after[inner - 1] = n  # no pair crosses the end of a document
         self.before[inner] = -1
@@ -150,7 +178,7 @@ class _Grammar:
 
     def _keys(self, at: np.ndarray) -> np.ndarray:
         """The pairs that start at the places ``at``."""
-        return (self.symbols[at] << np.uint64(self.bits)) | self.symbols[self.after[at]]
+        return (self.symbols[at].astype(np.uint64) << np.uint64(self.bits)) | self.symbols[self.after[at]]
 
     def _collect(self, at: np.ndarray) -> None:
         """A group of the pairs that start at the places ``at``."""

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii
+from .common import lower_ascii, stored
 
 #: Rules that may be sent to every executor; more of them are shuffled.
 BROADCAST_ROWS = 10_000
@@ -64,8 +64,10 @@ def apply_rules(urls: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     pairs = pages.select("host", "path").distinct()
     prefixes = F.array(*[F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in lengths]) if lengths else F.array().cast("array<string>")
     expressions = pairs.select("host", "path", F.explode(host_suffixes(F.col("host"))).alias("ehost"), F.array_compact(prefixes).alias("eps")).select("host", "path", "ehost", F.explode("eps").alias("epath"))
-    met = _keyed(expressions, "ehost", "epath").join(F.broadcast(known) if few else known, ["__h32", "__digest"])
-    confirmed = met.filter((F.col("ehost") == F.col("rhost")) & (F.col("epath") == F.col("rpath")))
+    met = _keyed(expressions, "ehost", "epath").join((F.broadcast(known) if few else known).withColumnRenamed("__digest", "__rule"), "__h32")
+    confirmed = met.filter((F.col("__digest") == F.col("__rule")) & (F.col("ehost") == F.col("rhost")) & (F.col("epath") == F.col("rpath")))
     rank = F.struct((F.length("rhost") + F.length("rpath")).alias("n"), F.length("rpath").alias("p"), (F.col("action") == "allow").alias("a"))
     best = confirmed.groupBy("host", "path").agg(F.max_by(F.struct(F.concat("rhost", "rpath").alias("rule"), F.col("action").alias("verdict")), rank).alias("best"))
+    # written first, so that the join can split a host and path that very many pages have
+    best = stored(best, "url-verdicts")
     return pages.join(best, ["host", "path"], "left").select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(DEFAULT_VERDICT)).alias("verdict"))
