@@ -1,7 +1,8 @@
 """License scans by ordered signature rules.
 
 A rule has a label, a priority, a keyword and a regular expression (``signatures``).
-Of the rules only those run whose keyword the text holds.  A detection that another
+Of the rules only those run whose keyword, and all other words that stand in every
+match, the text holds.  A detection that another
 one contains goes unless its priority is higher (its number smaller) and its label
 another one; of equal stretches the better rule stays.  Detections are compared
 within groups that overlap, so the work grows with a text, not with its square.
@@ -11,6 +12,8 @@ Everything is DataFrame and SQL functions in the row: no join, no Python on exec
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,18 +41,33 @@ def rules() -> list[tuple[int, str, str, str]]:
     return found
 
 
+def _needed(words: str) -> list[str]:
+    """Strings that every match of a signature holds: those outside its groups."""
+    plain = re.sub(r"\(\?:[^()]*\)\??", " ", words.replace(" ?", " "))
+    return sorted({w for w in re.findall(r"(?<![\\\[])[a-z]{3,}", re.sub(r"\[sc\]e", " ", re.sub(r".\?", "", plain)))})
+
+
+def _tried() -> str:
+    """SQL: the rules whose strings are in low and whose expression matches it.  Rules of
+    one keyword stand together, so that a text without it passes over all of them."""
+    groups: dict[str, list[str]] = {}
+    signatures = [line.split(" :: ")[2] for line in SIGNATURES.strip().splitlines()]
+    for (p, label, keyword, expression), words in zip(rules(), signatures):
+        needed = ", ".join(quoted(w) for w in [keyword, *_needed(words)])
+        groups.setdefault(keyword, []).append(f"struct({p} as p, {quoted(label)} as l, array({needed}) as k, {quoted(expression)} as e)")
+    known = ", ".join(f"struct({quoted(k)} as k, array({', '.join(rs)}) as rules)" for k, rs in groups.items())
+    return f"flatten(transform(filter(array({known}), g -> contains(low, g.k)), g -> filter(g.rules, r -> forall(r.k, k -> contains(low, k)) and low rlike r.e)))"
+
+
 def words_of(text: Column) -> Column:
     """Words of a lower-cased text."""
     return F.filter(F.split(lower_ascii(text), GAP), lambda w: w != "")
 
 
 def _detections(df: DataFrame) -> DataFrame:
-    """Adds found (labels) and n_found from column low, the lower-case text."""
-    known = ", ".join(f"struct({p} as p, {quoted(l)} as l, {quoted(k)} as k, {quoted(e)} as e)" for p, l, k, e in rules())
-    rooted = " or ".join(f"contains(low, {quoted(r)})" for r in ROOTS)
-    hinted = f"{rooted} or contains(low, 'cc') and low rlike {quoted(CC_BY)}"
-    tried = f"CASE WHEN {hinted} THEN filter(array({known}), r -> contains(low, r.k) and low rlike r.e) END"
-    df = df.withColumn("__r", F.expr(tried))
+    """Adds found (labels) and n_found from column low, the lower-case text, which is
+    null for texts that no rule can match."""
+    df = df.withColumn("__r", F.expr(f"CASE WHEN low is not null THEN {_tried()} END"))
     df = df.withColumn("__r", F.expr("transform(__r, r -> struct(r.p as p, r.l as l, split(low, r.e, -1) as g, regexp_extract_all(low, r.e, 0) as t))"))
     df = df.withColumn("__r", F.expr("transform(__r, r -> struct(r.p as p, r.l as l, r.g as g, r.t as t, transform(r.t, (x, i) -> length(x) + length(r.g[i])) as n))"))
     df = df.withColumn("__r", F.expr(f"transform(__r, r -> struct(r.p as p, r.l as l, r.g as g, r.t as t, r.n as n, {block_sums('r.n')} as s))"))
@@ -75,7 +93,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     n_words = F.regexp_count("text", F.lit(r"[0-9A-Za-z\x{80}-\x{10FFFF}]+")).cast("long")
-    df = texts.select("doc_id", n_words.alias("n_words"), lower_ascii(F.col("text")).alias("low"))
+    # lower() is fast and finds all that translate() would, which is then left to few texts
+    rooted = " or ".join(f"contains(wide, {quoted(r)})" for r in ROOTS)
+    hinted = F.expr(f"{rooted} or contains(wide, 'cc') and wide rlike {quoted(CC_BY)}")
+    df = texts.select("doc_id", "text", n_words.alias("n_words"), F.lower("text").alias("wide"))
+    df = df.select("doc_id", "n_words", F.when(hinted, lower_ascii(F.col("text"))).alias("low"))
     df = df.withColumn("w", F.when(F.col("low").contains("license"), F.filter(F.split("low", GAP), lambda w: w != "")))
     for label, phrase in BASE_PHRASES.items():
         same = " and ".join(f"w[i{f' + {k}' if k else ''}] = '{p}'" for k, p in enumerate(phrase))

@@ -242,32 +242,32 @@ lppl :: latex :: latex project public licen[sc]e
 hippocratic :: hippocratic :: hippocratic licen[sc]e
 polyform :: polyform :: polyform (?:noncommercial|small business|shield|strict) licen[sc]e
 commons-clause :: commons :: commons clause licen[sc]e condition
-cc-by-nc-sa-4.0 :: by :: cc by nc sa 4\.0
-cc-by-nc-sa-3.0 :: by :: cc by nc sa 3\.0
-cc-by-nc-sa-2.5 :: by :: cc by nc sa 2\.5
-cc-by-nc-sa-2.0 :: by :: cc by nc sa 2\.0
-cc-by-nc-nd-4.0 :: by :: cc by nc nd 4\.0
-cc-by-nc-nd-3.0 :: by :: cc by nc nd 3\.0
-cc-by-nc-nd-2.0 :: by :: cc by nc nd 2\.0
-cc-by-nc-4.0 :: by :: cc by nc 4\.0
-cc-by-nc-3.0 :: by :: cc by nc 3\.0
-cc-by-nc-2.0 :: by :: cc by nc 2\.0
-cc-by-sa-4.0 :: by :: cc by sa 4\.0
-cc-by-sa-3.0 :: by :: cc by sa 3\.0
-cc-by-sa-2.5 :: by :: cc by sa 2\.5
-cc-by-sa-2.0 :: by :: cc by sa 2\.0
-cc-by-nd-4.0 :: by :: cc by nd 4\.0
-cc-by-nd-3.0 :: by :: cc by nd 3\.0
-cc-by-4.0 :: by :: cc by 4\.0
-cc-by-3.0 :: by :: cc by 3\.0
-cc-by-2.5 :: by :: cc by 2\.5
-cc-by-2.0 :: by :: cc by 2\.0
-cc-by-nc-sa :: by :: cc by nc sa
-cc-by-nc-nd :: by :: cc by nc nd
-cc-by-nc :: by :: cc by nc
-cc-by-sa :: by :: cc by sa
-cc-by-nd :: by :: cc by nd
-cc-by :: by :: cc by
+cc-by-nc-sa-4.0 :: cc :: cc by nc sa 4\.0
+cc-by-nc-sa-3.0 :: cc :: cc by nc sa 3\.0
+cc-by-nc-sa-2.5 :: cc :: cc by nc sa 2\.5
+cc-by-nc-sa-2.0 :: cc :: cc by nc sa 2\.0
+cc-by-nc-nd-4.0 :: cc :: cc by nc nd 4\.0
+cc-by-nc-nd-3.0 :: cc :: cc by nc nd 3\.0
+cc-by-nc-nd-2.0 :: cc :: cc by nc nd 2\.0
+cc-by-nc-4.0 :: cc :: cc by nc 4\.0
+cc-by-nc-3.0 :: cc :: cc by nc 3\.0
+cc-by-nc-2.0 :: cc :: cc by nc 2\.0
+cc-by-sa-4.0 :: cc :: cc by sa 4\.0
+cc-by-sa-3.0 :: cc :: cc by sa 3\.0
+cc-by-sa-2.5 :: cc :: cc by sa 2\.5
+cc-by-sa-2.0 :: cc :: cc by sa 2\.0
+cc-by-nd-4.0 :: cc :: cc by nd 4\.0
+cc-by-nd-3.0 :: cc :: cc by nd 3\.0
+cc-by-4.0 :: cc :: cc by 4\.0
+cc-by-3.0 :: cc :: cc by 3\.0
+cc-by-2.5 :: cc :: cc by 2\.5
+cc-by-2.0 :: cc :: cc by 2\.0
+cc-by-nc-sa :: cc :: cc by nc sa
+cc-by-nc-nd :: cc :: cc by nc nd
+cc-by-nc :: cc :: cc by nc
+cc-by-sa :: cc :: cc by sa
+cc-by-nd :: cc :: cc by nd
+cc-by :: cc :: cc by
 cc-by-nc-sa :: creativecommons :: creativecommons\.org licenses by nc sa
 cc-by-nc-nd :: creativecommons :: creativecommons\.org licenses by nc nd
 cc-by-nc :: creativecommons :: creativecommons\.org licenses by nc
