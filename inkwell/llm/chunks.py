@@ -18,7 +18,7 @@ from .words import LONGEST_BY_LANES, byte_lanes, lane, span_hashes, stretches
 
 #: Chunks that a table holds by default, and eights of bytes and ids for each of
 #: them on average; beyond any of them the chunks that were not met again are forgotten.
-ENTRIES, LANES_EACH, IDS_EACH = 600_000, 4, 10
+ENTRIES, LANES_EACH, IDS_EACH = 300_000, 4, 10
 #: Chunks that are looked up together.
 AT_ONCE = 200_000
 

@@ -33,9 +33,10 @@ BLOCK_TOKENS = 250_000
 SHARD_BYTES = 256 << 20
 #: More shards are not made, so that their starts can be sent to every executor.
 MOST_SHARDS = 500_000
-#: A rule is kept in the room of three to four symbols (two sides and a length), so
-#: a pair repays its rule from this many occurrences on.
-LEAST_COUNT = 4
+#: A pair repays its rule from this many occurrences on: a rule takes the room of three
+#: to four symbols (two sides and a length), and what Parquet's own compression saves on
+#: rare pairs anyway doubles that.
+LEAST_COUNT = 8
 #: Pairs at least 1 / STEP as frequent as the most frequent one are replaced together.
 STEP = 4
 #: New chunks that go to the library as one text.
@@ -89,8 +90,8 @@ class Encoder:
         ``ends``; ``parts`` finds where they part, and where it finds another
         number of them the second is missing."""
         cuts = [0, *ends[JOINED - 1 : -1 : JOINED].tolist(), len(text)]
-        whole = self._library([text[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(cuts, cuts[1:])])
-        for k, ids in enumerate(whole):
+        for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            ids = self._library([text[a:b].tobytes().decode("utf-8", "replace")])[0]
             sizes = parts(ids)
             yield ids, sizes if len(sizes) == min(JOINED, len(ends) - k * JOINED) else None
 
