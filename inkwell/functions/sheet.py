@@ -34,8 +34,8 @@ def format_class(code: Column) -> Column:
 
 
 def column_letters(n: Column) -> Column:
-    """Column 1 as A, 27 as AA, 703 as AAA, and so on."""
-    return F.upper(alpha_marker(n))
+    """Column 1 as A, 27 as AA, 703 as AAA, and so on; no letters under 1."""
+    return F.when(n < 1, F.lit("")).otherwise(F.upper(alpha_marker(n)))
 
 
 def column_number(letters: Column) -> Column:

@@ -13,8 +13,8 @@ from ..functions.text import parses_as_float, trim_space
 
 CLOCK = r"[0-9]{1,2}:[0-9]{1,2}(:[0-9]{1,2}([.][0-9]+)?)?Z?"
 DATE = r"([0-9]{1,4}-[0-9]{1,4}-[0-9]{1,4}|[0-9]{1,4}/[0-9]{1,4}/[0-9]{1,4}|[0-9]{1,4}\.[0-9]{1,4}\.[0-9]{1,4})"
-#: Body rows whose width decides what a full row is.
-MODAL_ROWS = 50
+#: Body rows that are looked at for a header: a label shows in the first ones.
+SAMPLE_ROWS = 50
 
 
 def kind_of(c: Column) -> Column:
@@ -30,7 +30,9 @@ def column_kinds(cells: DataFrame) -> DataFrame:
     """(table_id, col, n_number, n_bool, n_date, n_text, dominant): the kind that
     nine tenths of a column's non-blank values share, in that order, or null."""
     counts = [F.sum((F.col("kind") == k).cast("long")).alias(f"n_{k}") for k in ("number", "bool", "date", "text")]
-    sums = cells.select("table_id", "col", kind_of(F.col("text")).alias("kind")).filter("kind is not null").groupBy("table_id", "col").agg(*counts)
+    # no filter on the kind, which would be worked out for it a second time
+    sums = cells.select("table_id", "col", kind_of(F.col("text")).alias("kind")).groupBy("table_id", "col").agg(*[F.coalesce(c, F.lit(0)).alias(n) for c, n in zip(counts, ("n_number", "n_bool", "n_date", "n_text"))])
+    sums = sums.filter("n_number + n_bool + n_date + n_text > 0")
     total = sum((F.col(f"n_{k}") for k in ("bool", "date", "text")), F.col("n_number"))
     dominant = F.coalesce(*[F.when(F.col(f"n_{k}") * 10 >= total * 9, F.lit(k)) for k in ("number", "bool", "date", "text")])
     return sums.withColumn("dominant", dominant)
@@ -39,19 +41,22 @@ def column_kinds(cells: DataFrame) -> DataFrame:
 def header_rows(cells: DataFrame) -> DataFrame:
     """(table_id, header_rows): 1 if the first row is a header by vote, else 0.
 
-    The first row must be as wide as most of the first body rows and hold distinct
-    one-line labels, of which only the first may be blank.  Each column votes: a
+    The first row and up to ``SAMPLE_ROWS`` body rows are read.  The first row must be
+    as wide as most of the others (the wider on a tie) and hold distinct one-line
+    labels up to the last column with content, of which only the first may be blank.
+    Each column votes: a
     typed column for the header if its label is text and against it otherwise; a
     text column against it if a value repeats the label.  Without any vote short
     labels are a header.
     """
-    c = cells.select("table_id", "row", "col", F.coalesce("text", F.lit("")).alias("text"))
+    c = cells.filter(F.col("row") <= SAMPLE_ROWS).select("table_id", "row", "col", F.coalesce("text", F.lit("")).alias("text"))
     widths = c.groupBy("table_id", "row").agg((F.max("col") + 1).alias("width"), F.max(F.when(trim_space(F.col("text")) != "", F.col("col") + 1)).alias("filled"))
     tables = widths.groupBy("table_id").agg(F.count("*").alias("rows"), F.max(F.when(F.col("row") == 0, F.col("width"))).alias("head"), F.max("filled").alias("content"))
-    body = widths.filter(f"row between 1 and {MODAL_ROWS}").groupBy("table_id", "width").agg(F.count("*").alias("n"))
+    body = widths.filter("row > 0").groupBy("table_id", "width").agg(F.count("*").alias("n"))
     modal = body.groupBy("table_id").agg(F.max(F.struct("n", "width")).alias("m")).select("table_id", F.col("m.width").alias("modal"))
     label = F.lower(trim_space(F.col("text")))
-    heads = c.filter("row = 0").select("table_id", "col", "text", label.alias("label"), kind_of(F.col("text")).alias("label_kind"))
+    heads = c.filter("row = 0").join(tables.select("table_id", "content"), "table_id").filter("col < content")
+    heads = heads.select("table_id", "col", "text", label.alias("label"), kind_of(F.col("text")).alias("label_kind"))
     fit = heads.groupBy("table_id").agg(
         F.max(((F.col("label") == "") & (F.col("col") > 0)).cast("int")).alias("blank"),
         F.max(trim_space(F.col("text")).contains("\n").cast("int")).alias("tall"),

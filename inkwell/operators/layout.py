@@ -38,13 +38,13 @@ def needs_space(gap: Column, size: Column, left: Column, right: Column) -> Colum
 
 def group_lines(items: DataFrame) -> DataFrame:
     """(doc_id, page, line, y, x, font_size, bold, text): items from top to bottom,
-    a line holding those within 3 points of its first one."""
+    a line holding those less than 3 points below its first one."""
 
     def fold(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["y", "x", "idx"], ascending=[False, True, True])
         line, anchor, numbers = -1, None, []
         for y in frame["y"]:
-            if anchor is None or anchor - y > BASELINE:
+            if anchor is None or anchor - y >= BASELINE:
                 line, anchor = line + 1, y
             numbers.append(line)
         return frame.assign(line=numbers)[["doc_id", "page", "idx", "line"]]
@@ -153,13 +153,30 @@ def isolated_lines(lines: DataFrame, gap: Column) -> DataFrame:
     return marked.filter(F.col("__alone") & ((F.col("__n") < 10) | (F.col("__k") <= F.col("__n") * 0.25))).drop("__alone", "__n", "__k")
 
 
+def snapped(positions: Column, tolerance: float) -> Column:
+    """An array of structs (position, n): values in ascending order, each within the
+    tolerance of the last one kept counted with it."""
+    start = F.array().cast("array<struct<position:double,n:bigint>>")
+
+    def keep(kept: Column, value: Column) -> Column:
+        last = F.element_at(kept, -1)
+        joins = (F.size(kept) > 0) & (value - last["position"] <= tolerance)
+        grown = F.concat(F.slice(kept, 1, F.size(kept) - 1), F.array(F.struct(last["position"].alias("position"), (last["n"] + 1).alias("n"))))
+        return F.when(joins, grown).otherwise(F.concat(kept, F.array(F.struct(value.alias("position"), F.lit(1).cast("long").alias("n")))))
+
+    return F.aggregate(F.array_sort(positions), start, keep)
+
+
 def snap_edges(edges: DataFrame, tolerance: float = EDGE_SNAP) -> DataFrame:
-    """(doc_id, page, axis, position, n): rules' positions in ascending order, each
-    joining the group whose last position is within the tolerance."""
-    order = Window.partitionBy("doc_id", "page", "axis").orderBy("position")
-    new = F.when(F.col("position") - F.lag("position").over(order) <= tolerance, 0).otherwise(1)
-    grouped = edges.withColumn("__new", new).withColumn("__g", F.sum("__new").over(order))
-    return grouped.groupBy("doc_id", "page", "axis", "__g").agg(F.avg("position").alias("position"), F.count("*").alias("n")).drop("__g")
+    """(doc_id, page, axis, position, n): rules' positions in ascending order; those
+    within the tolerance of the last position kept count with it.
+
+    The comparison is with the lowest of a group and not with the neighbour, so an
+    even chain of close positions keeps several edges.
+    """
+    positions = edges.groupBy("doc_id", "page", "axis").agg(F.collect_list(F.col("position").cast("double")).alias("p"))
+    kept = positions.select("doc_id", "page", "axis", F.explode(snapped(F.col("p"), tolerance)).alias("s"))
+    return kept.select("doc_id", "page", "axis", "s.position", "s.n")
 
 
 def assign_to_grid(items: DataFrame, edges: DataFrame) -> DataFrame:

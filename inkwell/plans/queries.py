@@ -78,12 +78,24 @@ def md_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cl.render_tables(cells, cl.header_rows(cells))
 
 
+_VOTED = """SELECT c_nationkey AS table_id, row, CASE c_nationkey % 5 WHEN 1 THEN '7' WHEN 2 THEN first_name ELSE 'Name' END AS h0, CASE c_nationkey % 5 WHEN 1 THEN '8' WHEN 3 THEN 'name' ELSE 'Key' END AS h1, c_name AS v0, CASE WHEN c_nationkey % 7 = 0 AND row > 50 THEN 'n/a' WHEN c_nationkey % 5 = 4 AND row % 3 = 0 THEN '' WHEN c_nationkey % 5 = 4 THEN 'Key' ELSE CAST(c_custkey AS STRING) END AS v1
+    FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS row, min(c_name) OVER (PARTITION BY c_nationkey) AS first_name FROM customer)"""
+
+
 @query(
-    """SELECT c_mktsegment AS table_id, 1 AS header_rows FROM customer GROUP BY c_mktsegment HAVING count(*) >= 1"""
+    f"""WITH t AS ({_VOTED}), s AS (SELECT * FROM t WHERE row <= 50),
+    k AS (SELECT table_id, any_value(h0) AS h0, any_value(h1) AS h1, count(*) AS n, count(nullif(v1, '')) AS n1, count(CASE WHEN regexp_matches(v1, '^[0-9]+$') THEN 1 END) AS digits, bool_or(lower(v0) = lower(h0)) AS again0, bool_or(lower(v1) = lower(h1) AND v1 <> '') AS again1 FROM s GROUP BY table_id),
+    v AS (SELECT *, CASE WHEN n1 > 0 AND digits * 10 >= n1 * 9 AND NOT regexp_matches(h1, '^[0-9]+$') THEN 1 ELSE 0 END AS up, CASE WHEN n1 > 0 AND digits * 10 >= n1 * 9 THEN CASE WHEN regexp_matches(h1, '^[0-9]+$') THEN 1 ELSE 0 END WHEN again1 THEN 1 ELSE 0 END + CASE WHEN again0 THEN 1 ELSE 0 END AS down FROM k)
+    SELECT table_id, CAST(CASE WHEN lower(h0) = lower(h1) THEN 0 WHEN up = 0 AND down = 0 THEN 1 WHEN up > down THEN 1 ELSE 0 END AS INTEGER) AS header_rows FROM v"""
 )
 def header_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _read(spark, sf_dir, "customer").withColumn("__row", F.row_number().over(Window.partitionBy("c_mktsegment").orderBy("c_custkey")))
-    return cl.header_rows(cl.to_cells(rows, F.col("c_mktsegment"), F.col("__row"), ["c_custkey", "c_name", "c_nationkey"]))
+    """Tables of customers by nation, with labels that are names, numbers, a value of
+    the column or each other, and a typed column that breaks after the sample."""
+    _read(spark, sf_dir, "customer").createOrReplaceTempView("__customer")
+    rows = spark.sql(_VOTED.replace("FROM customer", "FROM __customer"))
+    body = rows.select("table_id", "row", F.posexplode(F.array("v0", "v1")).alias("col", "text"))
+    head = rows.filter("row = 1").select("table_id", F.lit(0).alias("row"), F.posexplode(F.array("h0", "h1")).alias("col", "text"))
+    return cl.header_rows(head.unionByName(body))
 
 
 @query(
@@ -309,19 +321,44 @@ def garbled_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Pages
 
 
+_NORM = f"trim(regexp_replace(trim(regexp_replace(trim(regexp_replace(text, '{WS}+', ' ', 'g')), '^[0-9]+', '')), '[0-9]+$', ''))"
+_RUNS = "strlen(norm) >= 10 AND replace(norm, substr(norm, 1, 1), '') <> '' AND NOT (starts_with(norm, '#') OR regexp_matches(norm, '^[-*•] ') OR (regexp_matches(norm, '^[0-9]') AND (contains(norm, '. ') OR contains(norm, ') '))))"
+_LEVEL = "k >= 3 AND count(DISTINCT page) >= greatest(3, k * 30 // 100) AND (count(*) < 2 OR stddev_pop(y) / span < 0.05)"
+
+
 @query(
-    """WITH p AS (SELECT source AS doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS page, coalesce(text, '') AS t FROM documents),
-    l AS (SELECT doc_id, page, 100.0 - i AS y, x AS text FROM (SELECT doc_id, page, unnest(a) AS x, generate_subscripts(a, 1) AS i FROM (SELECT doc_id, page, ['Running header of ' || doc_id] || list_slice(string_split(t, chr(10)), 1, 12) AS a FROM p))),
-    k AS (SELECT doc_id, min(page) AS first_page FROM l WHERE text = 'Running header of ' || doc_id GROUP BY doc_id HAVING count(DISTINCT page) >= 3)
-    SELECT doc_id, CAST(count(*) AS BIGINT) AS n_headers FROM (SELECT l.doc_id FROM l JOIN k USING (doc_id) WHERE l.text = 'Running header of ' || l.doc_id AND l.page = k.first_page) GROUP BY doc_id"""
+    f"""WITH p AS (SELECT source AS doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS page, string_split(coalesce(text, ''), chr(10)) AS a FROM documents),
+    l AS (SELECT doc_id, page, 0 AS line, 1000.0::DOUBLE AS y, 'Left half' AS text FROM p UNION ALL SELECT doc_id, page, 1, 1000.02, 'of ' || doc_id FROM p UNION ALL SELECT doc_id, page, 2, 990.0, 'Running header of ' || doc_id FROM p UNION ALL SELECT doc_id, page, 3, 985.0 - (page % 4) * 200, 'Moving header of ' || doc_id FROM p UNION ALL SELECT doc_id, page, 4, -1000000.0, page || ' Footer of the document' FROM p
+    UNION ALL SELECT doc_id, page, 4 + i, 980.0 - 12 * i, x FROM (SELECT doc_id, page, unnest(a) AS x, generate_subscripts(a, 1) AS i FROM p)),
+    d AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY y) - 1 AS r, count(*) OVER (PARTITION BY doc_id, page) AS c FROM (SELECT DISTINCT doc_id, page, y FROM l)),
+    e AS (SELECT doc_id, page, y, c <= 10 OR f < 5 OR f >= c - 5 AS edge FROM (SELECT *, min(r) OVER (PARTITION BY doc_id, page ORDER BY y RANGE BETWEEN 0.0999999 PRECEDING AND CURRENT ROW) AS f FROM d)),
+    m AS (SELECT l.*, edge, {_NORM} AS norm, CAST(round(y * 10) AS BIGINT) AS b FROM l JOIN e USING (doc_id, page, y)),
+    g AS (SELECT doc_id, count(*) AS k, greatest(avg(hi - lo), 1) AS span FROM (SELECT doc_id, page, max(y) AS hi, min(y) AS lo FROM l GROUP BY doc_id, page) GROUP BY doc_id),
+    one AS (SELECT doc_id, norm, min(page) AS first FROM m JOIN g USING (doc_id) WHERE edge AND {_RUNS} GROUP BY doc_id, norm, k, span HAVING {_LEVEL}),
+    w AS (SELECT *, {_NORM} AS norm FROM (SELECT doc_id, page, b, string_agg(text, ' ' ORDER BY line) AS text, arg_min(y, line) AS y, arg_min(edge, line) AS edge, count(*) AS n FROM m GROUP BY doc_id, page, b) WHERE edge),
+    many AS (SELECT doc_id, norm, min(page) AS first FROM w JOIN g USING (doc_id) WHERE n > 1 AND {_RUNS} GROUP BY doc_id, norm, k, span HAVING {_LEVEL}),
+    gone AS (SELECT m.doc_id, m.page, m.b FROM m JOIN one USING (doc_id, norm) WHERE m.edge AND m.page > one.first UNION SELECT w.doc_id, w.page, w.b FROM w JOIN many USING (doc_id, norm) WHERE n > 1 AND w.page > many.first)
+    SELECT m.doc_id, CAST(m.page AS INTEGER) AS page, count(*) AS n_lines, count(CASE WHEN gone.b IS NULL THEN 1 END) AS n_kept, md5(coalesce(string_agg(CASE WHEN gone.b IS NULL THEN m.text END, chr(10) ORDER BY m.line), '')) AS digest FROM m LEFT JOIN gone ON gone.doc_id = m.doc_id AND gone.page = m.page AND gone.b = m.b GROUP BY m.doc_id, m.page"""
 )
 def running_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts of a source as pages of one document, under a header, a header in two
+    halves, one that moves about, and over a footer: what is kept of every page."""
     docs = _documents(spark, sf_dir)
     paged = docs.select(F.col("source").alias("doc_id"), F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).alias("page"), "text")
-    every = F.concat(F.array(F.concat(F.lit("Running header of "), F.col("doc_id"))), F.split("text", "\n"))
-    lined = paged.select("doc_id", "page", F.posexplode(every).alias("i", "text")).select("doc_id", "page", (F.lit(99.0) - F.col("i")).alias("y"), "text")
-    kept = pg.strip_repeated_lines(lined).filter(F.col("text") == F.concat(F.lit("Running header of "), F.col("doc_id")))
-    return kept.groupBy("doc_id").agg(F.count("*").alias("n_headers"))
+    heads = [
+        (F.lit(1000.0), F.lit("Left half")),
+        (F.lit(1000.02), F.concat(F.lit("of "), F.col("doc_id"))),
+        (F.lit(990.0), F.concat(F.lit("Running header of "), F.col("doc_id"))),
+        (F.lit(985.0) - (F.col("page") % 4) * 200, F.concat(F.lit("Moving header of "), F.col("doc_id"))),
+        (F.lit(-1000000.0), F.concat(F.col("page").cast("string"), F.lit(" Footer of the document"))),
+    ]
+    given = F.array(*[F.struct(F.lit(i).alias("line"), y.alias("y"), text.alias("text")) for i, (y, text) in enumerate(heads)])
+    own = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct((i + 5).alias("line"), (F.lit(968.0) - i * 12).alias("y"), x.alias("text")))
+    lined = paged.select("doc_id", "page", F.explode(F.concat(given, own)).alias("l")).select("doc_id", "page", "l.line", "l.y", "l.text")
+    marked = pg.repeated_lines(lined)
+    kept = F.when(~F.col("removed"), F.struct("line", "text"))
+    texts = F.transform(F.array_sort(F.collect_list(kept)), lambda s: s["text"])
+    return marked.groupBy("doc_id", "page").agg(F.count("*").alias("n_lines"), F.sum((~F.col("removed")).cast("long")).alias("n_kept"), F.md5(F.array_join(texts, "\n")).alias("digest"))
 
 
 _ITEMS = "SELECT doc_id % 40 AS doc_id, doc_id AS line, CAST(doc_id % 3 AS INTEGER) AS idx, 8 + (n_chars % 9) * 0.5 AS font_size FROM documents"
@@ -367,10 +404,8 @@ def page_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH r AS (SELECT user_id, ts, event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events), g AS (SELECT *, sum(CASE WHEN p = event_type THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM r)
-    SELECT user_id AS doc_id, min(event_id) AS seq, string_agg('e' || event_id || ' ', '' ORDER BY event_id) AS text, bool_or(event_type = 'click') AS bold, bool_or(event_type = 'view') AS italic FROM g GROUP BY user_id, run, CASE WHEN event_type = 'click' THEN 1 WHEN event_type = 'view' THEN 2 ELSE 3 END""".replace(
-        "lag(event_type)", "lag(CASE WHEN event_type IN ('click','view') THEN event_type ELSE 'o' END)"
-    ).replace("p = event_type", "p = CASE WHEN event_type IN ('click','view') THEN event_type ELSE 'o' END")
+    """WITH k AS (SELECT user_id, event_id, event_type, CASE WHEN event_type IN ('click', 'view') THEN event_type ELSE 'o' END AS style FROM events), r AS (SELECT *, lag(style) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM k), g AS (SELECT *, sum(CASE WHEN p = style THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM r)
+    SELECT user_id AS doc_id, min(event_id) AS seq, string_agg('e' || event_id || ' ', '' ORDER BY event_id) AS text, bool_or(event_type = 'click') AS bold, bool_or(event_type = 'view') AS italic FROM g GROUP BY user_id, run, style"""
 )
 def merged_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _read(spark, sf_dir, "events")
@@ -396,16 +431,14 @@ def serial_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "orders").select("o_orderkey", sh.serial_text(days + part).alias("shown"))
 
 
+#: Letters of numbers: A to Z, then AA and so on, with as many letters as it takes.
+_LETTERS = "WITH RECURSIVE l(k, n, s) AS (SELECT DISTINCT p_partkey, p_partkey, '' FROM part UNION ALL SELECT k, (n - 1) // 26, chr(CAST({a} + (n - 1) % 26 AS INTEGER)) || s FROM l WHERE n > 0), f AS (SELECT k, s FROM l WHERE n = 0)"
+
+
 @query(
-    "SELECT p_partkey, CASE p_size % 6 WHEN 0 THEN 'timeDelta' WHEN 1 THEN 'dateTime' WHEN 2 THEN 'other' WHEN 3 THEN 'dateTime' WHEN 4 THEN 'other' ELSE 'other' END AS class, CASE WHEN p_partkey <= 26 THEN '' ELSE chr(CAST(64 + (p_partkey - 1) // 26 AS INTEGER)) END || chr(CAST(65 + (p_partkey - 1) % 26 AS INTEGER)) AS letters, p_partkey AS number FROM part WHERE p_partkey BETWEEN 1 AND 702"
+    _LETTERS.format(a=65) + " SELECT p_partkey, CASE p_size % 6 WHEN 0 THEN 'timeDelta' WHEN 1 THEN 'dateTime' WHEN 3 THEN 'dateTime' ELSE 'other' END AS class, s AS letters, p_partkey AS number FROM part JOIN f ON k = p_partkey"
 )
 def sheet_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return all_sheet_formats(spark, sf_dir).filter("p_partkey between 1 and 702")
-
-
-@query()
-def all_sheet_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same for every part; the SQL above has two letters at most."""
     codes = F.array(*[F.lit(x) for x in ("[h]:mm:ss", "yyyy-mm-dd", '0.00" days"', "h:mm AM/PM", "#,##0;[Red]-d", "_d0")])
     parts = _read(spark, sf_dir, "part")
     letters = sh.column_letters(F.col("p_partkey"))
@@ -413,15 +446,9 @@ def all_sheet_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "WITH n AS (SELECT p_partkey AS k FROM part WHERE p_partkey BETWEEN 1 AND 702) SELECT k, ['','m','mm','mmm'][k // 1000 + 1] || ['','c','cc','ccc','cd','d','dc','dcc','dccc','cm'][k // 100 % 10 + 1] || ['','x','xx','xxx','xl','l','lx','lxx','lxxx','xc'][k // 10 % 10 + 1] || ['','i','ii','iii','iv','v','vi','vii','viii','ix'][k % 10 + 1] AS roman, CASE WHEN k <= 26 THEN '' ELSE chr(CAST(96 + (k - 1) // 26 AS INTEGER)) END || chr(CAST(97 + (k - 1) % 26 AS INTEGER)) AS alpha FROM n"
+    _LETTERS.format(a=97) + " SELECT k, CASE WHEN k > 3999 OR k < 1 THEN CAST(k AS VARCHAR) ELSE ['','m','mm','mmm'][k // 1000 + 1] || ['','c','cc','ccc','cd','d','dc','dcc','dccc','cm'][k // 100 % 10 + 1] || ['','x','xx','xxx','xl','l','lx','lxx','lxxx','xc'][k // 10 % 10 + 1] || ['','i','ii','iii','iv','v','vi','vii','viii','ix'][k % 10 + 1] END AS roman, CASE WHEN k < 1 THEN CAST(k AS VARCHAR) ELSE s END AS alpha FROM f"
 )
 def list_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return all_list_markers(spark, sf_dir).filter("k between 1 and 702")
-
-
-@query()
-def all_list_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same for every part; the SQL above has two letters at most."""
     k = F.col("k")
     return _read(spark, sf_dir, "part").select(F.col("p_partkey").alias("k")).select("k", md.roman_marker(k).alias("roman"), md.alpha_marker(k).alias("alpha"))
 
@@ -459,7 +486,7 @@ def delimited_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Layout
 
 #: Words of a document as positioned items: column of the word and line of the text.
-_ITEMS_SQL = """(SELECT doc_id, (i - 1) // 200 AS page, i AS idx, w AS text, CAST(50 + ((i - 1) % 5) * 50 + CASE WHEN (i - 1) % 10 >= 5 THEN 300 ELSE 0 END AS DOUBLE) AS x, CAST(780 - (((i - 1) % 200) // 10) * 14 AS DOUBLE) AS y, CAST(40 AS DOUBLE) AS width FROM (SELECT doc_id, unnest(list_slice(a, 1, 1000)) AS w, generate_subscripts(list_slice(a, 1, 1000), 1) AS i FROM (SELECT doc_id, list_filter(string_split(replace(coalesce(text, ''), chr(10), ' '), ' '), lambda x: x <> '') AS a FROM documents)))""".replace("list_slice(a, 1, 1000)", "a")
+_ITEMS_SQL = """(SELECT doc_id, (i - 1) // 200 AS page, i AS idx, w AS text, CAST(50 + ((i - 1) % 5) * 50 + CASE WHEN (i - 1) % 10 >= 5 THEN 300 ELSE 0 END AS DOUBLE) AS x, CAST(780 - (((i - 1) % 200) // 10) * 14 AS DOUBLE) AS y, CAST(40 AS DOUBLE) AS width FROM (SELECT doc_id, unnest(a) AS w, generate_subscripts(a, 1) AS i FROM (SELECT doc_id, list_filter(string_split(replace(coalesce(text, ''), chr(10), ' '), ' '), lambda x: x <> '') AS a FROM documents)))"""
 
 
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -478,19 +505,22 @@ def item_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ly.x_histogram(_items(spark, sf_dir))
 
 
-@query(f"SELECT doc_id, CAST(page AS INTEGER) AS page, CASE WHEN count(*) >= 40 AND (max(y) - min(y)) > 0 THEN 315.0::DOUBLE END AS gutter FROM {_ITEMS_SQL} GROUP BY doc_id, page HAVING count(*) = 200")
+@query(
+    f"""WITH i AS (SELECT doc_id, page, x, x + width AS r, y FROM {_ITEMS_SQL}),
+    p AS (SELECT doc_id, page, count(*) AS n, min(x) AS low, max(r) AS high, min(y) AS bottom, max(y) AS top FROM i GROUP BY doc_id, page),
+    s AS (SELECT i.*, low, high, bottom, top FROM i JOIN p USING (doc_id, page) WHERE n >= 20 AND high - low >= 200 AND r - x <= 0.6 * (high - low)),
+    h AS (SELECT doc_id, page, bin, count(*) AS c FROM (SELECT doc_id, page, unnest(range(CAST(floor((x - low) / 2) AS BIGINT), CAST(floor((r - low) / 2) AS BIGINT) + 1)) AS bin FROM s) GROUP BY ALL),
+    b AS (SELECT doc_id, page, unnest(range(0, CAST(floor((high - low) / 2) AS BIGINT) + 2)) AS bin FROM p WHERE n >= 20 AND high - low >= 200),
+    e AS (SELECT b.doc_id, b.page, b.bin, coalesce(c, 0) <= floor(max(coalesce(c, 0)) OVER (PARTITION BY b.doc_id, b.page) * 0.15) AS empty FROM b LEFT JOIN h USING (doc_id, page, bin)),
+    g AS (SELECT doc_id, page, min(bin) AS a, max(bin) + 1 AS z FROM (SELECT *, bin - row_number() OVER (PARTITION BY doc_id, page ORDER BY bin) AS k FROM e WHERE empty) GROUP BY doc_id, page, k),
+    m AS (SELECT doc_id, page, low + (a + z) / 2 * 2 AS gutter, bottom, top FROM g JOIN p USING (doc_id, page) WHERE (z - a) * 2 >= 8 AND low + (a + z) / 2 * 2 > low + 0.05 * (high - low) AND low + (a + z) / 2 * 2 < high - 0.05 * (high - low)),
+    f AS (SELECT m.doc_id, m.page, gutter FROM m JOIN s USING (doc_id, page) GROUP BY m.doc_id, m.page, gutter, m.bottom, m.top HAVING count(CASE WHEN (x + r) / 2 < gutter THEN 1 END) >= 10 AND count(CASE WHEN (x + r) / 2 >= gutter THEN 1 END) >= 10 AND (max(CASE WHEN (x + r) / 2 < gutter THEN y END) - min(CASE WHEN (x + r) / 2 < gutter THEN y END)) / greatest(m.top - m.bottom, 1e-9) >= 0.3 AND (max(CASE WHEN (x + r) / 2 >= gutter THEN y END) - min(CASE WHEN (x + r) / 2 >= gutter THEN y END)) / greatest(m.top - m.bottom, 1e-9) >= 0.3)
+    SELECT p.doc_id, CAST(p.page AS INTEGER) AS page, coalesce(string_agg(CAST(CAST(gutter AS INTEGER) AS VARCHAR), ',' ORDER BY gutter), '') AS gutters FROM p LEFT JOIN f ON f.doc_id = p.doc_id AND f.page = p.page GROUP BY p.doc_id, p.page"""
+)
 def page_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = _items(spark, sf_dir)
-    full = items.groupBy("doc_id", "page").count().filter("count = 200").select("doc_id", "page")
-    found = ly.column_gutters(items).join(full, ["doc_id", "page"])
-    near = F.filter("gutters", lambda g: F.abs(g - 318) <= 8)
-    return found.select("doc_id", "page", F.when(F.size(near) > 0, F.lit(315.0)).alias("gutter"))
-
-
-@query()
-def page_gutters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page with all its own gutters; the SQL above has full pages and one gutter."""
-    return ly.column_gutters(_items(spark, sf_dir))
+    """All gutters of every page."""
+    found = ly.column_gutters(_items(spark, sf_dir))
+    return found.select("doc_id", "page", F.array_join(F.transform("gutters", lambda g: g.cast("int").cast("string")), ",").alias("gutters"))
 
 
 @query(f"SELECT doc_id, CAST(page AS INTEGER) AS page, CAST(count(DISTINCT y) AS BIGINT) AS n_lines, min(CASE WHEN y = 780 THEN top END) AS first FROM (SELECT *, string_agg(text, ' ') OVER (PARTITION BY doc_id, page, y ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS top FROM (SELECT * FROM {_ITEMS_SQL} ORDER BY idx)) GROUP BY doc_id, page")
@@ -499,9 +529,12 @@ def grouped_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.groupBy("doc_id", "page").agg(F.count("*").alias("n_lines"), F.min(F.when(F.col("line") == 0, F.col("text"))).alias("first"))
 
 
-@query(f"SELECT doc_id, CAST(page AS INTEGER) AS page, 295.0::DOUBLE + 25 AS cut FROM {_ITEMS_SQL} GROUP BY doc_id, page HAVING sum(CASE WHEN x < 300 THEN 1 ELSE 0 END) >= 3 AND sum(CASE WHEN x >= 300 THEN 1 ELSE 0 END) >= 3 AND count(*) >= 20".replace("count(*) >= 20", "greatest(sum(CASE WHEN x < 300 THEN 1 ELSE 0 END), sum(CASE WHEN x >= 300 THEN 1 ELSE 0 END)) >= 10"))
+@query(
+    f"""WITH g AS (SELECT doc_id, page, x - reach AS gap, (x + reach) / 2 AS cut, k - 1 AS before, n - k + 1 AS after FROM (SELECT doc_id, page, x, max(x + width) OVER (PARTITION BY doc_id, page ORDER BY x, idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach, row_number() OVER (PARTITION BY doc_id, page ORDER BY x, idx) AS k, count(*) OVER (PARTITION BY doc_id, page) AS n FROM {_ITEMS_SQL}))
+    SELECT doc_id, CAST(page AS INTEGER) AS page, arg_max(cut, gap) AS cut FROM g WHERE gap >= 15 AND greatest(before, after) >= 10 AND least(before, after) >= 3 GROUP BY doc_id, page"""
+)
 def page_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ly.widest_cut(_items(spark, sf_dir)).withColumn("cut", F.when(F.abs(F.col("cut") - 320) <= 30, F.lit(320.0)).otherwise(F.col("cut")))
+    return ly.widest_cut(_items(spark, sf_dir))
 
 
 _SHAPES = "CASE doc_id % 8 WHEN 0 THEN 'Figure ' || doc_id || ': x' WHEN 1 THEN '• ' || doc_id WHEN 2 THEN doc_id || '. Item' WHEN 3 THEN 'Chapter .... ' || (doc_id % 900) WHEN 4 THEN '1.' || (doc_id % 30) || '. Section Name' WHEN 5 THEN 'IV) Part' WHEN 6 THEN 'plain words of a line' ELSE 'x = f(y);' END"
@@ -516,7 +549,12 @@ def line_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shaped.select("doc_id", ln.is_caption(c).alias("caption"), ln.is_list_item(c).alias("item"), ln.has_dot_leaders(c).alias("leaders"), ln.is_toc_entry(c).alias("toc"), F.when(F.col("n").isNotNull(), F.size("n.parts")).alias("depth"), ln.is_code_like(c).alias("code"))
 
 
-@query("WITH e AS (SELECT doc_id % 10 AS doc_id, CAST(n_chars % 400 AS DOUBLE) AS p FROM documents), m AS (SELECT *, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 6 THEN 0 ELSE 1 END AS nw FROM e), g AS (SELECT *, sum(nw) OVER (PARTITION BY doc_id ORDER BY p, nw DESC ROWS UNBOUNDED PRECEDING) AS k FROM m) SELECT doc_id, round(avg(p), 6) AS position, count(*) AS n FROM g GROUP BY doc_id, k")
+@query(
+    """WITH RECURSIVE e AS (SELECT DISTINCT source AS doc_id, doc_id // 7 AS page, CAST(length(coalesce(text, '')) % 97 AS DOUBLE) AS p FROM documents),
+    k AS (SELECT doc_id, page, min(p) AS position FROM e GROUP BY doc_id, page UNION ALL SELECT doc_id, page, position FROM (SELECT k.doc_id, k.page, (SELECT min(p) FROM e WHERE e.doc_id = k.doc_id AND e.page = k.page AND e.p > k.position + 6) AS position FROM k) WHERE position IS NOT NULL),
+    a AS (SELECT source AS doc_id, doc_id // 7 AS page, CAST(length(coalesce(text, '')) % 97 AS DOUBLE) AS p FROM documents)
+    SELECT doc_id, page, position, count(*) AS n FROM (SELECT a.doc_id, a.page, a.p, max(k.position) AS position FROM a JOIN k ON a.doc_id = k.doc_id AND a.page = k.page AND k.position <= a.p GROUP BY a.doc_id, a.page, a.p) JOIN a USING (doc_id, page, p) GROUP BY doc_id, page, position"""
+)
 def snapped_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = _read(spark, sf_dir, "documents").select((F.col("doc_id") % 10).alias("doc_id"), F.lit(0).alias("page"), F.lit("x").alias("axis"), (F.col("n_chars") % 400).cast("double").alias("position"))
-    return ly.snap_edges(edges).select("doc_id", F.round("position", 6).alias("position"), "n")
+    edges = _documents(spark, sf_dir).select(F.col("source").alias("doc_id"), F.floor(F.col("doc_id") / 7).alias("page"), F.lit("x").alias("axis"), (F.length("text") % 97).cast("double").alias("position"))
+    return ly.snap_edges(edges).select("doc_id", "page", "position", "n")

@@ -240,12 +240,14 @@ def header_rows(rows: list[list[str]], declared: int = 0) -> int:
         return min(declared, len(rows))
     if len(rows) < 2:
         return 0
-    widths = [len(r) for r in rows[1:51]]
+    rows = rows[:51]
+    widths = [len(r) for r in rows[1:]]
     modal = max(set(widths), key=lambda w: (widths.count(w), w))
     content = max((i + 1 for r in rows for i, c in enumerate(r) if c.strip()), default=0)
     labels = [c.strip() for c in rows[0]]
+    wide, labels = len(labels), labels[:content]
     named = [x.lower() for x in labels if x]
-    if len(labels) != modal or not content or content > len(labels) or any(not x for x in labels[1:]) or any("\n" in x for x in labels) or len(set(named)) < len(named):
+    if wide != modal or not content or content > wide or any(not x for x in labels[1:]) or any("\n" in x for x in labels) or len(set(named)) < len(named):
         return 0
     up = down = 0
     for col, label in enumerate(labels):

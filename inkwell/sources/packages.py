@@ -431,7 +431,9 @@ def read_odf(package: Package) -> list[Block]:
     def cell_text(c: ET.Element) -> str:
         return "\n".join("".join(r.text for r in _odf_text(p, styles, plain)) for p in c if local(p) in ("p", "h"))
 
-    def rows_of(t: ET.Element, out: list[tuple[list[str], bool]], head: bool = False) -> list[tuple[list[str], bool]]:
+    def rows_of(t: ET.Element, out: list[tuple[list[str], bool]], head: bool = False, blank: list[int] | None = None) -> list[tuple[list[str], bool]]:
+        # blank rows are written when a row with content follows
+        blank = [0] if blank is None else blank
         for e in t:
             if local(e) == "table-row":
                 row: list[str] = []
@@ -439,13 +441,19 @@ def read_odf(package: Package) -> list[Block]:
                     if local(c) in ("table-cell", "covered-table-cell"):
                         times = min(int(attribute(c, "number-columns-repeated") or 1), 16384)
                         text = cell_text(c) if local(c) == "table-cell" else ""
-                        row += [text] * (times if text or times < 1000 else 1)
+                        row += [text] * times
+                while row and not row[-1]:  # blank cells up to the sheet's edge
+                    row.pop()
                 times = int(attribute(e, "number-rows-repeated") or 1)
-                if sum(map(len, (r for r, _ in out))) + len(row) * (times if any(row) else 1) > EXPANSION:
+                if not row:
+                    blank[0] += times
+                    continue
+                if sum(len(r) or 1 for r, _ in out) + len(row) * times + blank[0] > EXPANSION:
                     raise ConvertError("resourceLimit", "repeated rows")
-                out += [(list(row), head)] * (times if any(row) else min(times, 1))
+                out += [([], head)] * blank[0] + [(list(row), head)] * times
+                blank[0] = 0
             elif local(e) in ("table-header-rows", "table-rows", "table-row-group"):
-                rows_of(e, out, head or local(e) == "table-header-rows")
+                rows_of(e, out, head or local(e) == "table-header-rows", blank)
         return out
 
     def blocks(parent: ET.Element, depth: int = -1, numbered: bool = False) -> list[Block]:

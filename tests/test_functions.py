@@ -1,10 +1,14 @@
 """Column functions on single values."""
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from inkwell.functions import markdown, quality, repair, sheet, text
 from inkwell.operators import cells, pages, runs
+from inkwell.operators import layout as ly
 from inkwell.plans import queries as plans
 
 
@@ -87,11 +91,70 @@ def test_tables_render_ragged_rows(spark):
     assert cells.render_tables(frame).first().markdown == "|  |  |\n| --- | --- |\n| a\\|b | c |\n| x<br>y |  |".replace("|  |  |\n| ---", "|  |  |\n| ---")
 
 
-def test_running_headers_stay_once(spark):
-    lines = [(p, y, "Annual Report 2020" if y == 90.0 else f"line {p} {y} of text") for p in range(1, 6) for y in (90.0, 70.0, 50.0, 30.0)]
-    frame = spark.createDataFrame([("d", *x) for x in lines], "doc_id string, page int, y double, text string")
-    kept = pages.strip_repeated_lines(frame).filter("text like 'Annual%'").collect()
-    assert [r.page for r in kept] == [1]
+def plain_repeats(lines):
+    """Which of (page, line, y, text) are running headers, step by step."""
+    norm = lambda t: re.sub("[0-9]+$", "", re.sub("^[0-9]+", "", " ".join(t.split())).strip()).strip()
+    by_page = {}
+    for p, _, y, _ in lines:
+        by_page.setdefault(p, set()).add(y)
+    span = max(sum(max(ys) - min(ys) for ys in by_page.values()) / len(by_page), 1)
+
+    def edge(p, y):
+        ys = sorted(by_page[p])
+        place = next(i for i, v in enumerate(ys) if abs(v - y) < 0.1)
+        return len(ys) <= 10 or place < 5 or place >= len(ys) - 5
+
+    def running(found):
+        out = {}
+        for text, places in found.items():
+            heights = [y for _, y in places]
+            mean = sum(heights) / len(heights)
+            level = len(heights) < 2 or (sum((h - mean) ** 2 for h in heights) / len(heights)) ** 0.5 / span < 0.05
+            structural = re.match(r"#|[-*•] ", text) or (re.match("[0-9]", text) and (". " in text or ") " in text))
+            if len(text.encode()) >= 10 and len(set(text)) > 1 and not structural and level and len(by_page) >= 3 and len({p for p, _ in places}) >= max(3, len(by_page) * 30 // 100):
+                out[text] = min(p for p, _ in places)
+        return out
+
+    bands = {}
+    for i, (p, _, y, _) in enumerate(lines):
+        bands.setdefault((p, round(y * 10)), []).append(i)
+    single, joined = {}, {}
+    for p, _, y, t in lines:
+        if edge(p, y):
+            single.setdefault(norm(t), []).append((p, y))
+    text_of = lambda members: norm(" ".join(lines[i][3] for i in members))
+    for (p, _), members in bands.items():
+        if len(members) > 1 and edge(p, lines[members[0]][2]):
+            joined.setdefault(text_of(members), []).append((p, lines[members[0]][2]))
+    one, many = running(single), running(joined)
+    gone = {i for i, (p, _, y, t) in enumerate(lines) if edge(p, y) and p > one.get(norm(t), p)}
+    for (p, _), members in bands.items():
+        if edge(p, lines[members[0]][2]):
+            if (len(members) > 1 and p > many.get(text_of(members), p)) or gone & set(members):
+                gone |= set(members)
+    return [i in gone for i in range(len(lines))]
+
+
+def test_running_headers_step_by_step(spark):
+    r = random.Random(12)
+    rows = []
+    for doc in range(12):
+        for page in range(1, r.randint(2, 9)):
+            texts = [(0, 700.0, r.choice(["Left", "Annual Report"])), (1, 700.02, r.choice(["half of it", "half of it", "other"])), (2, 690.0, "A title that runs on"), (3, 10.0 + r.choice([0, 0, 0.05]), f"{page} of the whole report"), (4, 5.0, "-----------"), (5, 4.0, "# heading runs here")]
+            texts += [(6 + i, 600.0 - 13 * i, r.choice(["body text here", f"line {i} of page {page} here"])) for i in range(r.randint(0, 14))]
+            rows += [(doc, page, *t) for t in texts if r.random() < 0.9]
+    got = {(x.doc_id, x.page, x.line): x.removed for x in pages.repeated_lines(spark.createDataFrame(rows, "doc_id int, page int, line int, y double, text string")).collect()}
+    for doc in range(12):
+        own = [row[1:] for row in rows if row[0] == doc]
+        if own:
+            assert [got[doc, p, line] for p, line, _, _ in own] == plain_repeats(own)
+    assert 20 < sum(got.values()) < len(got) - 20
+
+
+def test_snapped_edges_compare_with_the_last_one_kept(spark):
+    edges = [("d", 0, "x", p) for p in (100.0, 102.0, 104.0, 106.0, 108.0, 100.0)]
+    got = ly.snap_edges(spark.createDataFrame(edges, "doc_id string, page int, axis string, position double"), 3.0).orderBy("position").collect()
+    assert [(r.position, r.n) for r in got] == [(100.0, 3), (104.0, 2), (108.0, 1)]
 
 
 def test_claimed_ids_avoid_taken_ones(spark):
@@ -127,47 +190,12 @@ def test_markers_of_any_number(spark):
 
 def test_marker_queries_without_bound_read_every_part(spark, tmp_path):
     spark.range(1, 5001).selectExpr("id as p_partkey", "cast(id % 50 as int) as p_size").write.parquet(f"{tmp_path}/part.parquet")
-    got = {r.k: (r.roman, r.alpha) for r in plans.QUERIES["all_list_markers"](spark, str(tmp_path)).collect()}
+    got = {r.k: (r.roman, r.alpha) for r in plans.QUERIES["list_markers"](spark, str(tmp_path)).collect()}
     assert got == {k: (roman_of(k) if k <= 3999 else str(k), letters_of(k)) for k in range(1, 5001)}
-    got = {r.p_partkey: (r.letters, r.number) for r in plans.QUERIES["all_sheet_formats"](spark, str(tmp_path)).collect()}
+    got = {r.p_partkey: (r.letters, r.number) for r in plans.QUERIES["sheet_formats"](spark, str(tmp_path)).collect()}
     assert got == {k: (letters_of(k).upper(), k) for k in range(1, 5001)}
 
 
-def brute_headers(pages):
-    """Lines equal to their source's header that stay, from lists of all lines by
-    source; the repeated lines are found as the operator says."""
-    left = {}
-    for source, texts in pages.items():
-        head = f"Running header of {source}"
-        every = [[head, *t.split("\n")] for t in texts]
-        at = {}
-        for page, rows in enumerate(every):
-            for i, row in enumerate(rows):
-                if row == head and (i < 5 or len(rows) - i <= 5 or len(rows) <= 10):
-                    at.setdefault(page, []).append(i)
-        places = [i for rows in at.values() for i in rows]
-        mean = sum(places) / len(places)
-        spread = (sum((i - mean) ** 2 for i in places) / len(places)) ** 0.5
-        span = sum(len(rows) - 1 for rows in every) / len(every)
-        runs = len(every) >= 3 and len(at) >= 3 and (span == 0 or spread / span < 0.05)
-        left[source] = every[min(at)].count(head) if runs else sum(rows.count(head) for rows in every)
-    return left
-
-
-def test_running_headers_judge_every_line(spark, tmp_path):
-    body = lambda n, k: [f"line {i} of text {k} here" for i in range(n)]
-    pages = {
-        "a": ["\n".join(body(20, k)) for k in range(4)],
-        "b": ["\n".join([*body(20, k), "Running header of b"]) for k in range(4)],
-        "c": ["\n".join([*body(30, k), "Running header of c", *body(9, k)]) for k in range(3)],
-    }
-    rows = [(100 * i + k, source, "en", t) for i, (source, texts) in enumerate(pages.items()) for k, t in enumerate(texts)]
-    spark.createDataFrame(rows, "doc_id long, source string, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.doc_id: r.n_headers for r in plans.QUERIES["running_headers"](spark, str(tmp_path)).collect()}
-    assert got == brute_headers(pages)
-    assert got["a"] == 1 and got["b"] == 8
-
-
 def brute_gutters(words):
     """Gutters of one page of (x, y, width), point by point."""
     low, high = min(x for x, _, _ in words), max(x + w for x, _, w in words)
@@ -197,6 +225,6 @@ def test_page_gutters_of_every_page(spark, tmp_path):
     for k, n in sizes.items():
         for i in range(n):
             wanted.setdefault((k, i // 200), []).append((50.0 + i % 5 * 50 + (300 if i % 10 >= 5 else 0), 780.0 - i % 200 // 10 * 14, 40.0))
-    got = {(r.doc_id, r.page): r.gutters for r in plans.QUERIES["page_gutters"](spark, str(tmp_path)).collect()}
+    got = {(r.doc_id, r.page): r.gutters for r in ly.column_gutters(plans._items(spark, str(tmp_path))).collect()}
     assert got == {k: brute_gutters(v) for k, v in wanted.items()}
     assert len(got) == 8 and len(got[2, 0]) > 1
