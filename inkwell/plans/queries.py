@@ -21,7 +21,9 @@ from ..operators import cells as cl
 from ..operators import layout as ly
 from ..operators import pages as pg
 from ..operators import runs as rn
+from ..operators import tables as tb
 from ..sources import convert as cv
+from ..sources import pdf
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -558,3 +560,67 @@ def line_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 def snapped_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = _documents(spark, sf_dir).select(F.col("source").alias("doc_id"), F.floor(F.col("doc_id") / 7).alias("page"), F.lit("x").alias("axis"), (F.length("text") % 97).cast("double").alias("position"))
     return ly.snap_edges(edges).select("doc_id", "page", "position", "n")
+
+
+# PDF
+
+
+def _pdf(content):
+    """A file of one page that shows ``content``; all glyphs are half an em wide and the
+    objects are found by a scan, since there is no cross reference."""
+    widths = " ".join(["500"] * 95)
+    head = f"%PDF-1.4\n1 0 obj<</Type/Catalog/Pages 2 0 R>>endobj\n2 0 obj<</Type/Pages/Kids[3 0 R]/Count 1>>endobj\n3 0 obj<</Type/Page/Parent 2 0 R/Contents 4 0 R/Resources<</Font<</F1 5 0 R>>>>>>endobj\n5 0 obj<</Type/Font/Subtype/Type1/BaseFont/Helvetica-Bold/FirstChar 32/LastChar 126/Widths[{widths}]>>endobj\n4 0 obj<</Length "
+    return F.concat(F.lit(head), F.length(content).cast("string"), F.lit(">>stream\n"), content, F.lit("\nendstream endobj\ntrailer<</Root 1 0 R>>")).cast("binary")
+
+
+def _numbered_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "supplier").withColumn("i", F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_suppkey")) - 1)
+
+
+_SUPPLIERS = "SELECT *, 'Key ' || s_suppkey AS s_key, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS i FROM supplier"
+
+
+def _supplier_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page for each nation: name and key of its suppliers inside a ruled grid."""
+    y = F.lit(800) - F.col("i") * 20 - F.pmod(F.col("i"), F.lit(2)) * 5
+    line = F.concat(F.lit("BT /F1 10 Tf 1 0 0 1 50 "), y.cast("string"), F.lit(" Tm ("), F.col("s_name"), F.lit(") Tj 1 0 0 1 250 "), y.cast("string"), F.lit(" Tm [(Key "), F.col("s_suppkey").cast("string"), F.lit(")] TJ ET 40 "), (y - 5).cast("string"), F.lit(" m 440 "), (y - 5).cast("string"), F.lit(" l S"))
+    parts = _numbered_suppliers(spark, sf_dir).select("s_nationkey", "i", line.alias("line"), y.alias("y"))
+    pages = parts.groupBy("s_nationkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "line"))), lambda p: p["line"]), "\n").alias("lines"), (F.min("y") - 5).cast("string").alias("low"))
+    rules = F.concat(*[x for at in ("40", "240", "440") for x in (F.lit(f"\n{at} 815 m {at} "), F.col("low"), F.lit(" l S"))])
+    content = F.concat(F.col("lines"), F.lit("\n40 815 m 440 815 l S"), rules)
+    return pages.select(F.col("s_nationkey").cast("string").alias("path"), _pdf(content).alias("content"))
+
+
+@query(
+    f"WITH s AS ({_SUPPLIERS}) SELECT CAST(s_nationkey AS VARCHAR) AS doc_id, CAST(2 * i + c AS INTEGER) AS idx, CASE c WHEN 0 THEN s_name ELSE s_key END AS text, CAST(50 + 200 * c AS DOUBLE) AS x, CAST(800 - 20 * i - 5 * (i % 2) AS DOUBLE) AS y, CAST(5 * length(CASE c WHEN 0 THEN s_name ELSE s_key END) AS DOUBLE) AS width, 10.0::DOUBLE AS font_size, true AS bold FROM s, (VALUES (0), (1)) AS t(c)"
+)
+def pdf_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pdf.pdf_items(_supplier_files(spark, sf_dir)).select("doc_id", "idx", "text", "x", "y", F.round("width", 6).alias("width"), "font_size", "bold")
+
+
+@query(
+    f"WITH s AS ({_SUPPLIERS}) SELECT CAST(s_nationkey AS VARCHAR) AS doc_id, 'h' AS kind, CAST(795 - 20 * i - 5 * (i % 2) AS DOUBLE) AS at, 40.0::DOUBLE AS low, 440.0::DOUBLE AS high FROM s UNION ALL SELECT DISTINCT CAST(s_nationkey AS VARCHAR), 'h', 815.0, 40.0, 440.0 FROM s UNION ALL SELECT CAST(s_nationkey AS VARCHAR), 'v', CAST(x AS DOUBLE), CAST(min(795 - 20 * i - 5 * (i % 2)) AS DOUBLE), 815.0 FROM s, (VALUES (40), (240), (440)) AS t(x) GROUP BY s_nationkey, x"
+)
+def pdf_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tb.classify_segments(pdf.pdf_segments(_supplier_files(spark, sf_dir))).select("doc_id", "kind", "at", "low", "high")
+
+
+@query(
+    f"WITH s AS ({_SUPPLIERS}) SELECT CAST(s_nationkey AS VARCHAR) AS doc_id, 2 AS columns, CAST(count(*) AS INTEGER) AS rows, string_agg('|' || s_name || '|' || s_key || '|' || chr(10) || CASE i WHEN 0 THEN '|---|---|' || chr(10) ELSE '' END, '' ORDER BY i) AS markdown FROM s GROUP BY s_nationkey HAVING count(*) BETWEEN 2 AND 79"
+)
+def pdf_ruled_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = _supplier_files(spark, sf_dir)
+    return tb.ruled_tables(pdf.pdf_items(files), pdf.pdf_segments(files)).select("doc_id", "columns", "rows", "markdown")
+
+
+@query(
+    "WITH n AS (SELECT n_regionkey, n_nationkey, n_name, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS i, count(*) OVER (PARTITION BY n_regionkey) AS n FROM nation) SELECT CAST(n_regionkey AS VARCHAR) AS doc_id, 2 AS columns, CAST(count(*) AS INTEGER) AS rows, string_agg('|' || n_nationkey || '|' || n_name || '|' || chr(10) || CASE i WHEN 1 THEN '|---|---|' || chr(10) ELSE '' END, '' ORDER BY i) AS markdown FROM n WHERE n >= 3 GROUP BY n_regionkey"
+)
+def pdf_rect_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells drawn as rectangles, in a form of half the size."""
+    n = _read(spark, sf_dir, "nation").withColumn("i", F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_nationkey")) - 1)
+    y = F.lit(1400) - F.col("i") * 60
+    line = F.concat(F.lit("q .5 0 0 .5 0 0 cm 100 "), y.cast("string"), F.lit(" 200 60 re 300 "), y.cast("string"), F.lit(" 400 60 re f BT /F1 20 Tf 120 "), (y + 20).cast("string"), F.lit(" Td ("), F.col("n_nationkey").cast("string"), F.lit(") Tj 200 0 Td ("), F.col("n_name"), F.lit(") Tj ET Q"))
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", line.alias("line")))), lambda p: p["line"]), "\n")
+    files = n.groupBy("n_regionkey").agg(lines.alias("lines")).select(F.col("n_regionkey").cast("string").alias("path"), _pdf(F.col("lines")).alias("content"))
+    return tb.rect_tables(pdf.pdf_items(files), pdf.pdf_rects(files)).select("doc_id", "columns", "rows", "markdown")

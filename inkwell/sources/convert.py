@@ -98,7 +98,8 @@ def convert(files: DataFrame, id_col: str = "path", content_col: str = "content"
 
 
 def inspect_pdf(files: DataFrame, id_col: str = "path", content_col: str = "content") -> DataFrame:
-    """(doc_id, pages, text_pages, image_pages, kind, confidence, error_code)."""
+    """(doc_id, pages, text_pages, image_pages, kind, confidence, ocr_pages, error_code);
+    ocr_pages counts from 1 and names pages whose text may need recognition."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -107,11 +108,11 @@ def inspect_pdf(files: DataFrame, id_col: str = "path", content_col: str = "cont
                 try:
                     rows.append({"doc_id": name, **pdf.inspect(bytes(data or b"")), "error_code": None})
                 except ConvertError as e:
-                    rows.append({"doc_id": name, "pages": 0, "text_pages": 0, "image_pages": 0, "kind": None, "confidence": 0.0, "error_code": e.code})
-            yield pd.DataFrame(rows, columns=["doc_id", "pages", "text_pages", "image_pages", "kind", "confidence", "error_code"])
+                    rows.append({"doc_id": name, "pages": 0, "text_pages": 0, "image_pages": 0, "kind": None, "confidence": 0.0, "ocr_pages": [], "error_code": e.code})
+            yield pd.DataFrame(rows, columns=["doc_id", "pages", "text_pages", "image_pages", "kind", "confidence", "ocr_pages", "error_code"])
 
     some = files.select(F.col(id_col).cast("string").alias("doc_id"), F.col(content_col).cast("binary").alias("content"))
-    return some.mapInPandas(run, "doc_id string, pages int, text_pages int, image_pages int, kind string, confidence double, error_code string")
+    return some.mapInPandas(run, "doc_id string, pages int, text_pages int, image_pages int, kind string, confidence double, ocr_pages array<int>, error_code string")
 
 
 def read_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:

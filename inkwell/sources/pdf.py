@@ -1,144 +1,25 @@
-"""PDF pages: objects, Flate streams, text operators, lines and inspection."""
+"""PDF pages: lines, inspection and relations of what pages show."""
 
 from __future__ import annotations
 
 import re
-import zlib
-from dataclasses import dataclass
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .model import Block, ConvertError, Run
+from .pdfobjects import Document
+from .pdftext import Item, Page, distinct_rects, ocr_reasons, read_page
 
-_OBJECT = re.compile(rb"(\d+)\s+(\d+)\s+obj\b(.*?)\bendobj", re.DOTALL)
-_TOKEN = re.compile(rb"\((?:[^()\\]|\\.|\((?:[^()\\]|\\.)*\))*\)|<[0-9A-Fa-f\s]*>|\[|\]|/[^\s/<>\[\]()]+|[-+]?[0-9]*\.?[0-9]+|[A-Za-z'\"*]+|<<|>>", re.DOTALL)
-STREAM_BYTES = 128 << 20
-
-
-@dataclass
-class Item:
-    page: int
-    x: float
-    y: float
-    size: float
-    text: str
-
-
-def _stream(body: bytes) -> bytes | None:
-    m = re.search(rb"stream\r?\n(.*?)\r?\n?endstream", body, re.DOTALL)
-    if not m:
-        return None
-    data = m[1]
-    if b"/FlateDecode" in body[: m.start()]:
-        try:
-            d = zlib.decompressobj()
-            data = d.decompress(data, STREAM_BYTES)
-            if d.unconsumed_tail:
-                raise ConvertError("resourceLimit", "stream too large")
-        except zlib.error:
-            return b""
-    return data
-
-
-class Document:
-    def __init__(self, data: bytes):
-        if b"%PDF-" not in data[:1024]:
-            raise ConvertError("malformed", "no pdf header")
-        self.objects = {int(m[1]): m[3] for m in _OBJECT.finditer(data)}
-        if not self.objects:
-            raise ConvertError("malformed", "no objects")
-        if re.search(rb"/Encrypt\s+\d+\s+\d+\s+R", data):
-            raise ConvertError("encrypted", "encrypted pdf")
-        for body in [b for b in self.objects.values() if b"/ObjStm" in b]:
-            inner = _stream(body)
-            first, n = re.search(rb"/First\s+(\d+)", body), re.search(rb"/N\s+(\d+)", body)
-            if inner and first and n:
-                numbers = list(map(int, inner[: int(first[1])].split()))[: 2 * int(n[1])]
-                starts = [*numbers[1::2], len(inner) - int(first[1])]
-                for key, a, b in zip(numbers[::2], starts, starts[1:]):
-                    self.objects.setdefault(key, inner[int(first[1]) + a : int(first[1]) + b])
-        self.pages = self._pages()
-
-    def _pages(self) -> list[bytes]:
-        root = next((b for b in self.objects.values() if re.search(rb"/Type\s*/Catalog", b)), b"")
-        start = re.search(rb"/Pages\s+(\d+)", root)
-        out: list[bytes] = []
-
-        def walk(key: int, seen: frozenset) -> None:
-            body = self.objects.get(key, b"")
-            if key in seen or len(out) >= 10_000:
-                return
-            kids = re.search(rb"/Kids\s*\[(.*?)\]", body, re.DOTALL)
-            if kids:
-                for kid in re.findall(rb"(\d+)\s+\d+\s+R", kids[1]):
-                    walk(int(kid), seen | {key})
-            elif re.search(rb"/Type\s*/Page\b", body):
-                out.append(body)
-
-        if start:
-            walk(int(start[1]), frozenset())
-        return out or [b for b in self.objects.values() if re.search(rb"/Type\s*/Page\b", b)]
-
-    def content(self, page: bytes) -> bytes:
-        m = re.search(rb"/Contents\s*(?:\[(.*?)\]|(\d+)\s+\d+\s+R)", page, re.DOTALL)
-        keys = ([int(k) for k in re.findall(rb"(\d+)\s+\d+\s+R", m[1])] if m[1] is not None else [int(m[2])]) if m else []
-        return b"\n".join(_stream(self.objects.get(k, b"")) or b"" for k in keys)
-
-
-def _string(token: bytes) -> str:
-    if token[:1] == b"<":
-        digits = re.sub(rb"\s", b"", token[1:-1])
-        raw = bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())
-    else:
-        signs = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
-        raw = re.sub(rb"\\([0-7]{1,3}|\r?\n|.)", lambda m: bytes([int(m[1], 8) & 255]) if m[1][:1].isdigit() else b"" if m[1] in (b"\n", b"\r\n") else signs.get(m[1], m[1]), token[1:-1], flags=re.DOTALL)
-    return raw[2:].decode("utf-16-be", "replace") if raw[:2] == b"\xfe\xff" else raw.decode("cp1252", "replace")
+#: An image of so many pixels or more that is alone on its page is the page.
+TEMPLATE_PIXELS = 500_000
 
 
 def items(document: Document, page: int) -> list[Item]:
-    """Text items of a page in content order."""
-    out: list[Item] = []
-    operands: list = []
-    size, x, y, line_x, line_y, leading, scale = 12.0, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0
-    array: list | None = None
-    for m in _TOKEN.finditer(document.content(document.pages[page])):
-        t = m[0]
-        if t == b"[":
-            array = []
-        elif t == b"]":
-            operands.append(array or [])
-            array = None
-        elif t[:1] in b"(<" and t not in (b"<<", b">>"):
-            (operands if array is None else array).append(_string(t))
-        elif re.fullmatch(rb"[-+]?[0-9]*\.?[0-9]+", t):
-            (operands if array is None else array).append(float(t))
-        elif t[:1] == b"/":
-            operands.append(t)
-        else:
-            numbers = [o for o in operands if isinstance(o, float)]
-            if t == b"Tf" and numbers:
-                size = numbers[-1]
-            elif t == b"BT":
-                x = y = line_x = line_y = 0.0
-                scale = 1.0
-            elif t == b"Tm" and len(numbers) >= 6:
-                scale = abs(numbers[-3]) or 1.0
-                line_x, line_y = x, y = numbers[-2], numbers[-1]
-            elif t in (b"Td", b"TD") and len(numbers) >= 2:
-                line_x, line_y = line_x + numbers[-2] * scale, line_y + numbers[-1] * scale
-                x, y = line_x, line_y
-                leading = -numbers[-1] if t == b"TD" else leading
-            elif t == b"TL" and numbers:
-                leading = numbers[-1]
-            elif t in (b"T*", b"'", b'"'):
-                line_y -= leading * scale
-                x, y = line_x, line_y
-            if t in (b"Tj", b"'", b'"', b"TJ") and operands:
-                parts = operands[-1] if isinstance(operands[-1], list) else [operands[-1]]
-                text = "".join((p if isinstance(p, str) else " " if isinstance(p, float) and p < -200 else "") for p in parts)
-                if text.strip():
-                    out.append(Item(page, x, y, size * scale, text))
-                x += 0.5 * size * scale * len(text)
-            operands = []
-    return out
+    """Visible text of a page in content order."""
+    return [i for i in read_page(document, page).items if not i.hidden]
 
 
 def lines(found: list[Item]) -> list[tuple[int, float, float, str]]:
@@ -157,17 +38,30 @@ def lines(found: list[Item]) -> list[tuple[int, float, float, str]]:
             text, end = "", None
             for i in g:
                 text += (" " if end is not None and i.x - end > 0.15 * i.size and not text.endswith(" ") else "") + i.text
-                end = i.x + 0.5 * i.size * len(i.text)
+                end = i.x + i.width
             out.append((page, g[0].y, g[0].size, text.strip()))
     return out
 
 
+def page_facts(page: Page) -> dict:
+    """What is told of a page before anything is extracted."""
+    largest = max((i[4] for i in page.images), default=0)
+    return {
+        "text_operators": page.counts["text"],
+        "path_operators": page.counts["path"],
+        "images": page.counts["image"],
+        "image_pixels": sum(i[4] for i in page.images),
+        "template": page.counts["image"] == 1 and largest >= TEMPLATE_PIXELS,
+        "characters": sum(len(i.text.replace(" ", "")) for i in page.items if not i.hidden),
+        "ocr_reasons": ocr_reasons(page),
+    }
+
+
 def inspect(data: bytes) -> dict:
-    """pages, text_pages, image_pages, kind and confidence of a file."""
+    """pages, text_pages, image_pages, kind, confidence and pages that need recognition."""
     d = Document(data)
-    text = [any(i.text.strip() for i in items(d, p)) for p in range(len(d.pages))]
-    image = [b"/XObject" in p and any(b"/Image" in d.objects.get(int(k), b"") for k in re.findall(rb"(\d+)\s+\d+\s+R", p)) for p in d.pages]
-    n, t, i = max(1, len(d.pages)), sum(text), sum(image)
+    facts = [page_facts(read_page(d, p)) for p in range(len(d.pages))]
+    n, t, i = max(1, len(facts)), sum(f["characters"] > 0 for f in facts), sum(f["images"] > 0 for f in facts)
     if t / n >= 0.6:
         kind, sure = "text", t / n
     elif not t and i:
@@ -178,7 +72,56 @@ def inspect(data: bytes) -> dict:
         kind, sure = "scanned", 0.9
     else:
         kind, sure = "text", max(t / n, 0.5)
-    return {"pages": len(d.pages), "text_pages": t, "image_pages": i, "kind": kind, "confidence": sure}
+    return {"pages": len(facts), "text_pages": t, "image_pages": i, "kind": kind, "confidence": sure, "ocr_pages": [p + 1 for p, f in enumerate(facts) if f["ocr_reasons"]]}
+
+
+ITEMS = "doc_id string, page int, idx int, text string, x double, y double, width double, font_size double, font string, bold boolean, italic boolean, rotated boolean, hidden boolean, mcid int, error string"
+RECTS = "doc_id string, page int, idx int, x double, y double, width double, height double, kind string"
+SEGMENTS = "doc_id string, page int, idx int, x1 double, y1 double, x2 double, y2 double"
+PAGES = "doc_id string, page int, text_operators int, path_operators int, images int, image_pixels long, template boolean, characters int, ocr_reasons array<string>, error string"
+
+
+def _relation(files: DataFrame, rows_of, schema: str, on_error=None) -> DataFrame:
+    """A relation from (path, content): ``rows_of`` gives the rows of a page.  A file
+    that can't be read is one row with its error where the relation has a place for it."""
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"]):
+                rows: list[tuple] = []
+                try:
+                    document = Document(content or b"")
+                    for page in range(len(document.pages)):
+                        rows += [(path, page, *r) for r in rows_of(read_page(document, page))]
+                except ConvertError as error:
+                    rows = [on_error(path, error.code)] if on_error else []
+                if rows:
+                    yield pd.DataFrame(rows, columns=names).astype(object)
+
+    return files.select(F.col("path").cast("string").alias("path"), F.col("content").cast("binary").alias("content")).mapInPandas(run, schema)
+
+
+def pdf_items(files: DataFrame) -> DataFrame:
+    """Positioned text of PDF files (path, content), in content order on each page."""
+    rows = lambda p: [(i, t.text, t.x, t.y, t.width, t.size, t.font, t.bold, t.italic, t.rotated, t.hidden, t.mcid, None) for i, t in enumerate(p.items)]
+    return _relation(files, rows, ITEMS, lambda path, code: (path, *[None] * 13, code))
+
+
+def pdf_rects(files: DataFrame) -> DataFrame:
+    """Rectangles that pages draw or clip by, those of a half-point grid once."""
+    return _relation(files, lambda p: [(i, *r) for i, r in enumerate(distinct_rects(p.rects))], RECTS)
+
+
+def pdf_segments(files: DataFrame) -> DataFrame:
+    """Straight pieces of the paths that pages draw."""
+    return _relation(files, lambda p: [(i, *s) for i, s in enumerate(p.segments)], SEGMENTS)
+
+
+def pdf_pages(files: DataFrame) -> DataFrame:
+    """Facts of each page, and why its text may need recognition."""
+    rows = lambda p: [tuple(page_facts(p).values()) + (None,)]
+    return _relation(files, rows, PAGES, lambda path, code: (path, *[None] * 8, code))
 
 
 def read(data: bytes) -> list[Block]:
