@@ -462,9 +462,11 @@ def list_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT page_id, replace(replace(replace(replace(replace(trim(regexp_replace(regexp_extract(html, '<h1>(.*?)</h1>', 1), ' +', ' ', 'g')), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#x27;', ''''), '&amp;', '&') AS title, CAST(len(regexp_extract_all(html, '<li>')) AS BIGINT) AS n_items FROM pages"
 )
 def page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = cv.html_blocks(_read(spark, sf_dir, "pages"), "page_id", "html")
-    first = F.min_by(F.when((F.col("kind") == "heading") & (F.col("level") == 1), F.col("text")), F.when((F.col("kind") == "heading") & (F.col("level") == 1), F.col("ord")))
-    return found.groupBy(F.col("doc_id").alias("page_id")).agg(first.alias("title"), F.sum((F.col("kind") == "item").cast("long")).alias("n_items"))
+    blocks = F.col("blocks")
+    titles = F.filter(blocks, lambda b: (b["kind"] == "heading") & (b["level"] == 1))
+    items = F.filter(blocks, lambda b: b["kind"] == "item")
+    title = F.when(blocks.isNotNull(), F.coalesce(F.get(titles, F.lit(0))["text"], F.lit("")))
+    return cv.html_pages(_read(spark, sf_dir, "pages"), "page_id", "html").select(F.col("doc_id").alias("page_id"), title.alias("title"), F.when(blocks.isNotNull(), F.size(items)).cast("long").alias("n_items"))
 
 
 @query()

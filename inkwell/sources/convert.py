@@ -121,20 +121,23 @@ def read_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     return convert(files)
 
 
-def html_blocks(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
-    """(doc_id, ord, kind, level, text, markdown) of the blocks of HTML texts."""
+def html_pages(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
+    """(doc_id, blocks) for each row: the blocks of an HTML text in order, as an array of
+    structs (kind, level, text, markdown); null for none."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for key, text in zip(batch["doc_id"], batch["html"]):
-                for i, b in enumerate(html.read_text(text or "")):
-                    rows.append((key, i, b.kind, b.level, "".join(r.text for r in b.runs), render([b])))
-            yield pd.DataFrame(rows, columns=["doc_id", "ord", "kind", "level", "text", "markdown"])
+            found = [None if t is None else [{"kind": b.kind, "level": b.level, "text": "".join(r.text for r in b.runs), "markdown": render([b])} for b in html.read_text(t)] for t in batch["html"]]
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "blocks": found})
 
     some = pages.select(F.col(id_col).alias("doc_id"), F.col(html_col).cast("string").alias("html"))
     kind = some.schema["doc_id"].dataType.simpleString()
-    return some.mapInPandas(run, f"doc_id {kind}, ord int, kind string, level int, text string, markdown string")
+    return some.mapInPandas(run, f"doc_id {kind}, blocks array<struct<kind:string,level:int,text:string,markdown:string>>")
+
+
+def html_blocks(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
+    """(doc_id, ord, kind, level, text, markdown) of the blocks of HTML texts."""
+    return html_pages(pages, id_col, html_col).select("doc_id", F.posexplode("blocks").alias("ord", "b")).select("doc_id", "ord", "b.*")
 
 
 def register(spark: SparkSession) -> None:
@@ -164,4 +167,4 @@ def register(spark: SparkSession) -> None:
         spark.udf.register(name, function)
 
 
-__all__ = ["Block", "Run", "convert", "detect", "html_blocks", "inspect_pdf", "markdown", "read_files", "register"]
+__all__ = ["Block", "Run", "convert", "detect", "html_blocks", "html_pages", "inspect_pdf", "markdown", "read_files", "register"]

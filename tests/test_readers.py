@@ -5,8 +5,10 @@ import struct
 import zipfile
 import zlib
 
+import duckdb
 import pytest
 
+from inkwell.plans import queries as plans
 from inkwell.sources import convert, delimited, html, legacy, model, pdf
 from inkwell.streaming import files
 
@@ -179,6 +181,22 @@ def test_html():
     assert html.read_text("") == []
 
 
+def test_html_references_end_at_a_semicolon():
+    first = lambda text: "".join(r.text for r in html.read_text(text)[0].runs)
+    assert [first(f"<h1>a{x}</h1>") for x in ("&amp;&amp", "&am", "&", "&ampx;", "&#38", "&#38;&#x27;&quot;", "&amp;lt;", "&eacute;&copy")] == ["a&&amp", "a&am", "a&", "a&ampx;", "a&#38", "a&'\"", "a&lt;", "aé&copy"]
+    assert html.read_text('<p><a href="/x?a=1&copy=2&amp;b">l</a>')[0].runs[0].link == "/x?a=1&copy=2&b"
+
+
+def test_page_blocks_has_a_row_for_every_page(spark, tmp_path):
+    texts = ["<h1>a &amp;&amp</h1><ul><li>x</li></ul>", "", None, "<p>no title</p>", "<h1></h1>", "<h1>b</h1><h1>c</h1>"]
+    spark.createDataFrame([(i, "u", t) for i, t in enumerate(texts)], "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    got = [tuple(r) for r in plans.QUERIES["page_blocks"](spark, str(tmp_path)).orderBy("page_id").collect()]
+    assert got == duckdb.sql(plans.ORACLES["page_blocks"].replace("FROM pages", f"FROM '{tmp_path}/pages.parquet/*.parquet' ORDER BY page_id")).fetchall()
+    assert got[:3] == [(0, "a &&amp", 1), (1, "", 0), (2, None, None)]
+    blocks = convert.html_blocks(spark.createDataFrame([("p", texts[0]), ("q", None)], "k string, t string"), "k", "t")
+    assert [tuple(r) for r in blocks.collect()] == [("p", 0, "heading", 1, "a &&amp", "# a &&amp\n"), ("p", 1, "item", 0, "x", "- x\n")]
+
+
 def test_escapes():
     assert model.escape("# x", True) == "\\# x" and model.escape("1. x", True) == "1\\. x" and model.escape("a_b_c") == "a_b_c"
     assert model.escape("*a*") == "\\*a\\*" and model.escape("a | b", cell=True) == "a \\| b" and model.escape("[x](y)") == "\\[x](y)"
