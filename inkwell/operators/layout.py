@@ -7,11 +7,15 @@ columns, windows and aggregates.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
+
 BASELINE, BIN, GUTTER, MARGIN = 3.0, 2.0, 8.0, 0.05
 SIDE_ITEMS, NOISE, VERTICAL, WIDE = 10, 0.15, 0.30, 0.60
 CUT_GAP, CUT_SIDES = 15.0, (10, 3)
@@ -36,26 +40,61 @@ def needs_space(gap: Column, size: Column, left: Column, right: Column) -> Colum
     return ~left.rlike(r"\s$") & ~right.rlike(r"^\s") & F.when(closing, F.lit(False)).when((em > 3) | (em < -1), F.lit(True)).otherwise(em >= limit)
 
 
-def group_lines(items: DataFrame) -> DataFrame:
+def by_page(items: DataFrame) -> DataFrame:
+    """(doc_id, page, items): the items of each page as an array of structs."""
+    return items.groupBy("doc_id", "page").agg(F.collect_list(F.struct("idx", "text", "x", "y", "width", "font_size", "bold")).alias("items"))
+
+
+def _line_numbers(depths: Column) -> Column:
+    """For depths in ascending order, the number of the line that each stands on."""
+    start = F.struct(F.lit(None).cast("double").alias("first"), F.array().cast("array<int>").alias("lines"))
+
+    def place(seen: Column, depth: Column) -> Column:
+        new = seen["first"].isNull() | (depth - seen["first"] >= BASELINE)
+        line = F.when(seen["first"].isNull(), 0).otherwise(F.element_at(seen["lines"], -1) + new.cast("int"))
+        return F.struct(F.when(new, depth).otherwise(seen["first"]).alias("first"), F.concat(seen["lines"], F.array(line)).alias("lines"))
+
+    return F.aggregate(depths, start, place, lambda seen: seen["lines"])
+
+
+def _page_lines(items: Column) -> Column:
+    """An array of lines from the top, each an array of its items from left to right."""
+    depth = lambda i: -i["y"].cast("double")
+
+    def number(depths: Column) -> Column:
+        placed = lambda lines: F.transform(items, lambda i: F.struct(F.get(lines, (F.array_position(depths, depth(i)) - 1).cast("int")).alias("line"), i["x"].alias("x"), i["idx"].alias("idx"), i.alias("item")))
+        return tx.let(_line_numbers(depths), placed)
+
+    def cut(sorted_items: Column) -> Column:
+        begins = lambda k: (k == 0) | ~F.get(sorted_items, k)["line"].eqNullSafe(F.get(sorted_items, k - 1)["line"])
+        starts = F.filter(F.sequence(F.lit(0), F.size(sorted_items) - 1), begins)
+        line = lambda s: lambda k, j: F.transform(F.slice(sorted_items, k + 1, F.coalesce(F.get(s, j + 1), F.size(sorted_items)) - k), lambda p: p["item"])
+        return tx.let(starts, lambda s: F.transform(s, line(s)))
+
+    numbered = tx.let(F.array_sort(F.array_distinct(F.transform(items, depth))), number)
+    return F.when(F.size(items) > 0, tx.let(F.array_sort(numbered), cut))
+
+
+def group_lines(pages: DataFrame, parted: Callable[[Column, Column, Column, Column], Column] = needs_space) -> DataFrame:
     """(doc_id, page, line, y, x, font_size, bold, text): items from top to bottom,
-    a line holding those less than 3 points below its first one."""
+    a line holding those less than 3 points below its first one.
 
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["y", "x", "idx"], ascending=[False, True, True])
-        line, anchor, numbers = -1, None, []
-        for y in frame["y"]:
-            if anchor is None or anchor - y >= BASELINE:
-                line, anchor = line + 1, y
-            numbers.append(line)
-        return frame.assign(line=numbers)[["doc_id", "page", "idx", "line"]]
-
-    numbered = _by_page(items.select("doc_id", F.col("page").cast("int").alias("page"), "idx", "x", "y"), fold, f"idx {items.schema['idx'].dataType.simpleString()}, line int")
-    placed = items.join(numbered, ["doc_id", "page", "idx"])
-    order = Window.partitionBy("doc_id", "page", "line").orderBy("x", "idx")
-    before, end = F.lag("text").over(order), F.lag(F.col("x") + F.col("width")).over(order)
-    spaced = placed.withColumn("__t", F.when(before.isNotNull() & needs_space(F.col("x") - end, F.col("font_size"), before, F.col("text")), F.concat(F.lit(" "), "text")).otherwise(F.col("text")))
-    parts = F.array_sort(F.collect_list(F.struct("x", "idx", F.col("__t").alias("t"))))
-    return spaced.groupBy("doc_id", "page", "line").agg(F.max("y").alias("y"), F.min("x").alias("x"), F.min_by("font_size", F.struct("x", "idx")).alias("font_size"), (F.sum(F.length("text") * F.col("bold").cast("int")) * 2 >= F.sum(F.length("text"))).alias("bold"), F.array_join(F.transform(parts, lambda p: p["t"]), "").alias("text"))
+    ``pages`` is as of ``by_page``, a row for each page; ``parted`` tells by gap, size
+    and both texts whether a blank stands between two items.
+    """
+    own = F.col("items")
+
+    def spaced(item: Column, k: Column) -> Column:
+        before = F.get(own, k - 1)
+        apart = parted(item["x"] - (before["x"] + before["width"]), item["font_size"], before["text"], item["text"])
+        return F.when((k > 0) & apart, F.concat(F.lit(" "), item["text"])).otherwise(item["text"])
+
+    letters = lambda array: F.aggregate(array, F.lit(0), lambda n, i: n + F.length(i["text"]))
+    lines = pages.select("doc_id", "page", F.posexplode(_page_lines(own)).alias("line", "items"))
+    return lines.select(
+        "doc_id", "page", "line", F.array_max(F.transform(own, lambda i: i["y"])).alias("y"), F.get(own, F.lit(0))["x"].alias("x"), F.get(own, F.lit(0))["font_size"].alias("font_size"),
+        (letters(F.filter(own, lambda i: i["bold"])) * 2 >= letters(own)).alias("bold"), F.array_join(F.transform(own, spaced), "").alias("text"),
+    )
 
 
 def x_histogram(items: DataFrame) -> DataFrame:

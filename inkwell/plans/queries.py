@@ -504,6 +504,23 @@ def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _item_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same items as ``by_page`` gives them, without a row for each word."""
+    split = lambda t: F.filter(F.split(F.replace(t, F.lit("\n"), F.lit(" ")), " "), lambda w: w != "")
+    texts = _documents(spark, sf_dir).groupBy("doc_id").agg(F.collect_list("text").alias("texts"))
+
+    def pages(words):
+        n = F.ceil(F.array_max(F.transform(words, F.size)) / 200).cast("int")
+        return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda p: F.transform(words, lambda w: F.slice(w, p * 200 + 1, 200))))
+
+    def item(w, i):
+        x, y = 50 + (i % 5) * 50 + F.when(i % 10 >= 5, 300).otherwise(0), 780 - F.floor(i / 10) * 14
+        return F.struct((F.col("page") * 200 + i + 1).alias("idx"), w.alias("text"), x.cast("double").alias("x"), y.cast("double").alias("y"), F.lit(40.0).alias("width"), F.lit(10.0).alias("font_size"), F.lit(False).alias("bold"))
+
+    cut = texts.select("doc_id", F.posexplode(tx.let(F.transform("texts", split), pages)).alias("page", "words"))
+    return cut.select("doc_id", "page", F.flatten(F.transform("words", lambda part: F.transform(part, item))).alias("items"))
+
+
 @query(f"SELECT doc_id, CAST(page AS INTEGER) AS page, CAST(bin AS BIGINT) AS bin, count(*) AS n FROM (SELECT doc_id, page, unnest(range(CAST(x // 2 AS BIGINT), CAST((x + width) // 2 AS BIGINT) + 1)) AS bin FROM {_ITEMS_SQL}) GROUP BY ALL")
 def item_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ly.x_histogram(_items(spark, sf_dir))
@@ -529,7 +546,9 @@ def page_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT doc_id, CAST(page AS INTEGER) AS page, CAST(count(DISTINCT y) AS BIGINT) AS n_lines, min(CASE WHEN y = 780 THEN top END) AS first FROM (SELECT *, string_agg(text, ' ') OVER (PARTITION BY doc_id, page, y ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS top FROM (SELECT * FROM {_ITEMS_SQL} ORDER BY idx)) GROUP BY doc_id, page")
 def grouped_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = ly.group_lines(_items(spark, sf_dir).withColumn("text", F.regexp_replace("text", "^$", "_")))
+    """Pages are cut from the texts; the words are whole, so a blank parts any two."""
+    found = _item_pages(spark, sf_dir)
+    lines = ly.group_lines(found, parted=lambda *_: F.lit(True))
     return lines.groupBy("doc_id", "page").agg(F.count("*").alias("n_lines"), F.min(F.when(F.col("line") == 0, F.col("text"))).alias("first"))
 
 

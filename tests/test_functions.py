@@ -3,6 +3,7 @@
 import random
 import re
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -228,3 +229,42 @@ def test_page_gutters_of_every_page(spark, tmp_path):
     got = {(r.doc_id, r.page): r.gutters for r in ly.column_gutters(plans._items(spark, str(tmp_path))).collect()}
     assert got == {k: brute_gutters(v) for k, v in wanted.items()}
     assert len(got) == 8 and len(got[2, 0]) > 1
+
+
+def brute_lines(words):
+    """(y, x, text) of the lines of (idx, text, x, y, width), item by item; blanks where a gap is 2 points."""
+    lines = []
+    for w in sorted(words, key=lambda w: (-w[3], w[2], w[0])):
+        if not lines or lines[-1][0][3] - w[3] >= 3:
+            lines.append([])
+        lines[-1].append(w)
+    out = []
+    for own in lines:
+        own = sorted(own, key=lambda w: (w[2], w[0]))
+        text = own[0][1] + "".join((" " if b[2] - a[2] - a[4] >= 2 and b[1][0] not in ".,;" else "") + b[1] for a, b in zip(own, own[1:]))
+        out.append((max(w[3] for w in own), own[0][2], text))
+    return out
+
+
+def test_grouped_lines_of_scattered_items(spark):
+    random.seed(3)
+    given = {(d, p): [(i, random.choice(["Ab", "Cde", ",x", "F9f"]), float(random.randrange(0, 60, 4)), random.randrange(0, 400) / 8, random.choice([2.0, 4.0, 9.0])) for i in range(n)] for d, p, n in [("a", 0, 60), ("a", 1, 1), ("b", 0, 90), (None, 2, 7)]}
+    rows = [(d, p, i, t, x, y, w, 10.0, i % 2 == 0) for (d, p), ws in given.items() for i, t, x, y, w in ws]
+    random.shuffle(rows)
+    items = spark.createDataFrame(rows, "doc_id string, page int, idx int, text string, x double, y double, width double, font_size double, bold boolean")
+    wide = lambda gap, size, left, right: (gap >= 2) & ~right.rlike("^[.,;]")
+    got = {}
+    for r in ly.group_lines(ly.by_page(items), wide).orderBy("doc_id", "page", "line").collect():
+        got.setdefault((r.doc_id, r.page), []).append((r.y, r.x, r.text))
+    assert got == {k: brute_lines(v) for k, v in given.items()}
+    ruled = spark.createDataFrame([(1, 0, i, t, x, 5.0, 10.0, 10.0, i < 2) for i, (t, x) in enumerate([("one", 0.0), ("two", 12.0), (",", 24.0), ("far", 80.0), ("er", 91.0)])], "doc_id int, page int, idx int, text string, x double, y double, width double, font_size double, bold boolean")
+    assert [tuple(r) for r in ly.group_lines(ly.by_page(ruled)).collect()] == [(1, 0, 0, 5.0, 0.0, 10.0, True, "one two, farer")]
+
+
+def test_grouped_lines_equal_their_sql_on_odd_words(spark, tmp_path):
+    texts = ["a , b . c ;d 'e )f !", "\ttab x\t\ty\n\n .z", "", None, "  ", " ".join(f".{i}" for i in range(431)), ", " * 200]
+    rows = [(i, "s", "en", t) for i, t in enumerate(texts)] + [(5, "s", "en", texts[5]), (None, "s", "en", "n , m")]
+    spark.createDataFrame(rows, "doc_id long, source string, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {tuple(r) for r in plans.QUERIES["grouped_lines"](spark, str(tmp_path)).select("doc_id", "page", "n_lines", "first").collect()}
+    sql = plans.ORACLES["grouped_lines"].replace("FROM documents", f"FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == set(duckdb.sql(sql).fetchall()) and len(got) == 7
