@@ -466,7 +466,7 @@ def page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     titles = F.filter(blocks, lambda b: (b["kind"] == "heading") & (b["level"] == 1))
     items = F.filter(blocks, lambda b: b["kind"] == "item")
     title = F.when(blocks.isNotNull(), F.coalesce(F.get(titles, F.lit(0))["text"], F.lit("")))
-    return cv.html_pages(_read(spark, sf_dir, "pages"), "page_id", "html").select(F.col("doc_id").alias("page_id"), title.alias("title"), F.when(blocks.isNotNull(), F.size(items)).cast("long").alias("n_items"))
+    return cv.html_pages(_read(spark, sf_dir, "pages"), "page_id", "html", rendered=False).select(F.col("doc_id").alias("page_id"), title.alias("title"), F.when(blocks.isNotNull(), F.size(items)).cast("long").alias("n_items"))
 
 
 @query()

@@ -121,13 +121,14 @@ def read_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     return convert(files)
 
 
-def html_pages(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
+def html_pages(pages: DataFrame, id_col: str, html_col: str, rendered: bool = True) -> DataFrame:
     """(doc_id, blocks) for each row: the blocks of an HTML text in order, as an array of
-    structs (kind, level, text, markdown); null for none."""
+    structs (kind, level, text, markdown); null for none.  Markdown, which takes most of
+    the time, is null unless ``rendered``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [None if t is None else [{"kind": b.kind, "level": b.level, "text": "".join(r.text for r in b.runs), "markdown": render([b])} for b in html.read_text(t)] for t in batch["html"]]
+            found = [None if t is None else [{"kind": b.kind, "level": b.level, "text": "".join(r.text for r in b.runs), "markdown": render([b]) if rendered else None} for b in html.read_text(t)] for t in batch["html"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "blocks": found})
 
     some = pages.select(F.col(id_col).alias("doc_id"), F.col(html_col).cast("string").alias("html"))
